@@ -10,26 +10,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, sharding
+from . import ann, hamming, line_dedup, mixing, packing, secret_scan, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rotated_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", toxicity.held_out())
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_multi_index_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -59,5 +76,32 @@ FROM marked GROUP BY doc_id
 """
 
 
+USABLE_SQL = """
+WITH fine AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), usual AS (SELECT len(v) AS n FROM fine GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+u AS (SELECT vec_id, v FROM fine WHERE len(v) = (SELECT n FROM usual))"""
+
+NEAREST_SQL = USABLE_SQL + """
+, scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
+         list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i]), lambda a, b: a + b) AS score
+  FROM u AS q JOIN u AS x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+HAMMING_SQL = USABLE_SQL + """
+, scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
+         len(list_filter(range(1, len(q.v) + 1), lambda i: (q.v[i] > 0) <> (x.v[i] > 0)))::INTEGER AS distance
+  FROM u AS q JOIN u AS x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": LINE_SQL}
+    return {"op1_rotated_bit_search": NEAREST_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL}
