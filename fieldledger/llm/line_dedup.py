@@ -76,8 +76,10 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first is None:
             first, part = hs[0], batch["part"][0].as_py()
         if hs[-1] != last:
-            last = hs[-1]
-            owner = int(docs[int(np.flatnonzero(hs == last)[0])])
+            last, at = hs[-1], len(hs) - 1
+            while at and hs[at - 1] == last:
+                at -= 1
+            owner = int(docs[at])
     if first is not None:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.binary()), pa.array([last], pa.binary()), pa.array([owner], pa.int64())], ["part", "first_h", "last_h", "owner"])
 
