@@ -1 +1 @@
-
+"""Scalar functions: canonical text, exact numbers, digests."""

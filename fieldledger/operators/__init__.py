@@ -1 +1 @@
-
+"""Relational operators of the ledger, each a function of DataFrames."""

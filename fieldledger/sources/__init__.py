@@ -1 +1 @@
-
+"""Fields on storage and evidence bundles as files."""
