@@ -12,6 +12,7 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 SCALE = 10
 UNIT = 10**SCALE
@@ -120,7 +121,7 @@ def sha256_hex(column: str | Column) -> Column:
     return F.sha2(column, 256)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_canonical(stored: pd.Series) -> pd.Series:
     """Whether the text is valid JSON in canonical form."""
 

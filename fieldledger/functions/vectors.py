@@ -9,6 +9,7 @@ from fractions import Fraction
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .canonical import UNIT, quantize
 
@@ -56,7 +57,7 @@ def rank_key(d: int, n: int, m: int) -> bytes:
     return ((d * d * m * m << KEY_SHIFT) // n).to_bytes(KEY_BYTES, "big")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def exact_key(d: pd.Series, n: pd.Series, state: pd.Series, hop: pd.Series, resonant: pd.Series) -> pd.Series:
     return pd.Series([rank_key(int(a), int(b), multiplier(s, int(h), int(k))) for a, b, s, h, k in zip(d, n, state, hop, resonant, strict=True)], dtype=object)
 

@@ -18,7 +18,10 @@ def payload(path: str) -> Column:
     return F.get_json_object("payload_json", f"$.{path}")
 
 
-_SETS = F.when(F.col("event_type") == "QUARANTINED", "QUARANTINED").when(F.col("event_type") == "SUPERSEDED_BY", "SUPERSEDED").when(F.col("event_type") == "REHABILITATED", "CLEAN")
+def _set_to() -> Column:
+    """The status that an event sets outright."""
+    et = F.col("event_type")
+    return F.when(et == "QUARANTINED", "QUARANTINED").when(et == "SUPERSEDED_BY", "SUPERSEDED").when(et == "REHABILITATED", "CLEAN")
 
 
 def custody_states(chain: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def custody_states(chain: DataFrame) -> DataFrame:
     moves = (et == "STATE_CHANGED") & payload("to").isin(*FIELD_STATES)
     gains = (et == "REINFORCED") & payload("confidence_after").isNotNull()
     out = chain.groupBy("memory_id").agg(
-        F.max(F.when(sets, F.struct("seq", _SETS.alias("value")))).alias("last_set"),
+        F.max(F.when(sets, F.struct("seq", _set_to().alias("value")))).alias("last_set"),
         F.max(F.when(et == "TAINT_FLAGGED", F.col("seq"))).alias("last_flag"),
         F.max(F.when(moves, F.struct("seq", payload("to").alias("value")))).alias("last_move"),
         F.max(F.when(gains, F.struct("seq", payload("confidence_after").alias("value")))).alias("last_gain"),
@@ -60,7 +63,7 @@ def custody_errors(chain: DataFrame, promotion: bool = True) -> DataFrame:
     gains = (et == "REINFORCED") & payload("confidence_after").isNotNull()
     rows = chain.select(
         "memory_id", "seq", "event_type", payload("from").alias("from"), payload("to").alias("to"), payload("confidence_before").alias("before"), payload("confidence_after").alias("after"),
-        F.coalesce(F.max(F.when(sets, F.struct("seq", _SETS.alias("value")))).over(w)["value"], F.lit("CLEAN")).alias("set_to"),
+        F.coalesce(F.max(F.when(sets, F.struct("seq", _set_to().alias("value")))).over(w)["value"], F.lit("CLEAN")).alias("set_to"),
         F.coalesce(F.max(F.when(sets, F.col("seq"))).over(w), F.lit(-1)).alias("set_at"),
         F.coalesce(F.max(F.when(et == "TAINT_FLAGGED", F.col("seq"))).over(w), F.lit(-1)).alias("flag_at"),
         F.coalesce(F.max(F.when(moves, F.struct("seq", payload("to").alias("value")))).over(w)["value"], F.lit("NEUTRAL")).alias("state"),
