@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import json_array, json_object, json_text, seal
 from ..schema import PROTOCOLS
+from .graph import settled
 
 
 def used_of(decisions: DataFrame) -> DataFrame:
@@ -79,19 +80,19 @@ def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFram
     for_uses = none.select("id")
     for _ in range(limit):
         after = for_lineage.join(lineage, F.col("id") == F.col("memory_id")).select(F.col("id").alias("src"), F.col("successor_id").alias("dst"))
-        by_lineage = _settled(after.select(F.col("dst").alias("id"), F.lit("DERIVED").alias("level")).where(F.col("id") != memory_id).join(memories.select("id"), "id", "left_anti").distinct())
+        by_lineage = settled(after.select(F.col("dst").alias("id"), F.lit("DERIVED").alias("level")).where(F.col("id") != memory_id).join(memories.select("id"), "id", "left_anti").distinct())
         memories = memories.unionByName(by_lineage)
         for_uses = for_uses.unionByName(by_lineage.select("id"))
         uses = for_uses.join(used, F.col("id") == F.col("memory_id")).select(F.col("id").alias("src"), F.col("decision_id").alias("dst")).distinct()
-        grown = _settled(uses.select(F.col("dst").alias("id")).distinct().join(decisions, "id", "left_anti"))
+        grown = settled(uses.select(F.col("dst").alias("id")).distinct().join(decisions, "id", "left_anti"))
         decisions, fresh_decisions = decisions.unionByName(grown), fresh_decisions.unionByName(grown)
         born = fresh_decisions.join(declared, F.col("id") == F.col("decision_id")).select(F.col("id").alias("src"), F.col("memory_id").alias("dst"), "level")
-        by_descent = _settled(born.select(F.col("dst").alias("id"), "level").where(F.col("id") != memory_id).join(memories, ["id", "level"], "left_anti").distinct())
+        by_descent = settled(born.select(F.col("dst").alias("id"), "level").where(F.col("id") != memory_id).join(memories, ["id", "level"], "left_anti").distinct())
         made = edge(after, "DERIVED", "SUPERSEDED_BY", F.col("src"), F.col("dst")).unionByName(edge(uses, "DERIVED", "USED_BY", F.col("src"), F.col("dst")))
         made = made.unionByName(born.select("level", F.lit("DERIVED_FROM_DECISION").alias("kind"), "src", "dst"))
         # computed once a round, so that the plan does not grow with the rounds
-        edges, memories = _settled(edges.unionByName(made).distinct()), _settled(memories.unionByName(by_descent))
-        decisions = _settled(decisions)
+        edges, memories = settled(edges.unionByName(made).distinct()), settled(memories.unionByName(by_descent))
+        decisions = settled(decisions)
         for_uses = by_descent.select("id").distinct()
         for_lineage = by_lineage.select("id").unionByName(for_uses).distinct()
         fresh_decisions = none.select("id")
@@ -103,15 +104,6 @@ def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFram
     return edges.unionByName(possible.distinct()), memories
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """rows, computed once: checkpointed where a folder is set, else kept by Spark."""
-    if rows.sparkSession.sparkContext.getCheckpointDir() is not None:
-        return rows.checkpoint(eager=True)
-    kept = rows.persist()
-    kept.count()
-    return kept
-
-
 def impact_report(memory_id: str, edges: DataFrame, memories: DataFrame) -> dict:
     """The sealed report of one memory; its edges are what one incident touches."""
     rows = sorted(tuple(r) for r in edges.distinct().collect())

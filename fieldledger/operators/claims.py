@@ -35,7 +35,7 @@ def evaluated(members: DataFrame, states: DataFrame) -> DataFrame:
 
     members has set_id, constraint_type and claim_id; states has claim_id and state.
     """
-    both = members.join(states.select("claim_id", "state"), "claim_id", "left")
+    both = members.select("set_id", "constraint_type", "claim_id").join(states.select("claim_id", "state"), "claim_id", "left")
     counted = both.groupBy("set_id", "constraint_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("state") == "VALIDATED").alias("held"), F.count_if(F.col("state") == "ASSERTED").alias("open"),
         F.array_sort(F.collect_list(F.struct("claim_id", "state"))).alias("member_states"),

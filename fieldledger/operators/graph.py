@@ -27,7 +27,7 @@ def exposure(links: DataFrame, sources: DataFrame, depth: int = EXPOSURE_DEPTH)
 
 def graded(memories: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
     """memory_id, level (DIRECT_TAINT, EXPOSED or CLEAN) and budget as a fraction in lowest terms."""
-    found = exposure(links, sources).select("memory_id", F.concat(F.lit("1/"), F.shiftleft(F.lit(1), F.col("depth")).cast("string")).alias("budget"))
+    found = exposure(links, sources).select("memory_id", F.concat(F.lit("1/"), F.expr("CAST(shiftleft(1, depth) AS STRING)")).alias("budget"))
     marked = memories.select("memory_id").join(sources.select("memory_id", F.lit(True).alias("direct")).distinct(), "memory_id", "left").join(found, "memory_id", "left")
     level = F.when(F.col("direct"), "DIRECT_TAINT").when(F.col("budget").isNotNull(), "EXPOSED").otherwise("CLEAN")
     return marked.select("memory_id", level.alias("level"), F.when(level == "EXPOSED", F.col("budget")).alias("budget"))
@@ -50,21 +50,25 @@ def exposure_report(grades: DataFrame) -> dict:
     return body | {"exposure_sha256": seal(body)}
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once: checkpointed where a folder is set, else kept by Spark."""
+    if rows.sparkSession.sparkContext.getCheckpointDir() is not None:
+        return rows.checkpoint(eager=True)
+    kept = rows.persist()
+    kept.count()
+    return kept
+
+
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id: the seeds and all that they lead to over (child, parent) edges, until nothing is new.
 
-    Every fourth round is written to the checkpoint folder, where there is one, so that the plan
-    does not grow with the depth.
+    A round joins only what the last one added, and is computed once, so that the plan does not
+    grow with the depth.
     """
-    edges = edges.select("child", "parent").distinct()
-    reached = seeds.select("id").distinct()
-    frontier, rounds = reached, 0
-    saved = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    edges = settled(edges.select("child", "parent").distinct())
+    reached = frontier = settled(seeds.select("id").distinct())
     while not frontier.isEmpty():
         step = frontier.join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
-        frontier = step.join(reached, "id", "left_anti")
-        rounds += 1
-        if rounds % 4 == 0 and saved:
-            frontier, reached = frontier.checkpoint(), reached.checkpoint()
-        reached = reached.unionByName(frontier)
+        frontier = settled(step.join(reached, "id", "left_anti"))
+        reached = settled(reached.unionByName(frontier).coalesce(max(1, edges.rdd.getNumPartitions())))
     return reached
