@@ -193,7 +193,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rest = tuple(c for c in columns if c != "doc_id")
     kept = analysed(docs.withColumn("_text", text_of()), (*[c for c in rest if c != "text"], "_text"))
-    marked = F.concat(*[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("" if k == "remove" else f"[{k.upper()}]").alias("by"))) for k in (*BASE, *ADDED)])
+
+    def places(kind: str) -> Column:
+        by = F.lit("" if kind == "remove" else f"[{kind.upper()}]")
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by.alias("by")))
+
+    marked = F.concat(*[places(k) for k in (*BASE, *ADDED)])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

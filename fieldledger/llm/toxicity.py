@@ -297,6 +297,22 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
     return rest.withColumn("_text", text_of()).mapInArrow(_score(model), f"{schema}, score double, predicted int")
 
 
+def _clean(model: Model, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                s = model.score(np.array([model.features(t or "") for t in part[text].to_pylist()]).reshape(-1, FEATURES))
+                yield part.filter(pa.array(s < 0.5))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that the model does not call toxic, all columns as they are."""
+    return docs.mapInArrow(_clean(model, "text"), docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """Fits on labels and scores every document."""
     return apply(docs, fit(docs, labels, most))
