@@ -13,16 +13,16 @@ def exposure(links: DataFrame, sources: DataFrame, depth: int = EXPOSURE_DEPTH)
     """memory_id and depth of what the sources reach over resonant links, sources left out.
 
     Each link passes on half, so the greatest influence is that of the shortest path and the
-    floor of 1/64 is a depth of 6: six joins, each against what was not reached before.
+    floor of 1/64 is a depth of 6: six joins, each kept for the next, and one minimum at the
+    end. A cycle is walked again, but no more often than there are rounds.
     """
     edges = links.where("link_type = 'RESONANT'").select("from_id", "to_id")
-    reached = sources.select("memory_id", F.lit(0).alias("depth")).distinct()
-    frontier = reached
+    frontier = reached = sources.select("memory_id", F.lit(0).alias("depth")).distinct().persist()
     for d in range(1, depth + 1):
         step = frontier.join(edges, F.col("memory_id") == F.col("from_id")).select(F.col("to_id").alias("memory_id")).distinct()
-        frontier = step.join(reached, "memory_id", "left_anti").withColumn("depth", F.lit(d))
+        frontier = step.withColumn("depth", F.lit(d)).persist()
         reached = reached.unionByName(frontier)
-    return reached.where("depth > 0")
+    return reached.groupBy("memory_id").agg(F.min("depth").alias("depth")).where("depth > 0")
 
 
 def graded(memories: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:

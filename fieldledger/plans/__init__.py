@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import authority, chains, recalls
+from . import authority, chains, recalls, reports
 
-_ALL = recalls.QUERIES | chains.QUERIES | authority.QUERIES
+_ALL = recalls.QUERIES | chains.QUERIES | authority.QUERIES | reports.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
