@@ -158,7 +158,8 @@ def embedding_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as births: sources are providers, languages models; one in seven declares nothing."""
+    """Documents as births: sources are providers, languages models; one in seven declares nothing, and a
+    model's vector depends on more than its text."""
     known = F.col("doc_id") % 7 != 0
 
     def if_known(c) -> F.Column:
@@ -168,14 +169,14 @@ def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         v.ident("k-", F.col("doc_id")).alias("memory_id"), if_known(F.col("source")).alias("provider"), if_known(F.col("lang")).alias("model"),
         if_known((F.col("doc_id") % 2).cast("string")).alias("revision"), if_known(F.lit("none")).alias("preprocessing"),
-        if_known(F.sha2(F.substring("text", 1, 40), 256)).alias("input_content_hash"), if_known(F.sha2("text", 256)).alias("output_vector_hash"),
+        if_known(F.sha2("text", 256)).alias("input_content_hash"), if_known(F.sha2(F.concat("text", (F.col("doc_id") % 3).cast("string")), 256)).alias("output_vector_hash"),
     )
 
 
 _PROV_SQL = """prov AS (
   SELECT 'k-' || lpad(doc_id::VARCHAR, 6, '0') AS memory_id, CASE WHEN doc_id % 7 <> 0 THEN source END AS provider, CASE WHEN doc_id % 7 <> 0 THEN lang END AS model,
     CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 2)::VARCHAR END AS revision, CASE WHEN doc_id % 7 <> 0 THEN 'none' END AS preprocessing,
-    CASE WHEN doc_id % 7 <> 0 THEN sha256(substr(text, 1, 40)) END AS input_content_hash, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS output_vector_hash
+    CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS input_content_hash, CASE WHEN doc_id % 7 <> 0 THEN sha256(text || (doc_id % 3)::VARCHAR) END AS output_vector_hash
   FROM documents
 )"""
 INVENTORY_SQL = f"WITH {_PROV_SQL} SELECT provider, model, revision, preprocessing, count(*) AS memories FROM prov GROUP BY ALL"
