@@ -50,14 +50,15 @@ def buckets_for(rows: int) -> int:
     return max(1, math.isqrt(max(rows, 1)))
 
 
-def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, into: str, buckets: int) -> DataFrame:
+def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, into: str, buckets: int, bucket: Column | None = None) -> DataFrame:
     """The sum of value over the rows before this one in its group, by a two-level prefix sum.
 
-    Rows are ordered by (hash bucket of order, order). No task sees more than one bucket of a
+    Rows are ordered by (bucket, order); the bucket is a hash of order unless another number is
+    given, which should spread as evenly. No task sees more than one bucket of a
     group, and the sums of a group's buckets are the only thing that meets in one task: a group
     with a third of all rows is spread like any other. group must hold no nulls.
     """
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)) if bucket is None else bucket)
     sums = keyed.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))

@@ -70,7 +70,9 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, budg
     queue = shared_table(sized(docs).withColumn("shuffled", shuffle_key(seed)).withColumn("twin", F.monotonically_increasing_id()), "mix-sizes")
     rows = queue.count()
     per = shared_table(targets(queue, weights, budget, max_repeats), "mix-targets")
-    queue = running_sum(queue, ["source_key"], ["shuffled", "twin"], "size", "before", buckets_for(rows))
+    # the digest's leading 32 bits as buckets: the order of the queue is that of the digests
+    lead = F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("double") * buckets_for(rows) / 2**32).cast("long")
+    queue = running_sum(queue, ["source_key"], ["shuffled", "twin"], "size", "before", buckets_for(rows), lead)
     # a source list is as long as there are sources, so Spark picks the join by its size
     queue = queue.join(per, "source_key").withColumn("end", F.col("before") + F.col("size"))
     queue = shared_table(queue, "mix-queue")

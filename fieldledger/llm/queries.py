@@ -84,6 +84,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null') || ':1') AS k FROM documents
+), per AS (
+  SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source
+), weighed AS (SELECT *, [5.0, 2.0, 1.0][place % 3 + 1]::DOUBLE AS w, s * 2.0::DOUBLE AS cap, (sum(s) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM per),
+stepped AS (SELECT *, sum(cap) OVER o AS caps, sum(w) OVER () - sum(w) OVER o AS rest FROM weighed WINDOW o AS (ORDER BY cap / w, place)),
+held AS (SELECT *, caps + (cap / w) * rest <= total AS capped FROM stepped),
+target AS (
+  SELECT source, s, place, total, CASE WHEN capped THEN cap
+    ELSE w * ((total - sum(CASE WHEN capped THEN cap ELSE 0.0 END) OVER ()) / sum(CASE WHEN capped THEN 0.0 ELSE w END) OVER ()) END AS target FROM held
+), queue AS (
+  SELECT doc_id, size, k, s, place, total, target, sum(size) OVER (PARTITION BY place ORDER BY k) AS done
+  FROM sized JOIN target ON sized.source IS NOT DISTINCT FROM target.source
+), stream AS (
+  SELECT *, CASE WHEN target > 0 THEN (done + s * copy)::DOUBLE / target ELSE 0.0 END AS finish FROM queue, (VALUES (0), (1)) AS c(copy)
+), served AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, place, copy, k ROWS UNBOUNDED PRECEDING) AS spent FROM stream
+)
+SELECT doc_id, size, s AS source_size, target, sum(CASE WHEN target > 0 AND spent <= floor(total) THEN size ELSE 0 END)::BIGINT AS taken
+FROM served GROUP BY doc_id, size, s, target, k, place
+"""
+
 USABLE_SQL = """
 WITH fine AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
@@ -135,4 +158,4 @@ FROM reached GROUP BY doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op6_source_mixing": MIX_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL}
