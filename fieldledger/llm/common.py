@@ -16,8 +16,10 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may run without the setting: there one machine holds everything.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
