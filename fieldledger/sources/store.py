@@ -8,6 +8,7 @@ newest manifest, so they see all of a batch or none. One writer at a time is ass
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,10 +91,10 @@ class Field:
                 self.committed[name] = self.table(name)
         else:
             for name in changed:
-                folder = f"{self.path}/{name}/batch-{self.version:08d}"
+                batch = self._batch()
                 schema = TABLES[name]
-                self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in self.pending[name]], schema).coalesce(1).write.parquet(folder)
-                self.batches[name].append(f"batch-{self.version:08d}")
+                self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in self.pending[name]], schema).coalesce(1).write.parquet(f"{self.path}/{name}/{batch}")
+                self.batches[name].append(batch)
             self._publish()
             self._open()
         self.rollback()
@@ -108,8 +109,9 @@ class Field:
             return self.version
         self.version += 1
         for name, df in frames.items():
-            df.select(*TABLES[name].names).write.parquet(f"{self.path}/{name}/batch-{self.version:08d}")
-            self.batches[name].append(f"batch-{self.version:08d}")
+            batch = self._batch()
+            df.select(*TABLES[name].names).write.parquet(f"{self.path}/{name}/{batch}")
+            self.batches[name].append(batch)
         self._publish()
         self._open()
         return self.version
@@ -121,13 +123,17 @@ class Field:
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
 
+    def _batch(self) -> str:
+        """A folder name of this commit's own: what a broken commit leaves behind is in nobody's way."""
+        return f"batch-{self.version:08d}-{uuid.uuid4().hex[:12]}"
+
     def _publish(self) -> None:
         at, fs = self._fs(f"{self.path}/_manifest/{self.version:08d}.json")
         draft, _ = self._fs(f"{self.path}/_manifest/.{self.version:08d}.draft")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps({"version": self.version, "batches": self.batches}), "utf-8"))
         out.close()
-        if not fs.rename(draft, at):  # the name is taken: somebody else committed this version
+        if fs.exists(at) or not fs.rename(draft, at):  # somebody else committed this version
             raise RuntimeError(f"version {self.version} of {self.path} exists")
 
     def _open(self) -> None:
