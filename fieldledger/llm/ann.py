@@ -4,8 +4,9 @@ Indexing rotates each vector into ``bits`` dimensions by a seeded random orthono
 keeps the sign bits, packed, with two correction scalars: the norm, and the inner product of the
 unit vector with its own code. From these, a query's inner product with the vector is estimated
 without the vector, and the estimate comes with an error bound that fails with a chosen small
-probability. Within a block, a query's k-th best lower bound rules out every vector whose upper
-bound is below it; all others are reranked with the original vectors in double precision.
+probability. Within a block, the k-th exact score among a query's best estimates rules out every
+vector whose upper bound is below it; all others are reranked with the original vectors in
+double precision.
 
 Defined results: see ``vectors.usable`` for the vectors that take no part; a row is never a
 neighbour of its own id; ids that are there twice count once, with their better score; ties go
@@ -26,7 +27,7 @@ from .common import shared_table
 from .vectors import QUERY_EVERY, TOP_K, in_blocks, usable
 
 #: Code length, the seed of the rotation, and how many standard errors a bound reaches out.
-BITS, SEED, REACH = 256, 7, 3.3
+BITS, SEED, REACH = 256, 7, 3.0
 #: Queries that are estimated at a time, so that a block of estimates stays small.
 STEP = 64
 
@@ -93,6 +94,7 @@ def _search(k: int, seed: int, reach: float):
             norm, fit = stock["norm"].to_numpy(), stock["fit"].to_numpy()
             turned = (q @ rotation(q.shape[1], bits, seed)[:, :bits]).astype(np.float32)
             q_norm = np.linalg.norm(q, axis=1)
+            one_row_an_id = len(np.unique(xid)) == len(xid)
             # <code, query> / <code, vector> estimates the inner product; what is left of the code
             # beside the vector points in a random direction, hence the standard error
             gain = (norm / (fit * np.sqrt(bits))).astype(np.float32)
@@ -100,17 +102,23 @@ def _search(k: int, seed: int, reach: float):
             for at in range(0, len(q), STEP):
                 guess = (turned[at : at + STEP] @ signs.T) * gain
                 wide = error * q_norm[at : at + STEP, None].astype(np.float32) + 1e-6
-                low, high = guess - wide, guess + wide
-                floor = np.full(len(low), -np.inf, np.float32)
-                if len(x) > k + 1:  # one more than k, for the query may be among them
-                    floor = np.partition(low, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
-                which, near = np.nonzero(high >= floor[:, None])
+                floor = np.full(len(guess), -np.inf)
+                first = 2 * k + 8
+                if len(x) > first:
+                    # exact scores of the best guesses: their k-th is as high a floor as can be had
+                    # before the rest is looked at; the query's own rows do not count
+                    best = np.argpartition(guess, len(x) - first, axis=1)[:, -first:]
+                    sure = dot(np.repeat(q[at : at + STEP], first, axis=0), x[best.ravel()]).reshape(len(guess), first)
+                    sure[xid[best] == qid[at : at + STEP, None]] = -np.inf
+                    if one_row_an_id:
+                        floor = np.partition(sure, first - k, axis=1)[:, first - k]
+                which, near = np.nonzero(guess + wide >= floor[:, None])
                 other = qid[at + which] != xid[near]
                 which, near = which[other] + at, near[other]
                 score = np.concatenate([dot(q[which[i : i + 50_000]], x[near[i : i + 50_000]]) for i in range(0, len(which), 50_000)] or [np.zeros(0)])
                 order = np.lexsort((xid[near], -score, which))
                 which, ids, score = qid[which[order]], xid[near[order]], score[order]
-                if len(np.unique(xid)) < len(xid) or len(np.unique(qid)) < len(qid):
+                if not one_row_an_id or len(np.unique(qid)) < len(qid):
                     _, first = np.unique(np.stack([which, ids], axis=1), axis=0, return_index=True)
                     first.sort()
                     which, ids, score = which[first], ids[first], score[first]
