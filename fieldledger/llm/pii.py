@@ -160,7 +160,8 @@ def analysed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     pairs = holders.select("row_key", "copy", F.col("e.entity").alias("entity"), F.explode(near_terms(F.col("e"))).alias("term")).distinct()
     pairs = shared_table(pairs, "pii-pairs")
     found = disclosing(pairs, docs, rows.count())
-    per_row = pairs.join(found, ["entity", "term"]).groupBy("row_key", "copy").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
+    held = shared_table(holders.select("row_key", "copy", F.col("e.entity").alias("entity")).distinct(), "pii-held")
+    per_row = held.join(found, "entity").groupBy("row_key", "copy").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
     rows = rows.join(shared_table(per_row, "pii-terms"), ["row_key", "copy"], "left")
     taken = F.concat(*BASE)
 

@@ -202,6 +202,16 @@ def test_disclosing_terms(spark):
     assert "@" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[4][1]
 
 
+def test_disclosing_term_far_from_its_entity(spark):
+    far = "a0@x.org wrote " + "the day is fine and " * 12 + "so says the zebra"
+    rows = [(i, "the name zebra calls a0@x.org often") for i in range(3)] + [(3, far)] + [(10 + i, "the day is fine and often wrote so says the name") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    at = far.index("zebra")
+    assert f":{at}:{at + 5}" in found[3]
+    assert "zebra" not in {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[3]
+
+
 def test_secrets(docs, none):
     made = secret_scan.automaton()
     rng = random.Random(3)
