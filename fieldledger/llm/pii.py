@@ -1,9 +1,9 @@
 """Personal data: base patterns, and information-theoretic sanitisation; DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers: the protected
-entities. Words near an entity may reveal it just as well. How well is read off the corpus: with
-n(c) documents that hold entity c, n(t) that hold term t, n(c, t) that hold t within a few words
-of c, and N documents, the term discloses log(N n(c, t) / (n(c) n(t))) of the entity's
+entities. Words that share documents with an entity may reveal it just as well. How well is read off
+the corpus: with n(c) documents that hold entity c, n(t) that hold term t, n(c, t) that hold both, at
+any distance and be it one document only, and N documents, the term discloses log(N n(c, t) / (n(c) n(t))) of the entity's
 information log(N / n(c)). Terms at or above ``GENERALISE`` of it are to be generalised and
 those at or above ``REMOVE`` removed, wherever they stand in a document that holds the entity.
 All counts are over all documents.
@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_table, text_of
 
-#: Words on either side of an entity that count as near, the characters in which they are looked
-#: for, the fewest documents in which a term must stand near the entity, and the thresholds.
-NEAR_WORDS, NEAR_CHARS, SUPPORT = 5, 120, 2
+#: The shares of an entity's information from which a term is generalised and removed.
 GENERALISE, REMOVE = 0.6, 0.9
 
 #: The base kinds in order. The guards before a first repetition let a search begin
@@ -108,44 +106,41 @@ def entities() -> Column:
     return F.concat(of("email", F.lower), of("ip", lambda h: h), of("card", digits), of("phone", digits))
 
 
-def near_terms(entity: Column) -> Column:
-    """The distinct words of three letters or more next to an entity's span."""
-    begin = F.greatest(entity["start"] - NEAR_CHARS, F.lit(0))
-    before = F.substring(F.col("text"), begin + 1, entity["start"] - begin)
-    after = F.substring(F.col("text"), entity["end"] + 1, F.lit(NEAR_CHARS))
-    # a word that the window cuts through is dropped with the non-letters around it
-    before = F.when(begin > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.when(F.length(after) == NEAR_CHARS, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-
-    def words(side: Column) -> Column:
-        return F.regexp_extract_all(F.lower(side), F.lit(WORD), F.lit(0))
-
-    left, right = words(before), words(after)
-    left = F.slice(left, F.greatest(F.size(left) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS))
-    return F.array_distinct(F.filter(F.concat(left, F.slice(right, 1, NEAR_WORDS)), lambda w: F.length(w) >= 3))
+def words_of(text: Column) -> Column:
+    """The distinct words of three letters or more, in lower case; the same words that WORD finds."""
+    words = F.transform(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.lower(w))
+    return F.filter(F.array_distinct(words), lambda w: F.length(w) >= 3)
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """term and n_term, the number of documents that hold it, over all words of all documents."""
-    words = F.array_distinct(F.split(F.lower(text_of()), r"[^\p{L}]+"))
-    return docs.select(F.explode(words).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("n_term"))
+    return docs.select(F.explode(words_of(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def disclosing(pairs: DataFrame, docs: DataFrame, total: int) -> DataFrame:
-    """entity, term, disclosure and action of the terms at or above the thresholds.
+def disclosing(held: DataFrame, texts: DataFrame, docs: DataFrame, total: int) -> DataFrame:
+    """row_key, copy, term and action of the terms at or above the thresholds in the rows that hold an entity.
 
-    pairs has one row per document, entity and term near it.
+    held has one row per document and entity in it, texts the text of each such document.
     """
-    per_entity = pairs.select("row_key", "copy", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    near = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_near")).where(F.col("n_near") >= SUPPORT)
-    near = shared_table(near, "pii-near")
-    scored = near.join(document_counts(docs), "term").join(shared_table(per_entity, "pii-entities"), "entity")
+    per_entity = shared_table(held.groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-entities")
     n = F.lit(float(total))
-    shown = F.log2(F.col("n_near") * n / (F.col("n_entity") * F.greatest("n_term", "n_near")))
-    held = F.log2(n / F.col("n_entity"))
-    scored = scored.withColumn("disclosure", F.when(held > 0, shown / held))
+
+    def most(n_entity: Column) -> Column:
+        """No term in more documents reaches GENERALISE, as n_pair is n_entity at most; a little is added for rounding."""
+        return F.pow(n, F.lit(1 - GENERALISE)) * F.pow(n_entity.cast("double"), F.lit(GENERALISE)) * 1.001
+
+    largest = per_entity.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("n")).first()["n"]
+    counts = shared_table(document_counts(docs).where(F.col("n_term") <= most(F.lit(largest))), "pii-counts")
+    words = texts.select("row_key", "copy", F.explode(words_of(F.col("text"))).alias("term")).join(counts, "term")
+    pairs = held.join(per_entity, "entity").join(words, ["row_key", "copy"]).where(F.col("n_term") <= most(F.col("n_entity")))
+    pairs = shared_table(pairs, "pii-pairs")
+    scored = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_pair"))
+    shown = F.log2(F.col("n_pair") * n / (F.col("n_entity") * F.col("n_term")))
+    full = F.log2(n / F.col("n_entity"))
+    scored = scored.withColumn("disclosure", F.when(full > 0, shown / full))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    return shared_table(scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure", action.alias("action")), "pii-disclosing")
+    found = shared_table(scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", action.alias("action")), "pii-disclosing")
+    return pairs.join(found, ["entity", "term"]).select("row_key", "copy", "term", "action")
 
 
 def analysed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -156,19 +151,17 @@ def analysed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     some = sum((F.size(k) for k in BASE[1:]), F.size(BASE[0])) > 0
     # the text goes along only where an entity stands in it
     rows = shared_table(rows.withColumn("text", F.when(some, F.col("text"))), "pii-rows")
-    holders = rows.where("text IS NOT NULL").select("row_key", "copy", "text", F.explode(entities()).alias("e"))
-    pairs = holders.select("row_key", "copy", F.col("e.entity").alias("entity"), F.explode(near_terms(F.col("e"))).alias("term")).distinct()
-    pairs = shared_table(pairs, "pii-pairs")
-    found = disclosing(pairs, docs, rows.count())
-    held = shared_table(holders.select("row_key", "copy", F.col("e.entity").alias("entity")).distinct(), "pii-held")
-    per_row = held.join(found, "entity").groupBy("row_key", "copy").agg(F.collect_set(F.struct("term", "action")).alias("terms"))
+    texts = rows.where("text IS NOT NULL")
+    held = texts.select("row_key", "copy", F.explode(F.transform(entities(), lambda e: e["entity"])).alias("entity"))
+    found = disclosing(shared_table(held.distinct(), "pii-held"), texts, docs, rows.count())
+    of_action = {a: F.collect_set(F.when(F.col("action") == a, F.col("term"))) for a in ADDED}
+    of_action["generalise"] = F.array_except(of_action["generalise"], of_action["remove"])  # a term that some entity wants removed is removed
+    per_row = found.groupBy("row_key", "copy").agg(*[c.alias(f"{a}_terms") for a, c in of_action.items()])
     rows = rows.join(shared_table(per_row, "pii-terms"), ["row_key", "copy"], "left")
     taken = F.concat(*BASE)
 
     def of(action: str) -> Column:
-        wanted = F.transform(F.filter("terms", lambda t: t["action"] == action), lambda t: t["term"])
-        if action == "generalise":  # a term that some entity wants removed is removed
-            wanted = F.array_except(wanted, F.transform(F.filter("terms", lambda t: t["action"] == "remove"), lambda t: t["term"]))
+        wanted = F.col(f"{action}_terms")
         words = spans(F.col("text"), WORD, lambda h: F.array_contains(wanted, F.lower(h)))
         free = F.filter(words, lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         return F.when(F.size(wanted) > 0, free).otherwise(F.array().cast(f"array<{SPAN}>"))

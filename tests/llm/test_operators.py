@@ -212,6 +212,35 @@ def test_disclosing_term_far_from_its_entity(spark):
     assert "zebra" not in {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[3]
 
 
+def test_disclosing_terms_of_whole_documents(spark):
+    """Every word of a document counts, at any distance, and pairs seen once are scored: against brute force."""
+    rng = random.Random(2)
+    pool = [f"{a}{b}{c}" for a in "abcdefg" for b in "aeiou" for c in "lmnrs"]
+    texts = []
+    for i in range(90):
+        words = [rng.choice(pool[: 1 + rng.randrange(len(pool))]) for _ in range(40)]
+        if i % 3 == 0:
+            words.insert(rng.randrange(40), f"u{i}@x.org")  # in one document only
+        if i % 4 == 0:
+            words.insert(rng.randrange(40), f"s{i % 8}@x.org")
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    held = [set(re.findall(r"[a-z0-9]+@x\.org", t)) for t in texts]
+    words = [{w for w in re.findall(r"[a-z]+", t) if len(w) >= 3} for t in texts]
+    n_term, n_entity = Counter(w for s in words for w in s), Counter(e for s in held for e in s)
+    n_pair = Counter((e, w) for h, s in zip(held, words, strict=True) for e in h for w in s)
+    truth = {(e, w): np.log(len(texts) * n / (n_entity[e] * n_term[w])) / np.log(len(texts) / n_entity[e]) for (e, w), n in n_pair.items()}
+    assert 1 in n_entity.values() and any(x >= pii.GENERALISE for (e, _), x in truth.items() if n_entity[e] == 1)
+    for r in pii.find(docs).collect():
+        i, wanted = r["doc_id"], {"generalise": [], "remove": []}
+        for m in re.finditer(r"(?<![@.a-z0-9])[a-z]{3,}(?![@0-9])", texts[i]):
+            best = max((truth[e, m[0]] for e in held[i]), default=0)
+            if best >= pii.GENERALISE:
+                wanted["remove" if best >= pii.REMOVE else "generalise"].append(f"{m.start()}:{m.end()}")
+        said = [s for s in r["spans"].split(",") if s.split(":")[0] in wanted]
+        assert said == [f"{k}:{at}" for k, found in wanted.items() for at in found]
+
+
 def test_secrets(docs, none):
     made = secret_scan.automaton()
     rng = random.Random(3)
