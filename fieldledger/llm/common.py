@@ -42,6 +42,44 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of shared tables that nothing reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        for name in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            at = sc._jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """docs as one struct column ``row``, so that no name of theirs meets an operator's own."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def uncarried(rows: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``like`` out of ``row``, those named in ``new`` (in any case) replaced."""
+    by = {c.lower(): v for c, v in new.items()}
+    row = F.col("row")
+    columns = [by[c.lower()].cast(like.schema[i].dataType) if c.lower() in by else row.getField(c) for i, c in enumerate(like.columns)]
+    return rows.select(*[value.alias(c) for value, c in zip(columns, like.columns, strict=True)])
+
+
+#: Rows whose key is shared by more than one in so many of all rows are joined by broadcast.
+HOT_SHARE = 10_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with the one row of facts that has their key; count tells how many rows have it.
+
+    A key with more than one in HOT_SHARE of ``total`` rows is hot. There are fewer than HOT_SHARE
+    such keys, whatever the data, so they are broadcast and their rows stay where they are; all
+    other rows are joined by a shuffle that no single key can burden.
+    """
+    most = max(1000, total // HOT_SHARE)
+    hot, cold = facts.where(F.col(count) > most), facts.where(F.col(count) <= most)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

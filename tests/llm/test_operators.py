@@ -159,10 +159,53 @@ def test_near_duplicates(docs, none):
 
 
 def test_near_duplicate_parts():
-    depth = near_dup.prefix_length(0.8, 20, 8, 0.999)
-    assert depth == 5 and 1 - (1 - 0.8**depth) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 20
     sets = [np.arange(10, dtype=np.uint64), np.arange(8, dtype=np.uint64), np.arange(7, dtype=np.uint64)]
-    assert near_dup.jaccard_at_least(sets, 0.8)[0, 1:].tolist() == [True, False]
+    assert near_dup.jaccard_at_least(sets[:1], sets[1:], 0.8).tolist() == [[True, False]]
+    # few pairs at the threshold and many close ones: deep prefixes find nearly all, and the fewer ask for shorter ones
+    recalls = [near_dup.measured_recall({80: 5.0, 97: 100.0}, 8, d, 20) for d in (8, 6, 4)]
+    assert recalls == sorted(recalls) and recalls[0] > 0.99 and near_dup.measured_recall({80: 1.0}, 8, 8, 20) == pytest.approx(1 - (1 - 0.8**8) ** 20)
+
+
+def test_connect_is_the_closure_of_alike_rows():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        signs = rng.integers(0, 3, (40, 12))
+        alike = (signs[:, None] == signs[None]).mean(2) >= 0.6
+        root = np.arange(40)
+        for _ in range(40):
+            root = np.where(alike, root[None, :], 99).min(1)
+        of = near_dup.connect(signs, np.arange(40), 0.6)
+        assert len(set(zip(of, root, strict=True))) == len(set(of)) == len(set(root))
+        # blocks first, then across
+        inside = np.concatenate([near_dup.connect(signs[:20], np.arange(20), 0.6), 20 + near_dup.connect(signs[20:], np.arange(20), 0.6)])
+        of = near_dup.connect(signs, inside, 0.6, np.repeat([0, 1], 20))
+        assert len(set(zip(of, root, strict=True))) == len(set(of)) == len(set(root))
+
+
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    """Groups of several blocks, near copies in chains, and a forest in several ranges, against brute force."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "RANGE_PATHS", 300)
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        if i % 9 == 0:
+            base = [*base]
+            base[rng.randrange(120)] = f"x{i}"
+        own = [*base]
+        own[rng.randrange(120)] = f"y{i}"
+        texts.append(" ".join(own if i % 5 else own[: 100 + i % 20]))
+    texts += [" ".join(rng.choice(base) for _ in range(60)) for _ in range(60)] + texts[:7]
+    rows = [*enumerate(texts)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = [set(near_dup.shingles(t).tolist()) for t in texts]
+    linked = [[j for j in range(len(sets)) if j != i and len(s & sets[j]) * 10 >= 8 * len(s | sets[j])] for i, s in enumerate(sets)]
+    root = list(range(len(sets)))
+    for _ in root:
+        root = [min([root[i], *(root[j] for j in linked[i])]) for i in range(len(root))]
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(docs).collect()) == [(i, root[i], len(linked[i])) for i in range(len(sets))]
+    assert max(map(len, linked)) > 16
 
 
 def base_truth(text):
