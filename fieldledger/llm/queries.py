@@ -112,14 +112,13 @@ WITH fine AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-), usual AS (SELECT len(v) AS n FROM fine GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
-u AS (SELECT vec_id, v FROM fine WHERE len(v) = (SELECT n FROM usual))"""
+), u AS (SELECT vec_id, max(v) AS v FROM fine GROUP BY vec_id)"""
 
 NEAREST_SQL = USABLE_SQL + """
 , scored AS (
   SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
          list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i]), lambda a, b: a + b) AS score
-  FROM u AS q JOIN u AS x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+  FROM u AS q JOIN u AS x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id AND len(x.v) = len(q.v)
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
@@ -128,7 +127,7 @@ HAMMING_SQL = USABLE_SQL + """
 , scored AS (
   SELECT q.vec_id AS query_id, x.vec_id AS vec_id,
          len(list_filter(range(1, len(q.v) + 1), lambda i: (q.v[i] > 0) <> (x.v[i] > 0)))::INTEGER AS distance
-  FROM u AS q JOIN u AS x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id
+  FROM u AS q JOIN u AS x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id AND len(x.v) = len(q.v)
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 20
 """

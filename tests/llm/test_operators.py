@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from fieldledger.llm import ann, hamming, line_dedup, mixing, near_dup, packing, pii, queries, secret_scan, sharding, toxicity
+from fieldledger.llm import vectors as search_blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, h int"
 
@@ -308,26 +309,63 @@ def vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).astype("float32").tolist()) for i in range(150)]
     rows += [(200 + i, rows[7][1]) for i in range(30)]  # ties
-    rows += [(300, None), (301, [0.0] * 16), (302, [float("nan")] * 16), (303, [None] + [1.0] * 15), (304, [1.0] * 3), (305, []), (None, [1.0] * 16), rows[20], (320, [float("inf")] * 16)]
+    rows += [(300, None), (301, [0.0] * 16), (302, [float("nan")] * 16), (303, [None] + [1.0] * 15), (304, [1.0] * 3), (305, []), (None, [1.0] * 16), (320, [float("inf")] * 16)]
+    rows += [rows[20], (40, [-9.0] + [0.0] * 15), (340, [1.0, -1.0, 0.5]), (360, [2.0] * 9)]  # repeated ids, other widths
     return rows, spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string").repartition(4)
 
 
 @pytest.mark.parametrize("operator", [ann, hamming], ids=["inner product", "hamming"])
-def test_searches(spark, operator):
+def test_searches(spark, operator, monkeypatch):
+    monkeypatch.setattr(search_blocks, "FIRST_ROWS", 40)  # so that bounds travel to other blocks
     rows, table = vectors(spark)
-    usable = {i: np.array(v, np.float64) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)}
+    usable = {}
+    for i, v in rows:
+        if i is not None and v and None not in v and np.isfinite(v).all() and any(v):
+            usable[i] = np.array(max(v, usable[i].tolist()) if i in usable else v, np.float64)
     wanted = []
     for q in (i for i in usable if i % 20 == 0):
+        same = {i: v for i, v in usable.items() if i != q and len(v) == len(usable[q])}
         if operator is ann:
-            order = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q)
+            order = sorted((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in same.items())
             wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order[:20])]
         else:
-            order = sorted((int(((usable[q] > 0) != (v > 0)).sum()), i) for i, v in usable.items() if i != q)
+            order = sorted((int(((usable[q] > 0) != (v > 0)).sum()), i) for i, v in same.items())
             wanted += [(q, k + 1, i, d) for k, (d, i) in enumerate(order[:20])]
     assert sorted(tuple(r) for r in operator.nearest(table).collect()) == sorted(wanted)
     assert operator.nearest(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "dim", "most"), [("scattered", 64, 0.1), ("clustered", 64, 0.02), ("clustered", 300, 0.02), ("clustered", 1001, 0.02)])
+def test_a_block_of_20000_vectors(kind, dim, most):
+    """Both searches equal brute force, and prune: the share of pairs that are scored or verified is small."""
+    rng = np.random.default_rng(0)
+    n = 20_000
+    x = rng.normal(size=(n, dim)) if kind == "scattered" else rng.normal(size=(200, dim))[rng.integers(0, 200, n)] + 0.4 * rng.normal(size=(n, dim))
+    x = x.astype(np.float32)
+    ids, asked = np.arange(n), np.arange(0, n, 400)
+    rotate = ann.rotation(dim, ann.BITS)
+    codes, norm, fit = ann.encode(x.astype(float), rotate)
+    assert codes.shape[1] * 8 == rotate.shape[1] >= dim
+    query, vec, _, scored = ann.search_block(x[asked], asked, np.full(len(asked), -np.inf), x, ids, codes, norm, fit, rotate, 20, ann.REACH)
+    truth = x[asked].astype(float) @ x.astype(float).T
+    truth[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-truth, axis=1)[:, :20]
+    assert np.mean([len(set(best[i]) & set(vec[query == q])) / 20 for i, q in enumerate(asked)]) >= 0.99
+    assert scored <= most * n * len(asked)
+    signs = x > 0
+    index = hamming.Segments(np.packbits(signs, axis=1), dim)
+    values, words, verified = np.stack(index.segment(np.packbits(signs[asked], axis=1)), axis=1), index.whole_words(np.packbits(signs[asked], axis=1)), 0
+    for i, q in enumerate(asked[::5]):
+        d = (signs != signs[q]).sum(axis=1)
+        d[q] = dim + 1
+        order = np.lexsort((ids, d))[:20]
+        for bound in (np.inf, d[order[-1]], d[order[-1]] - 1):
+            rows, found, many = index.nearest(values[5 * i].tolist(), words[5 * i], np.array([q]), ids, 20, bound)
+            assert rows.tolist() == order[d[order] <= bound].tolist() and (found == d[rows]).all()
+        verified += many
+    assert verified <= max(0.25, 2.5 * most) * n * len(asked[::5])
+
+
 def test_code_estimates_stay_in_their_bounds():
     rng = np.random.default_rng(4)
     x, q = rng.normal(size=(2000, 64)), rng.normal(size=64)
