@@ -11,7 +11,10 @@ lose a line. The text stays where it is until ``apply_bitmaps``.
 
 Defined results: a null or empty text is one empty line and keeps it; a row with a null doc_id
 keeps all its lines and holds no key; rows that repeat a doc_id hold their keys together and
-decide by their own texts; keys under ``min_chars`` always stay; an empty table gives no rows.
+decide by their own texts; a key that one document holds twice keeps both lines; keys under
+``min_chars`` always stay; a very long text is split by one task, and only the hashes of its
+lines travel; an empty table gives no rows; other columns, whatever their names, stay as they
+are, but for n_chars, which counts what is left.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import shared_dir, shared_table, text_of
+from .common import carried, shared_dir, shared_table, text_of, uncarried
 
 #: What is stripped from a line, and the least length of a key.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -170,18 +174,17 @@ def kept_text(text: str, bitmap: bytes | None, n_bits: int) -> str:
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the columns keep, n_bits and n_dropped (null: nothing goes) beside their own."""
-    bits = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("keep").alias("_keep"), F.col("n_bits").alias("_n_bits"), F.col("n_dropped").alias("_n_dropped"))
-    return docs.withColumn("_own_key", text_key()).join(bits, (F.col("doc_id") == F.col("_doc")) & (F.col("_own_key") == F.col("_key")), "left").drop("_doc", "_key", "_own_key")
+    """row (all columns of docs), doc_id, text, and keep, n_bits and n_dropped (null: nothing goes)."""
+    rows = carried(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text_of("row.text").alias("text")).withColumn("text_key", text_key())
+    return rows.join(keep_bitmaps(docs.select("doc_id", "text"), min_chars), ["doc_id", "text_key"], "left").drop("text_key")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
-            texts = [kept_text(t, k, n) for t, k, n in zip(part["text"].to_pylist(), part["_keep"].to_pylist(), part["_n_bits"].to_pylist(), strict=True)]
-            names = [c for c in part.schema.names if c not in ("_keep", "_n_bits", "_n_dropped")]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part[c] for c in names], names)
+            texts = [kept_text(t, k, n) for t, k, n in zip(part["text"].to_pylist(), part["keep"].to_pylist(), part["n_bits"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part["row"], pa.array(texts, pa.string())], ["row", "text"])
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -189,14 +192,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     Rows that lose nothing keep their text as it is, null included.
     """
-    columns = docs.columns
-    both = with_bitmaps(docs, min_chars).withColumn("_text", F.col("text"))
-    lean = both.withColumn("text", text_of())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lean.drop("_keep", "_n_bits", "_n_dropped", "_text").schema)
-    cut = lean.where(F.col("_keep").isNotNull()).drop("_text").mapInArrow(_apply, schema)
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.where(F.col("_keep").isNull()).select(*columns).unionByName(cut.select(*columns))
+    both = with_bitmaps(docs, min_chars)
+    schema = StructType([both.schema["row"], StructField("text", StringType())])
+    cut = both.where(F.col("keep").isNotNull()).select("row", "text", "keep", "n_bits").mapInArrow(_apply, schema)
+    return both.where(F.col("keep").isNull()).select("row.*").union(uncarried(cut, docs, text=F.col("text"), n_chars=F.length("text")))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +205,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             texts = part["text"].to_pylist()
-            kept = [kept_text(t, k, n) for t, k, n in zip(texts, part["_keep"].to_pylist(), part["_n_bits"].to_pylist(), strict=True)]
+            kept = [kept_text(t, k, n) for t, k, n in zip(texts, part["keep"].to_pylist(), part["n_bits"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array([t.count("\n") + 1 for t in texts], pa.int64()), pa.array([n or 0 for n in part["_n_dropped"].to_pylist()], pa.int64()), pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in kept])],
+                [part["doc_id"], pa.array([t.count("\n") + 1 for t in texts], pa.int64()), pa.array([n or 0 for n in part["n_dropped"].to_pylist()], pa.int64()), pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in kept])],
                 ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
 
 def line_digests(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256, one row per row of docs."""
-    both = with_bitmaps(docs.select("doc_id", text_of().alias("text")), min_chars)
+    both = with_bitmaps(docs.select("doc_id", "text"), min_chars).drop("row")
     return both.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -7,8 +7,11 @@ spent. A source whose target exceeds its words is queued again after its own end
 shuffled order, up to ``max_repeats`` times.
 
 Defined results: a null text has size 0 and is never short of its (zero) share; null sources
-form one source that sorts last; repeated rows are separate documents; an empty table gives an
-empty result; other columns are left alone (``mix`` returns only the named ones).
+form one source that sorts last; repeated rows are separate documents, and so are rows with a null
+doc_id; equal virtual finish times tie by source, copy and place in the shuffled queue; a very long
+text is taken whole or not at all, so a target may be missed by its size; an empty table gives an
+empty result; other columns, whatever their names, are left alone (``mix`` returns only the
+named ones).
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, running_sum, shared_table, text_of
+from .common import HOT_SHARE, buckets_for, carried, join_hot, running_sum, shared_table, text_of
 
 #: Runs of characters outside space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,8 +31,12 @@ MAX_REPEATS = 2
 
 
 def shuffle_key(seed: int) -> Column:
-    """A place in the shuffled queue that depends on the document and the seed alone."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    """A place in the shuffled queue that depends on the document and the seed alone.
+
+    Rows without an id of their own (null, or one of a very common id) are shuffled one by one.
+    """
+    own = F.when(F.col("doc_id").isNull() | F.col("common"), F.concat_ws("/", F.lit("row"), F.col("doc_id").cast("string"), F.col("twin").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    return F.md5(F.concat(own, F.lit(f":{seed}")).cast("binary"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -62,13 +69,18 @@ def sized(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     return docs.select("doc_id", key.alias("source_key"), size.alias("size"), *extra)
 
 
-def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_repeats: int = MAX_REPEATS, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, times and first_finish, one row per document.
 
     taken counts words with repeats; first_finish is the virtual finish time of the first copy.
     """
-    queue = shared_table(sized(docs).withColumn("shuffled", shuffle_key(seed)).withColumn("twin", F.monotonically_increasing_id()), "mix-sizes")
+    queue = shared_table(sized(docs, extra).withColumn("twin", F.monotonically_increasing_id()), "mix-sizes")
     rows = queue.count()
+    # fewer than HOT_SHARE ids, whatever the data
+    common = queue.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(1000, rows // HOT_SHARE))
+    common = shared_table(common.select(F.col("doc_id").alias("common_id")), "mix-common")
+    queue = queue.join(F.broadcast(common), F.col("doc_id") == F.col("common_id"), "left").withColumn("common", F.col("common_id").isNotNull())
+    queue = queue.withColumn("shuffled", shuffle_key(seed)).drop("common", "common_id")
     per = shared_table(targets(queue, weights, budget, max_repeats), "mix-targets")
     # the digest's leading 32 bits as buckets: the order of the queue is that of the digests
     lead = F.floor(F.conv(F.substring("shuffled", 1, 8), 16, 10).cast("double") * buckets_for(rows) / 2**32).cast("long")
@@ -116,16 +128,18 @@ def mix(docs: DataFrame, seed: int = 1, weights: tuple[int, ...] = WEIGHTS, budg
 
     times = reduce(lambda a, b: a + b, [goes(t).cast("long") for t in range(max_repeats)])
     out = queue.withColumn("times", F.when(F.col("target") > 0, times).otherwise(F.lit(0).cast("long")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", finish(0).alias("first_finish"), "shuffled")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", finish(0).alias("first_finish"), "shuffled", *extra)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, a document taken twice being there twice.
 
-    Rows whose doc_id is null or repeated share one decision per doc_id: the most copies that
-    any of them was given.
+    Rows that repeat both id and text share one decision: the most copies that any of them was
+    given.
     """
-    columns = docs.columns
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0")
-    kept = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "t._times")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*columns)
+    rows = carried(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), text_of("row.text").alias("text"))
+    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    taken = mix(rows.select("doc_id", "source", "text", "row_key"), extra=("row_key",), **options)
+    taken = shared_table(taken.groupBy("row_key").agg(F.max("times").alias("times"), F.count("*").alias("copies")).where("times > 0"), "mix-taken")
+    kept = join_hot(rows.select("row", "row_key"), taken, "row_key", "copies", docs.count())
+    return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

@@ -10,7 +10,9 @@ All counts are over all documents.
 
 Defined results: a null text is the empty text and has no spans; rows that repeat doc_id and text
 are documents of their own with the same spans; an entity in every document carries no
-information, so nothing discloses it; an empty table gives no rows; other columns are ignored by
+information, so nothing discloses it; a term that two entities judge differently is removed; a
+text of any length is read whole, its spans placed in runs of ``RUN`` so that the work stays in
+proportion; an empty table gives no rows; other columns, whatever their names, are ignored by
 ``find`` and kept by ``sanitise``.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_table, text_of
+from .common import carried, shared_table, text_of, uncarried
 
 #: The shares of an entity's information from which a term is generalised and removed.
 GENERALISE, REMOVE = 0.6, 0.9
@@ -39,17 +41,33 @@ IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 WORD = r"\p{L}++"
 
 SPAN = "struct<start:int,end:int,hit:string>"
+#: Matches that are placed one after the other; runs of them are then placed as wholes.
+RUN = 128
+
+
+def in_runs(items: Column) -> Column:
+    """The array cut into arrays of RUN."""
+    runs = F.ceil(F.size(items) / F.lit(RUN)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
+    return F.when(F.size(items) > 0, cut).otherwise(F.filter(F.array(items), lambda _: F.lit(False)))
+
+
+def before_runs(runs: Column, after: Callable[[Column, Column], Column]) -> Column:
+    """The number that each run begins with: 0, and after(the one before, its run) from then on."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    return F.aggregate(runs, start, lambda acc, run: F.struct(after(acc["at"], run).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")), lambda acc: acc["begins"])
 
 
 def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
     """start, end and hit of the pattern's matches that keep lets pass, leftmost, not overlapping.
 
     What lies between matches and the matches themselves are taken apart by one pattern, so
-    their lengths in code points add up to positions.
+    their lengths in code points add up to positions: within a run first, then run by run.
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    none = F.array().cast(f"array<{SPAN}>")
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
@@ -57,8 +75,10 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Colum
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("hit")))
         return F.struct(end.alias("at"), F.when(keep(pair["hit"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    runs = F.transform(in_runs(pairs), lambda run: F.aggregate(run, F.struct(F.lit(0).alias("at"), none.alias("found")), step))
+    begins = before_runs(runs, lambda at, run: at + run["at"])
+    moved = F.zip_with(runs, begins, lambda run, at: F.transform(run["found"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["hit"].alias("hit"))))
+    return F.flatten(moved)
 
 
 def digits(hit: Column) -> Column:
@@ -184,20 +204,27 @@ def find(docs: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with each entity and each generalised term replaced by its kind, and removed terms gone."""
-    columns = docs.columns
-    rest = tuple(c for c in columns if c != "doc_id")
-    kept = analysed(docs.withColumn("_text", text_of()), (*[c for c in rest if c != "text"], "_text"))
+    rows = carried(docs).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    kept = analysed(rows, ("row",)).withColumn("whole", text_of("row.text"))
 
     def places(kind: str) -> Column:
         by = F.lit("" if kind == "remove" else f"[{kind.upper()}]")
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by.alias("by")))
 
-    marked = F.concat(*[places(k) for k in (*BASE, *ADDED)])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    runs = in_runs(F.array_sort(F.concat(*[places(k) for k in (*BASE, *ADDED)])))
+    kept = kept.withColumn("runs", runs).withColumn("begins", before_runs(F.col("runs"), lambda at, run: F.greatest(at, F.array_max(F.transform(run, lambda s: s["end"])))))
+
+    def replaced(run: Column, begin: Column) -> Column:
+        """The text from begin to where the run ends, replaced; what overlaps an earlier span only lengthens it."""
+        end = F.greatest(begin, F.array_max(F.transform(run, lambda s: s["end"])))
+        segment = F.substring(F.col("whole"), begin + 1, end - begin)
+
+        def step(acc: Column, s: Column) -> Column:
+            free = F.substring(segment, acc["at"] - begin + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], free, F.when(s["start"] >= acc["at"], s["by"]).otherwise("")).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], before, s["by"]).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+        return F.aggregate(run, F.struct(begin.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    text = F.aggregate(F.array_sort(marked), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    return kept.withColumn("text", text).select(*columns)
+    last = F.coalesce(F.array_max(F.transform(F.flatten("runs"), lambda s: s["end"])), F.lit(0))
+    text = F.concat(F.array_join(F.zip_with("runs", "begins", replaced), ""), F.substring(F.col("whole"), last + 1, F.length("whole")))
+    return uncarried(kept.withColumn("clean", F.when(F.size("runs") > 0, text).otherwise(F.col("row.text"))), docs, text=F.col("clean"))

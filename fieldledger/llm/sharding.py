@@ -1,48 +1,68 @@
 """Sharding by longest-processing-time scheduling.
 
-Documents with equal texts form a group and stay together. Groups are dealt by a hash of the
-text to *yards*; inside a yard they go, largest first, to the least loaded of its ``shards``
-trays through a heap. Then the trays of all yards go, largest first, to the least loaded shard
-through a second heap. The second heap sees ``shards`` rows a yard, never the groups, and a
-yard holds a bounded number of groups, so no task and no driver gathers all groups.
-
-Defined results: a null text counts as the empty text (size 1) and shares its group; repeated
-rows are documents of their own in the same shard; an empty table gives no rows; a group larger
-than a fair share gets a shard that takes little else; other columns are ignored.
+Documents with equal texts form a group and stay together. Groups go, largest first, to the least
+loaded shard through a heap. The heap needs the sizes alone: it works on their histogram, where
+equal groups are dealt in one step as far as the heap would deal them in turns. Sizes from
+``EXACT`` bytes on are put in classes that differ by one part in ``CLASSES`` and count with their
+mean, so the histogram has a bounded number of rows however many groups there are. The groups of
+a class are then numbered without gaps, over all machines, and each number names its shard.
+
+Defined results: a null text counts as the empty text (size 1) and shares its group; groups of
+equal size tie by a hash of their text, equally loaded shards by their number; repeated rows are
+documents of their own in the same shard; a group larger than a fair share gets a shard that
+takes little else; a very long text is only measured and hashed; an empty table gives no rows;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, dense_number, shared_table, text_of
+from .common import buckets_for, dense_number, join_hot, shared_table, text_of
+
+#: Sizes below EXACT are classes of their own; e times as large a size is CLASSES classes further.
+EXACT, CLASSES = 1 << 16, 4096
 
-#: Groups that a yard holds on average, and the most yards that the driver's heap has to seat.
-YARD_GROUPS, MOST_YARDS, LEAST_YARDS = 50_000, 4096, 64
 
+def deal(loads: list[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` groups of ``size`` each shard takes if each goes to the least loaded one, ties to the lower number.
 
-def least_loaded(sizes: Sequence[int], bins: int) -> list[int]:
-    """For sizes in the order given, the bin that each goes to: always the least loaded, ties to the lower number."""
-    heap = [(0, b) for b in range(bins)]
-    placed = []
-    for size in sizes:
-        load, b = heapq.heappop(heap)
-        placed.append(b)
-        heapq.heappush(heap, (load + int(size), b))
-    return placed
+    The heap takes the ``count`` smallest of all loads that the shards pass through. Whole rounds
+    below a common level are counted at once; the heap deals the rest, less than one a shard.
+    """
 
+    def below(level: int) -> list[int]:
+        return [max(0, -(-(level - load) // size)) for load in loads]
 
-def _yard(shards: int):
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["bytes", "text_key"], ascending=[False, True], kind="stable")
-        return frame.assign(tray=least_loaded(frame["bytes"].tolist(), shards))[["yard", "text_key", "bytes", "tray"]]
+    low, high = min(loads), min(loads) + size * count + 1
+    while high - low > 1:  # the highest level with no more than ``count`` loads below it
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= count else (low, middle)
+    taken = below(low)
+    heap = [(load + size * n, shard) for shard, (load, n) in enumerate(zip(loads, taken, strict=True))]
+    heapq.heapify(heap)
+    for _ in range(count - sum(taken)):
+        load, shard = heap[0]
+        taken[shard] += 1
+        heapq.heapreplace(heap, (load + size, shard))
+    return taken
 
-    return fill
+
+def plan(histogram: Iterable[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """(class, shard, first number, end) from (class, groups, their bytes)."""
+    loads, out = [0] * shards, []
+    for size_class, count, total in sorted(histogram, reverse=True):
+        at = 0
+        for shard, many in enumerate(deal(loads, max(1, round(total / count)), count)):
+            if many:
+                loads[shard] += round(total * many / count)
+                out.append((size_class, shard, at, at + many))
+                at += many
+    return out
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -53,17 +73,16 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         "shard-rows",
     )
     n = rows.count()
-    yards = min(MOST_YARDS, max(LEAST_YARDS, n // YARD_GROUPS))
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"))
-    groups = groups.withColumn("yard", F.pmod(F.xxhash64("text_key"), F.lit(yards)).cast("int"))
-    trays = shared_table(groups.groupBy("yard").applyInPandas(_yard(shards), "yard int, text_key binary, bytes long, tray int"), "shard-trays")
-    loads = sorted(((r["bytes"], r["yard"], r["tray"]) for r in trays.groupBy("yard", "tray").agg(F.sum("bytes").alias("bytes")).collect()), key=lambda x: (-x[0], x[1], x[2]))
-    seats = least_loaded([x[0] for x in loads], shards)
-    # at most MOST_YARDS * shards rows of three small integers
-    seated = docs.sparkSession.createDataFrame([(y, t, s) for (_, y, t), s in zip(loads, seats, strict=True)], "yard int, tray int, shard int")
-    placed = trays.join(F.broadcast(seated), ["yard", "tray"]).select("text_key", "shard")
-    out = rows.join(placed, "text_key").withColumn("_order", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    out = out.withColumn("_twin", F.monotonically_increasing_id())
-    out = dense_number(shared_table(out, "shard-placed"), ["shard"], ["_order", "_twin"], "slot", buckets_for(n))
+    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies"))
+    further = F.lit(EXACT) + F.floor(F.log(F.col("bytes") / EXACT) * CLASSES)
+    groups = shared_table(groups.withColumn("class", F.when(F.col("bytes") < EXACT, F.col("bytes")).otherwise(further).cast("long")), "shard-groups")
+    # at most EXACT rows and CLASSES for each time that sizes grow by e
+    histogram = [tuple(r) for r in groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()]
+    places = docs.sparkSession.createDataFrame(plan(histogram, shards), "class long, shard int, begin long, until long")
+    numbered = dense_number(groups, ["class"], ["text_key"], "number", buckets_for(n))
+    # as bounded as the histogram, times the shards
+    placed = numbered.join(F.broadcast(places), "class").where("number >= begin AND number < until").select("text_key", "shard", "copies")
+    out = join_hot(rows, shared_table(placed, "shard-placed"), "text_key", "copies", n).withColumn("order", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    out = shared_table(out.withColumn("twin", F.monotonically_increasing_id()), "shard-out")
+    out = dense_number(out, ["shard"], ["order", "twin"], "slot", buckets_for(n))
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
-

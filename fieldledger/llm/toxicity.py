@@ -4,14 +4,20 @@ A bounded sample of labelled documents yields the lexicon: whole words, and word
 languages that compound, that stand in toxic documents far more often than in others. Its trie
 is intersected with Levenshtein automata: a state is the set of (trie node, edits so far) that
 a word's letters can have reached, made deterministic step by step as words call for it, so
-every word is read once against all terms and all their misspellings together. Hits inside
-quotation marks are counted apart from the rest, and hits are also counted in windows of
-neighbouring words. A logistic regression on these counts gives the score.
+every word is read once against all terms and all their misspellings together; a beginning that
+has been reached within its edits stays found, whatever follows it.
+
+Each hit is then read in its context, a window of words on either side. What the words of the
+window say for or against abuse is learned from the windows of the sample, and whether the hit
+stands between quotation marks is told by following the marks through the whole text. Counts
+of hits by kind, crowding and context go into a logistic regression, which gives the score.
 
 Defined results: a null text is the empty text and is scored as one without hits; a document
 whose label is null, missing or out of 0 and 1 is only scored; labels given twice count as toxic
-if any says so; without labels of both kinds every score is 0; repeated rows are scored each; an
-empty table gives no rows; other columns pass through ``score`` untouched.
+if any says so; without labels of both kinds every score is 0; terms that are equally near tie to
+the longer and then the first one; repeated rows are scored each; a text of any length is read
+whole, in memory that grows with its words; an empty table gives no rows; other columns, whatever
+their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -26,23 +32,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import shared_table, text_of
+from .common import carried, shared_table, text_of
 
 #: The most labelled documents that the model is fitted on, drawn by a hash of doc_id.
 SAMPLE = 8000
-#: The most terms of the lexicon; the least ratio of shares and the least root of the likelihood ratio statistic of a term.
-TERMS, LIFT, LEAST_Z = 400, 4.0, 4.5
-#: Lengths of word beginnings that may become terms.
+#: The least ratio of shares and the least root of the likelihood ratio statistic of a term.
+LIFT, LEAST_Z = 4.0, 4.5
+#: Lengths of word beginnings that may become terms; a longer beginning begins with one of these.
 STEMS = range(4, 11)
-#: Words on either side that a window counts.
-WINDOW = 12
+#: Words on either side that a window takes in; documents in which a word must stand near hits to say anything of them.
+WINDOW, LEAST_NEAR = 12, 20
 #: What a worker remembers of words and automaton states; only speed depends on it.
 CACHE = 300_000
 
 WORD = re.compile(r"\w+")
-QUOTED = re.compile('"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“|(?m:^>.*$)')
-FEATURES = 8
+#: Quotation marks that open, with those that close them, and lines that quote.
+CLOSING = {'"': '"', "“": "”", "«": "»", "„": "“”", "‚": "‘’", "‹": "›"}
+MARKS = re.compile('["“”«»„‚‘’‹›]|^>.*$', re.MULTILINE)
+FEATURES = 11
+
+
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Where the text quotes, whatever the length: between a mark and the next one that closes it, and lines after >.
+
+    A mark that is opened again before it is closed begins anew, and one that is never closed quotes nothing.
+    """
+    spans, mark, begin = [], "", 0
+    for m in MARKS.finditer(text):
+        c = m[0]
+        if c[0] == ">":
+            if not mark:
+                spans.append(m.span())
+        elif mark and c in CLOSING[mark]:
+            spans.append((begin, m.end()))
+            mark = ""
+        elif c in CLOSING and (not mark or c == mark):
+            mark, begin = c, m.start()
+    return spans
 
 
 @dataclass(frozen=True)
@@ -53,8 +81,9 @@ class Term:
 
     @property
     def edits(self) -> int:
-        """Edits that still count as this term: none for beginnings and short words."""
-        return 0 if self.stem or len(self.text) < 5 else 1 if len(self.text) < 9 else 2
+        """Edits that still count as this term; beginnings, which leave more open, need to be a letter longer."""
+        n = len(self.text) - self.stem
+        return 0 if n < 5 else 1 if n < 9 else 2
 
 
 class Matcher:
@@ -88,7 +117,7 @@ class Matcher:
         self.start = self.state({(0, 0)}, frozenset())
 
     def state(self, reached: set[tuple[int, int]], begun: frozenset) -> int:
-        """The number of the state; begun holds the beginnings that have been read in full."""
+        """The number of the state; begun holds (beginning, edits) of those that have been read in full."""
         todo = list(reached)
         least: dict[int, int] = {}
         while todo:
@@ -97,12 +126,16 @@ class Matcher:
                 continue
             least[node] = e
             todo += [(n, e + 1) for n in self.children[node].values()]  # a letter of the term is missing
-        key = (frozenset(least.items()), begun | {t for n, e in least.items() if e == 0 for t in self.ends[n] if self.terms[t].stem})
+        ends = [(t, e) for n, e in least.items() for t in self.ends[n] if e <= self.terms[t].edits]
+        read = dict(begun)
+        for t, e in ends:
+            if self.terms[t].stem:
+                read[t] = min(e, read.get(t, e))
+        key = (frozenset(least.items()), frozenset(read.items()))
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            found = [(e, -len(self.terms[t].text), t) for n, e in least.items() for t in self.ends[n] if not self.terms[t].stem and e <= self.terms[t].edits]
-            found += [(0, -len(self.terms[t].text), t) for t in key[1]]
+            found = [(e, -len(self.terms[t].text), t) for t, e in [*ends, *read.items()]]
             best = min(found, default=None)
             self.result.append(best and (best[2], best[0]))
         return self.states[key]
@@ -137,6 +170,7 @@ class Matcher:
 @dataclass(frozen=True)
 class Model:
     terms: tuple[Term, ...] = ()
+    context: dict = field(default_factory=dict)
     mean: tuple[float, ...] = (0.0,) * FEATURES
     scale: tuple[float, ...] = (1.0,) * FEATURES
     weights: tuple[float, ...] = (0.0,) * FEATURES
@@ -144,36 +178,44 @@ class Model:
     made: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "made"} | {"made": {}}
+        return self.__dict__ | {"made": {}}
 
-    def features(self, text: str) -> list[float]:
+    def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(word number, term, edits) of the words that are terms or misspell them."""
         matcher = self.made.get("matcher") or self.made.setdefault("matcher", Matcher(self.terms))
+        return [(i, *hit) for i, hit in enumerate(map(matcher, words)) if hit is not None]
+
+    def features(self, text: str) -> list[float]:
         low = text.lower()
         words = WORD.findall(low)
-        hits = [(i, hit) for i, hit in enumerate(map(matcher, words)) if hit is not None]
+        hits = self.hits(words)
         if not hits:
             return [0.0] * (FEATURES - 1) + [math.log1p(len(words))]
         quoted: set[int] = set()
-        spans = [m.span() for m in QUOTED.finditer(low)]
-        if spans:
+        if spans := quotations(low):
             begins = [m.start() for m in WORD.finditer(low)]
             at = 0
-            for i, _ in hits:
+            for i, _, _ in hits:
                 while at < len(spans) and spans[at][1] <= begins[i]:
                     at += 1
                 if at < len(spans) and spans[at][0] <= begins[i]:
                     quoted.add(i)
-        abuse = [(i, t, e) for i, (t, e) in hits if i not in quoted]
+        abuse = [x for x in hits if x[0] not in quoted]
         exact = [(i, t) for i, t, e in abuse if e == 0]
+        misspelt = sum(e > 0 and not self.terms[t].stem for _, t, e in abuse)
         weight = sum(self.terms[t].weight for _, t in exact)
         crowd, lo = 0, 0
         for k, (i, _) in enumerate(exact):
             while exact[lo][0] < i - 2 * WINDOW:
                 lo += 1
             crowd = max(crowd, k - lo + 1)
+        # what the windows say, for and against abuse; a word between two hits speaks to both
+        said = np.r_[0.0, np.cumsum([self.context.get(w, 0.0) for w in words])] if self.context else np.zeros(len(words) + 1)
+        windows = [said[min(i + WINDOW + 1, len(words))] - said[max(i - WINDOW, 0)] for i, _ in exact]
         return [
-            math.log1p(len(exact)), math.log1p(len(abuse) - len(exact)), math.log1p(len(quoted)), math.log1p(len({t for _, t in exact})),
-            math.log1p(weight), math.log1p(100.0 * len(exact) / (len(words) + 20)), math.log1p(crowd), math.log1p(len(words)),
+            math.log1p(len(exact)), math.log1p(misspelt), math.log1p(len(abuse) - len(exact) - misspelt), math.log1p(len(quoted)), math.log1p(len({t for _, t in exact})),
+            math.log1p(weight), math.log1p(100.0 * len(exact) / (len(words) + 20)), math.log1p(crowd),
+            math.log1p(sum(w for w in windows if w > 0)), math.log1p(sum(-w for w in windows if w < 0)), math.log1p(len(words)),
         ]
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -189,12 +231,12 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """text and toxic of up to ``most`` labelled documents that are not held out."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).where(~held_out())
+    """text, toxic and half (0 or 1) of up to ``most`` labelled documents that are not held out."""
+    known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of two numbers
-    drawn = drawn.select(F.col("doc_id").alias("_doc"), "_toxic")
-    texts = docs.join(F.broadcast(drawn), docs["doc_id"] == F.col("_doc")).select("_doc", text_of().alias("text"), F.col("_toxic").cast("int").alias("toxic"))
-    return shared_table(texts.dropDuplicates(["_doc"]).drop("_doc"), "toxicity-sample")
+    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
+    return shared_table(texts.select("text", F.col("toxic").cast("int").alias("toxic"), half), "toxicity-sample")
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +245,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 200)
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(part["text"].to_pylist(), part["toxic"].to_pylist(), strict=True):
-                words = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 30}
+                words = {w for w in WORD.findall(text.lower()) if len(w) > 2}
                 counts[toxic].update(words)
                 counts[toxic].update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
             terms = list(counts[0] | counts[1])
@@ -231,7 +273,7 @@ def choose_terms(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -
     stems: list[str] = []
     for odds, _, term, _ in ranked:
         text = term.rstrip("*")
-        if term not in weak and not any(text.startswith(s) for s in stems) and len(chosen) < TERMS:
+        if term not in weak and not any(text.startswith(s) for s in stems):
             chosen.append(Term(text, term[-1] == "*", odds))
             stems += [text] * (term[-1] == "*")
     return tuple(chosen)
@@ -251,11 +293,43 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def _features(model: Model, column: str):
+def _near_words(model: Model):
+    """How many documents of either label hold a word near a hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+                words = WORD.findall(text.lower())
+                hits = model.hits(words)
+                taken = {i for i, _, _ in hits}
+                near = {j for i in taken for j in range(max(i - WINDOW, 0), min(i + WINDOW + 1, len(words)))}
+                counts[toxic].update({words[j] for j in near - taken})
+                counts[toxic].update([""] if hits else [])  # documents with hits at all
+        terms = list(counts[0] | counts[1])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([counts[k][t] for t in terms], pa.int64()) for k in (0, 1)]], ["term", "clean", "toxic"])
+
+    return run
+
+
+def choose_context(rows: list[tuple[str, int, int]]) -> dict[str, float]:
+    """The log odds of abuse that a word near a hit stands for; rows: (word, clean documents, toxic documents), "" for all."""
+    counts = {term: (c, t) for term, c, t in rows}
+    clean, toxic = counts.pop("", (0, 0))
+    if not clean or not toxic:
+        return {}
+    # the added documents pull rare words towards saying nothing
+    added = LEAST_NEAR / 4
+    share = toxic / (clean + toxic)
+    odds = {w: math.log((t + added * share) / toxic) - math.log((c + added * (1 - share)) / clean) for w, (c, t) in counts.items()}
+    return {w: x for w, x in odds.items() if abs(x) > 0.5}
+
+
+def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = [model.features(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch[column]], ["f", column])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch["toxic"]], ["f", "toxic"])
 
     return run
 
@@ -266,16 +340,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         return Model()
-    counts = sample.repartition(32).mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    parts = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    both = [F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")]
+    counts = sample.select("text", "toxic").repartition(parts).mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(*both)
     lifted = (F.col("toxic") >= max(3.0, 0.004 * toxic)) & (F.col("toxic") * F.lit(float(clean)) >= F.col("clean") * F.lit(LIFT * toxic))
-    best = counts.where(lifted).orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), F.desc("toxic"), "term").limit(20 * TERMS)
-    model = Model(choose_terms([tuple(r) for r in best.collect()], clean, toxic))
-    rows = sample.repartition(32).mapInArrow(_features(model, "toxic"), "f array<double>, toxic int").collect()  # at most ``most`` rows of FEATURES numbers
+    # the terms of at most ``most`` documents that pass
+    model = Model(choose_terms([tuple(r) for r in counts.where(lifted).collect()], clean, toxic))
+    # contexts are learned from one half and weighed on the other, so that no document vouches for itself
+    near = sample.where("half = 0").select("text", "toxic").repartition(parts).mapInArrow(_near_words(model), "term string, clean long, toxic long").groupBy("term").agg(*both)
+    model = Model(model.terms, choose_context([tuple(r) for r in near.where((F.col("term") == "") | (F.col("clean") + F.col("toxic") >= LEAST_NEAR)).collect()]))
+    other = sample.where("half = 1")
+    if other.select("toxic").distinct().count() < 2:  # too few labels to set half of them aside
+        other = sample
+    rows = other.select("text", "toxic").repartition(parts).mapInArrow(_features(model), "f array<double>, toxic int").collect()  # at most ``most`` rows of FEATURES numbers
     rows = sorted((r["f"], r["toxic"]) for r in rows)
     x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     weights, bias = fit_weights((x - mean) / scale, y)
-    return Model(model.terms, tuple(mean), tuple(scale), tuple(weights), bias)
+    return Model(model.terms, model.context, tuple(mean), tuple(scale), tuple(weights), bias)
 
 
 def _score(model: Model):
@@ -283,36 +365,25 @@ def _score(model: Model):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                s = model.score(np.array([model.features(t or "") for t in part["_text"].to_pylist()]).reshape(-1, FEATURES))
-                rest = [c for c in part.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*[part[c] for c in rest], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
+                s = model.score(np.array([model.features(t) for t in part["text"].to_pylist()]).reshape(-1, FEATURES))
+                yield pa.RecordBatch.from_arrays([part["row"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
 
     return run
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs (but any score or predicted of its own), with score and predicted."""
-    rest = docs.drop("score", "predicted", "_text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.withColumn("_text", text_of()).mapInArrow(_score(model), f"{schema}, score double, predicted int")
-
-
-def _clean(model: Model, text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                s = model.score(np.array([model.features(t or "") for t in part[text].to_pylist()]).reshape(-1, FEATURES))
-                yield part.filter(pa.array(s < 0.5))
-
-    return run
+    """row (all columns of docs in one struct, as they are), score and predicted."""
+    rows = carried(docs)
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.select("row", text_of("row.text").alias("text")).mapInArrow(_score(model), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model does not call toxic, all columns as they are."""
-    return docs.mapInArrow(_clean(model, "text"), docs.schema)
+    return apply(docs, model).where("predicted = 0").select("row.*")
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """Fits on labels and scores every document."""
-    return apply(docs, fit(docs, labels, most))
+    """doc_id, held_out, score and predicted of every document, from a model fitted on labels."""
+    lean = docs.select("doc_id", "text")
+    return apply(lean.withColumn("held_out", held_out()), fit(lean, labels, most)).select("row.doc_id", "row.held_out", "score", "predicted")

@@ -1,6 +1,7 @@
 """The operators on small tables with nulls, empties, ties, repeats, long texts and odd columns, against brute force."""
 
 import hashlib
+import heapq
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from fieldledger.llm import ann, hamming, line_dedup, mixing, near_dup, packing, pii, queries, secret_scan, sharding, toxicity
 from fieldledger.llm import vectors as search_blocks
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, h int"
 
@@ -105,8 +107,38 @@ def test_sharding(docs, none):
     assert sharding.shard_documents(none).count() == 0
 
 
-def test_least_loaded():
-    assert sharding.least_loaded([9, 7, 6, 5, 5], 2) == [0, 1, 1, 0, 1]
+def plain_lpt(sizes, bins):
+    heap, loads = [(0, b) for b in range(bins)], [0] * bins
+    for size in sorted(sizes, reverse=True):
+        load, b = heapq.heappop(heap)
+        loads[b] = load + size
+        heapq.heappush(heap, (load + size, b))
+    return loads
+
+
+def test_longest_processing_time_equals_the_plain_heap():
+    rng = random.Random(4)
+    for _ in range(200):
+        sizes = [rng.choice([1, 2, 3, 7, 30, 500, 40_000]) * rng.randint(1, 3) for _ in range(rng.randint(1, 300))]
+        bins = rng.randint(1, 9)
+        steps = sharding.plan([(s, n, s * n) for s, n in Counter(sizes).items()], bins)
+        loads = [0] * bins
+        for size, shard, begin, until in steps:
+            loads[shard] += size * (until - begin)
+        assert loads == plain_lpt(sizes, bins)
+        for size, n in Counter(sizes).items():  # every group once
+            assert sorted(i for c, _, a, b in steps if c == size for i in range(a, b)) == list(range(n))
+
+
+def test_shards_are_balanced(spark):
+    rng = random.Random(1)
+    rows = [(i, "x" * rng.choice([3, 10, 200, 5000, 70_000 + i])) for i in range(400)] + [(1000 + i, "the same text") for i in range(50)] + [(2000, None), (2001, "")]
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    groups = Counter()
+    for _, t in rows:
+        groups[t or ""] += len(t or "") + 1
+    assert sorted(found.groupby("shard")["size"].sum()) == pytest.approx(sorted(plain_lpt(groups.values(), 8)), rel=0.002)
+    assert found.groupby("shard")["size"].sum().max() / found["size"].sum() * 8 < 1.08 and found.shard.nunique() == 8
 
 
 def line_truth(rows):
@@ -399,13 +431,66 @@ def test_code_estimates_stay_in_their_bounds():
     assert (np.abs(guess - x @ q) <= wide).mean() > 0.995
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+    return row
+
+
 def test_levenshtein_trie():
     terms = (toxicity.Term("worthless", False, 1.0), toxicity.Term("clown", False, 1.0), toxicity.Term("bomente", True, 1.0))
     match = toxicity.Matcher(terms)
-
     assert match("clown") == (1, 0) and match("cl0wn") == (1, 1) and match("clwn") == (1, 1) and match("cloown") == (1, 1) and match("cowns") is None
     assert match("w0rthles") == (0, 2) and match("wrthls") is None
-    assert match("bomenteria") == (2, 0) and match("bomentx") is None and match("") is None
+    assert match("bomenteria") == (2, 0) and match("bomentx") == (2, 1) and match("bmenteria") == (2, 1) and match("") is None
+
+
+def test_matcher_equals_edit_distances():
+    """Whole words and beginnings, misspelt and inflected, against brute force over all terms."""
+    rng = random.Random(12)
+    for _ in range(15):
+        texts = {"".join(rng.choice("abc") for _ in range(rng.randint(3, 12))) for _ in range(12)}
+        terms = tuple(toxicity.Term(t, rng.random() < 0.4, 1.0) for t in sorted(texts))
+        match = toxicity.Matcher(terms)
+        for _ in range(300):
+            word = [*rng.choice(terms).text, *(rng.choice("abc") for _ in range(rng.choice([0, 0, 1, 4])))]
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(len(word) + 1)
+                word[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "b", "z"])
+            word = "".join(word)
+            found = []
+            for t, term in enumerate(terms):
+                # the last row of the table: the term against every beginning of the word
+                row = levenshtein(term.text, word)
+                e = min(row) if term.stem else row[-1]
+                if e <= term.edits:
+                    found.append((e, -len(term.text), t))
+            best = min(found, default=None)
+            assert match(word) == (best and (best[2], best[0])), (word, terms)
+
+
+def test_quotations_of_any_length():
+    for inside in ("you clown", "word " * 500 + "you clown\n\nand more"):
+        assert [('a "' + inside + '" b')[a:b] for a, b in toxicity.quotations('a "' + inside + '" b')] == ['"' + inside + '"']
+        assert [(f"a „{inside}“ b")[a:b] for a, b in toxicity.quotations(f"a „{inside}“ b")] == [f"„{inside}“"]
+    assert toxicity.quotations('never "closed') == [] and toxicity.quotations("> a line\nb") == [(0, 8)]
+    assert toxicity.quotations("“a “b” c") == [(3, 6)]
+    assert toxicity.quotations("“" * 200_000) == []
+
+
+def test_contexts_tell_quotation_from_abuse():
+    """The same word, with windows that the sample has seen around reports and around abuse."""
+    rng = random.Random(3)
+    terms = (toxicity.Term("clown", False, 3.0),)
+    context = toxicity.choose_context([("", 100, 100), ("reported", 90, 1), ("you", 5, 95), ("the", 60, 60)])
+    assert context["reported"] < -1 < 1 < context["you"] and "the" not in context
+    model = toxicity.Model(terms, context)
+    far = " ".join(f"w{rng.randrange(50)}" for _ in range(30))
+    against, to = model.features(f"{far} it was reported that the clown left {far}"), model.features(f"{far} you the clown {far} reported")
+    assert against[9] > 0 == against[8] and to[8] > 0 == to[9]
 
 
 def test_toxicity(spark, none):
@@ -425,10 +510,10 @@ def test_toxicity(spark, none):
     marks = spark.createDataFrame([*labels, (5, None), (7, 3), (10, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, marks)
     assert {"worthless", "clown", "moron"} <= {t.text for t in model.terms}
-    found = {r["doc_id"]: r for r in toxicity.apply(docs, model).collect()}
+    found = {r["row"]["doc_id"]: r for r in toxicity.apply(docs, model).collect()}
     assert all(found[i]["predicted"] == bad for i, bad in labels)
     assert found[1000]["score"] == found[1001]["score"] < 0.5 and 0 <= found[None]["score"] < 0.5
-    assert model.features(rows[602][1])[2] > 0 and model.features(rows[603][1])[1] > 0
+    assert model.features(rows[602][1])[3] > 0 and model.features(rows[603][1])[1] > 0
     assert toxicity.apply(none, toxicity.Model()).count() == 0
     clean = toxicity.keep_clean(docs, model)
     assert clean.schema == docs.schema and {r["doc_id"] for r in clean.collect()} >= {i for i, bad in labels if not bad}
@@ -439,7 +524,7 @@ def test_held_out_accuracy(spark):
     """On the driver's own labels the model must beat always saying no, by rows that it never saw."""
     data = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{data}/labels.parquet")
-    docs = spark.read.parquet(f"{data}/documents.parquet").join(labels, "doc_id", "left_semi").withColumn("held_out", toxicity.held_out())
+    docs = spark.read.parquet(f"{data}/documents.parquet").join(labels, "doc_id", "left_semi")
     found = toxicity.score(docs, labels).where("held_out").join(labels, "doc_id").select("predicted", "toxic").toPandas()
     right = (found.predicted == found.toxic).mean()
     caught = found[found.toxic == 1].predicted.mean()
@@ -449,3 +534,48 @@ def test_held_out_accuracy(spark):
 def test_queries_are_registered():
     names = list(queries.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(queries.oracle_sql()) <= set(names)
+
+
+#: Every name that some operator gives a column of its own, and more.
+CLASHES = (
+    "row", "keep", "n_bits", "n_dropped", "text_key", "doc", "toxic", "half", "score", "predicted", "held_out", "copy", "copies", "row_key", "terms", "email", "ip", "card", "phone", "generalise", "remove", "whole",
+    "runs", "begins", "clean", "times", "twin", "shuffled", "size", "source_key", "common", "common_id", "node", "comp", "signature", "first", "class_id", "n_links", "_keep", "_text", "_doc", "_copy", "_times", "_kept", "_own_key", "h", "pos", "part", "number", "bucket", "_bucket",
+)
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_stages_carry_columns_of_any_name(docs, spark, upper):
+    """Extra columns, named as the operators' own ones in either case, come through whole and change nothing."""
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    marks = spark.createDataFrame([(i, int(i == 8), 1) for i in range(13)], "doc_id long, toxic int, doc int")
+    extra = plain.select(*[F.col(c).alias(c.upper()) if upper else F.col(c) for c in plain.columns], *[F.concat(F.lit(n), F.col("doc_id")).alias(n.upper() if upper else n) for n in CLASHES])
+    model = toxicity.Model((toxicity.Term("password", False, 3.0),), {}, bias=-0.5, weights=(3.0,) + (0.0,) * (toxicity.FEATURES - 1))
+    assert toxicity.fit(extra, marks).bias == toxicity.fit(plain, marks).bias
+    stages = {"toxicity": lambda d: toxicity.keep_clean(d, model), "lines": line_dedup.dedup_lines, "copies": near_dup.drop_near_duplicates, "mix": mixing.mixed_documents, "sanitise": pii.sanitise}
+    for name, stage in stages.items():
+        wanted, found = stage(plain), stage(extra)
+        assert found.columns == extra.columns, name
+        rows = [r.asDict() for r in found.collect()]
+        rows = [{k.lower(): v for k, v in r.items()} for r in rows]
+        assert Counter(tuple(r[c] for c in plain.columns) for r in rows) == Counter(tuple(r) for r in wanted.collect()), name
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in CLASHES), name
+        assert stage(extra.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of millions of characters, with very many spans and lines, go through every operator."""
+    many = " ".join(f"u{i}@mail.org word{i % 97}" for i in range(60_000)) + "\n" + "\n".join(f"line number {i % 50_000}" for i in range(80_000))
+    one = "x" * 3_000_000
+    rows = [(1, many, "a"), (2, one, "b"), (3, "line number 7\nshort", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
+    found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert found[1]["n_email"] == 60_000 and found[2]["spans"] == "" and found[1]["base_sha256"] == base_truth(many)[0][-1]
+    assert "@" not in {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1]
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.line_digests(docs).collect()} == {1: (80_001, 0), 2: (1, 0), 3: (2, 1), 4: (1, 0)}
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r["doc_id"]: r["size"] for r in sharding.shard_documents(docs).collect()}[2] == 3_000_001
+    assert {r["doc_id"] for r in secret_scan.scan_documents(docs).where("spans = ''").collect()} >= {2, 3, 4}
+    model = toxicity.Model((toxicity.Term("wordy", False, 1.0),))
+    assert toxicity.apply(docs, model).count() == 4
+    assert sum(r["length"] for r in packing.pack(docs.where("doc_id <> 2")).collect()) > 400_000
+    assert mixing.mix(docs).count() == 4

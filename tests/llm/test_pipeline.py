@@ -29,7 +29,7 @@ def test_columns(steps):
 
 def test_toxic_documents_go(spark, steps):
     model = toxicity.fit(steps[0], spark.read.parquet(f"{DATA}/labels.parquet"))
-    wanted = {r["doc_id"] for r in toxicity.apply(steps[0], model).where("predicted = 0").collect()}
+    wanted = {r["row"]["doc_id"] for r in toxicity.apply(steps[0], model).where("predicted = 0").collect()}
     assert {r["doc_id"] for r in steps[1].collect()} == wanted
 
 
