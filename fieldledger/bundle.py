@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 from .functions.canonical import canonical_json, digest, now_ts, vector_json
 from .operators import claims, graph, replay
 from .operators.inventory import heads_merkle_of
-from .schema import AUTHORITY, CLAIM, CUSTODY, PROTOCOLS, ChainKind
+from .schema import AUTHORITY, CLAIM, CUSTODY, PROTOCOLS, ChainKind, profile
 from .sources.store import Field
 
-#: A fixed value: the format's name.
-FORMAT = "MNEME_BUNDLE_V2"
-
 
 def _chains(rows: DataFrame, kind: ChainKind) -> dict[str, list[dict]]:
     """subject to events in order."""
@@ -90,7 +87,7 @@ def export(field: Field, memory_ids: Sequence[str] | None = None, created_at: st
         lineage += [{"memory_id": m["memory_id"], "role": "predecessor", "counterpart": s} for s in after if isinstance(s, str) and s not in exported]
 
     body = {
-        "format": FORMAT, "protocols": PROTOCOLS, "created_at": created_at or now_ts(), "memories": carried,
+        "format": profile().bundle, "protocols": PROTOCOLS, "created_at": created_at or now_ts(), "memories": carried,
         "sweeps": [s for s in sweeps if s["sweep_id"] not in outside], "excluded_sweeps": [s for s in sweeps if s["sweep_id"] in outside],
         "receipts": receipts, "decisions": [d for d, w in zip(decisions, whole, strict=True) if w], "excluded_decisions": [d for d, w in zip(decisions, whole, strict=True) if not w],
         "excluded_lineage": sorted(lineage, key=lambda d: (d["memory_id"], d["role"], d["counterpart"])),

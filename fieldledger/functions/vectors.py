@@ -18,6 +18,7 @@ from .canonical import UNIT, quantize
 HOP_NUM, HOP_DEN, HOPS = 43, 50, 10
 COMMON = 2 * HOP_DEN**HOPS
 KEY_SHIFT, KEY_BYTES = 256, 96
+SHARP = 10**30
 
 
 def scaled(vector: str | Column) -> Column:
@@ -63,9 +64,8 @@ def exact_key(d: pd.Series, n: pd.Series, state: pd.Series, hop: pd.Series, reso
 
 
 def root(value: Fraction) -> Fraction:
-    """The square root, rounded down in whole numbers; for display only."""
-    p, q = value.numerator, value.denominator
-    return Fraction(math.isqrt(p * UNIT * UNIT * q), q * UNIT)
+    """The square root to thirty places, rounded down; for display, at ten."""
+    return Fraction(math.isqrt(math.floor(value * SHARP**2)), SHARP)
 
 
 def display_score(d: int, n: int, n_query: int, m: int) -> Decimal:

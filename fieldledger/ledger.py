@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .functions.canonical import UNIT, canonical_json, digest, now_ts, quantize, quantize_vector, seal, vector_json
 from .functions.vectors import scaled_text
-from .operators import authority, causality, claims, counterfactual, graph, recall, replay, taint
+from .operators import authority, causality, claims, counterfactual, graph, inventory, recall, replay, taint
 from .operators.chains import genesis_of
 from .schema import (
-    AUTHORITY, CAPABILITIES, CLAIM, CONSTRAINTS, CUSTODY, DEFAULT_HOPS, DEFAULT_TOP_K, HEX_PATTERN, ID_PATTERN, KINDS, PROMOTION, QUANTIZATION, STANCES, ChainKind,
+    AUTHORITY, CAPABILITIES, CLAIM, CONSTRAINTS, CUSTODY, DEFAULT_HOPS, DEFAULT_TOP_K, HEX_PATTERN, ID_PATTERN, KINDS, PROMOTION, PROTOCOLS, QUANTIZATION, STANCES, TS_PATTERN, ChainKind,
 )
 from .sources.store import Field
 
@@ -111,6 +111,15 @@ class Ledger:
         rows = self.field.table("memories").select("memory_id", "content", scaled_text("embedding").alias("vec"), "topic")
         return rows.join(replay.custody_states(self.field.table("custody_chain")), "memory_id")
 
+    def info(self) -> dict:
+        """What the field holds, for a client's first look."""
+        counts = inventory.field_info(replay.custody_states(self.field.table("custody_chain")), self.field.table("actors")).collect()
+        of = {kind: {r["name"]: r["n"] for r in counts if r["kind"] == kind} for kind in ("total", "custody_status", "field_state")}
+        return {
+            "protocols": PROTOCOLS, "quantization": QUANTIZATION, "capabilities": sorted(CAPABILITIES), "ledger": self.has_ledger(),
+            "total_memories": of["total"]["memories"], "registered_actors": of["total"]["actors"], "custody_status_distribution": of["custody_status"], "field_state_distribution": of["field_state"],
+        }
+
     def memories_at(self, instant: str) -> DataFrame:
         rows = self.field.table("memories").select("memory_id", "content", scaled_text("embedding").alias("vec"), "topic")
         return rows.join(replay.states_at(self.field.table("custody_chain"), instant), "memory_id")
@@ -378,6 +387,11 @@ class Ledger:
         links = self.field.table("cell_links")
         if as_of is None:
             return self.memories(), links
+        if not re.fullmatch(TS_PATTERN, as_of):
+            raise ValueError(f"{as_of!r} is not a canonical instant, and instants compare as text")
+        broken = replay.irreproducible(self.field.table("custody_chain"), as_of).orderBy("memory_id", "error").head()
+        if broken is not None:
+            raise ValueError(f"the chain of {broken['memory_id']} does not replay at {as_of}: {broken['error']}")
         return self.memories_at(as_of), replay.until(links, as_of)
 
     def persist_receipt(self, receipt: recall.Receipt, at: str | None = None) -> None:

@@ -54,14 +54,14 @@ def descent(chain: DataFrame) -> DataFrame:
     return chain.where("seq = 0").select("memory_id", F.get_json_object("payload_json", "$.derived_from_decision").alias("decision_id"), F.col("actor_id").alias("declarant")).where("decision_id IS NOT NULL")
 
 
-def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFrame, descent: DataFrame, links: DataFrame, limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFrame, descent: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Everything that the memory reached: edges (level, kind, src, dst), and memories (id, level).
 
     A fixpoint over three relations: successors, decisions that used what was derived, and
     memories that declare descent from such decisions, attested if the same actor made both. In
     a round each relation is followed from what is new to it, one after the other, for what an
     earlier one adds decides how a later one lists it; a memory can be derived and unattested at
-    once. It ends when nothing is new; limit bounds the rounds against forged cycles.
+    once. It ends when nothing is new, and since the sets only grow, forged cycles end it as well.
     """
     spark = served.sparkSession
     direct_receipts = served.where(F.col("memory_id") == memory_id).select(F.col("receipt_sha256").alias("dst")).distinct()
@@ -78,7 +78,7 @@ def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFram
     decisions = fresh_decisions = direct_decisions.select(F.col("dst").alias("id"))
     for_lineage = spark.createDataFrame([(memory_id,)], "id string")  # what each relation has not yet followed
     for_uses = none.select("id")
-    for _ in range(limit):
+    while True:
         after = for_lineage.join(lineage, F.col("id") == F.col("memory_id")).select(F.col("id").alias("src"), F.col("successor_id").alias("dst"))
         by_lineage = settled(after.select(F.col("dst").alias("id"), F.lit("DERIVED").alias("level")).where(F.col("id") != memory_id).join(memories.select("id"), "id", "left_anti").distinct())
         memories = memories.unionByName(by_lineage)

@@ -18,8 +18,9 @@ def genesis(kind: ChainKind, subject: str | Column) -> Column:
     return F.sha2(F.concat(F.lit(kind.prefix), c), 256)
 
 
-def genesis_of(kind: ChainKind, subject: str) -> str:
-    return sha256((kind.prefix + subject).encode()).hexdigest()
+def genesis_of(kind: ChainKind, subject: str, prefix: str | None = None) -> str:
+    """prefix is for tasks, which do not know the profile that the driver uses."""
+    return sha256(((prefix or kind.prefix) + subject).encode()).hexdigest()
 
 
 def envelope(kind: ChainKind) -> Column:
@@ -38,13 +39,15 @@ def subject_rows(chain: DataFrame, kind: ChainKind, subject: str) -> DataFrame:
 
 
 def _link(kind: ChainKind, schema: list[str]):
+    begin = kind.prefix
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         subject, head = None, ""
         for frame in batches:
             prev, entry = [], []
             for s, text in zip(frame[kind.subject], frame["_envelope"], strict=True):
                 if s != subject:
-                    subject, head = s, genesis_of(kind, s)
+                    subject, head = s, genesis_of(kind, s, begin)
                 prev.append(head)
                 head = sha256((head + text).encode()).hexdigest()
                 entry.append(head)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import digest
+from ..schema import profile
 
 PROVENANCE = ("provider", "model", "revision", "preprocessing")
 
@@ -33,18 +34,33 @@ def embedding_drift(rows: DataFrame) -> DataFrame:
     return groups.where("distinct_vectors > 1")
 
 
+def embedding_families(rows: DataFrame) -> DataFrame:
+    """One row: how many model families the vectors come from, whether they mix spaces, and how many inputs drift."""
+    families = rows.where("model IS NOT NULL").select("provider", "model", "revision").distinct().agg(F.count("*").alias("distinct_families"))
+    drift = embedding_drift(rows).agg(F.count("*").alias("drifting_inputs"))
+    return families.join(drift).select("distinct_families", (F.col("distinct_families") > 1).alias("mixing_vector_spaces"), "drifting_inputs", (F.col("drifting_inputs") > 0).alias("drift_detected"))
+
+
+def field_info(states: DataFrame, actors: DataFrame) -> DataFrame:
+    """kind, name and n: memories and actors in all, and memories per custody status and field state."""
+    per = states.groupBy("custody_status", "field_state").agg(F.count("*").alias("n"))
+    parts = [per.groupBy(F.lit(kind).alias("kind"), F.col(kind).alias("name")).agg(F.sum("n").alias("n")) for kind in ("custody_status", "field_state")]
+    totals = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("total").alias("kind"), F.lit("memories").alias("name"), "n")
+    registered = actors.agg(F.count("*").alias("n")).select(F.lit("total").alias("kind"), F.lit("actors").alias("name"), "n")
+    return totals.unionByName(registered).unionByName(parts[0]).unionByName(parts[1])
+
+
 def distribution(states: DataFrame, column: str) -> DataFrame:
     return states.groupBy(column).agg(F.count("*").alias("n"))
 
 
-EMPTY_HEADS = "MNEME_EMPTY_HEADS"  # a fixed value of the seal over no heads
 LEAVES = 4096
 
 
 def merkle_of(hashes: list[str]) -> str:
     """The root over leaf hashes in order; an odd one out moves up alone."""
     if not hashes:
-        return digest(EMPTY_HEADS)
+        return digest(profile().empty_heads)
     while len(hashes) > 1:
         pairs = [digest(a + b) for a, b in zip(hashes[::2], hashes[1::2], strict=False)]
         hashes = pairs + hashes[-1:] * (len(hashes) % 2)

@@ -160,6 +160,9 @@ def recall(
     unknown = missing(memories, override)
     if unknown:
         raise ValueError(f"the override names unknown memories {unknown}")
+    odd = gated(memories, override).where(F.size("vec") != len(query)).select("memory_id", F.size("vec").alias("width")).orderBy("memory_id").head()
+    if odd is not None:
+        raise ValueError(f"the query has {len(query)} components and {odd['memory_id']} has {odd['width']}")
     counts = exclusions(memories, override).head()
     query_sha = digest(vector_json([Decimal(x).scaleb(-10) for x in query]))
     base = Receipt(query_sha, None, (), counts["excluded_custody"], counts["excluded_forgotten"], 0, top_k, hops, tuple(sorted(override.items())), as_of)

@@ -102,6 +102,14 @@ def before(chain: DataFrame, instant: str) -> DataFrame:
     return chain.where(F.col("created_at") < instant)
 
 
+def irreproducible(chain: DataFrame, instant: str) -> DataFrame:
+    """memory_id and error of the chains whose events up to the instant cannot have happened so: what
+    comes first is no birth, or an event is not allowed by the state before it."""
+    part = until(chain, instant)
+    first = part.groupBy("memory_id").agg(F.min_by("event_type", "seq").alias("first")).where("first <> 'STORED'")
+    return first.select("memory_id", F.lit("unborn").alias("error")).unionByName(custody_errors(part).select("memory_id", "error"))
+
+
 def states_at(chain: DataFrame, instant: str) -> DataFrame:
     """custody_states of the memories born by the instant; others are absent, not excluded."""
     part = until(chain, instant)

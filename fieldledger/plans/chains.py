@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chains, inventory, replay, taint
-from ..schema import CUSTODY
+from ..schema import CUSTODY, OWN
 from . import views as v
 
 
@@ -15,7 +15,7 @@ def chain_genesis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.chain(spark, sf_dir).where("seq = 0").select("memory_id", chains.genesis(CUSTODY, "memory_id").alias("genesis"))
 
 
-GENESIS_SQL = f"WITH {v.CHAIN_SQL} SELECT memory_id, sha256('MNEME_CUSTODY_GENESIS:' || memory_id) AS genesis FROM chain WHERE seq = 0"
+GENESIS_SQL = f"WITH {v.CHAIN_SQL} SELECT memory_id, sha256('{OWN.custody}' || memory_id) AS genesis FROM chain WHERE seq = 0"
 
 
 def chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,37 @@ events_ AS (SELECT DISTINCT payload_json->>'$.decision_id' AS decision_id, memor
 SELECT decision_id, memory_id, CASE WHEN e.memory_id IS NULL THEN 'UNRECORDED' ELSE 'UNCLAIMED' END AS problem
 FROM claimed AS c FULL JOIN events_ AS e USING (decision_id, memory_id) WHERE c.memory_id IS NULL OR e.memory_id IS NULL"""
 
+
+def embedding_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-families: model families, mixing of vector spaces, and drift, over the declared provenance."""
+    return inventory.embedding_families(_provenance(spark, sf_dir))
+
+
+FAMILIES_SQL = f"""WITH {_PROV_SQL},
+families AS (SELECT count(*) AS n FROM (SELECT DISTINCT provider, model, revision FROM prov WHERE model IS NOT NULL)),
+drifting AS (
+  SELECT count(*) AS n FROM (
+    SELECT 1 FROM prov WHERE provider IS NOT NULL AND input_content_hash IS NOT NULL
+    GROUP BY provider, model, revision, preprocessing, input_content_hash HAVING count(DISTINCT output_vector_hash) > 1)
+)
+SELECT families.n AS distinct_families, families.n > 1 AS mixing_vector_spaces, drifting.n AS drifting_inputs, drifting.n > 0 AS drift_detected FROM families, drifting"""
+
+
+def field_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-info: counts that describe a field."""
+    chain = v.chain(spark, sf_dir)
+    return inventory.field_info(replay.custody_states(chain), chain.select("actor_id").distinct())
+
+
+INFO_SQL = f"""WITH {v.CHAIN_SQL}, part AS (SELECT * FROM chain), {_STATUS}
+SELECT 'custody_status' AS kind, custody_status AS name, count(*)::BIGINT AS n FROM status GROUP BY 2
+UNION ALL SELECT 'field_state', 'NEUTRAL', count(*) FROM status
+UNION ALL SELECT 'total', 'memories', count(*) FROM status
+UNION ALL SELECT 'total', 'actors', count(DISTINCT actor_id) FROM chain"""
+
+
 QUERIES = {
+    "embedding_families": (embedding_families, FAMILIES_SQL), "field_info": (field_info, INFO_SQL),
     "chain_genesis": (chain_genesis, GENESIS_SQL), "chain_heads": (chain_heads, CHAIN_HEADS_SQL), "chain_heads_folded": (chain_heads_folded, FOLDED_SQL), "chain_verify": (chain_verify, VERIFY_SQL),
     "replay_custody_status": (replay_custody_status, REPLAY_SQL), "asof_status": (asof_status, ASOF_SQL), "replay_errors": (replay_errors, ERRORS_SQL),
     "status_distribution": (status_distribution, DIST_SQL), "state_distribution": (state_distribution, STATES_SQL), "taint_sweep": (taint_sweep, SWEEP_SQL), "sweep_seals": (sweep_seals, SEALS_SQL),

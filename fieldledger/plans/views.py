@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import scaled
-from ..schema import TS_FORMAT
+from ..schema import OWN, TS_FORMAT
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +120,7 @@ ENVELOPE_SQL = """'{"actor_id":"' || actor_id || '","created_at":"' || created_a
 HEADS_SQL = f"""
 heads AS (
   SELECT memory_id, count(*)::INTEGER AS length,
-    list_reduce(list({ENVELOPE_SQL} ORDER BY seq), lambda a, x: sha256(a || x), sha256('MNEME_CUSTODY_GENESIS:' || memory_id)) AS entry_hash
+    list_reduce(list({ENVELOPE_SQL} ORDER BY seq), lambda a, x: sha256(a || x), sha256('{OWN.custody}' || memory_id)) AS entry_hash
   FROM chain GROUP BY memory_id
 )"""
 ASOF = "2024-01-15T00:00:00.000000+00:00"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -74,19 +76,59 @@ TS_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}\+00:00$"
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
 
 
+@dataclass(frozen=True)
+class Profile:
+    """What tells one engine's chains and bundles from another's.
+
+    custody, authority and claim begin the text whose digest is a chain's genesis, empty_heads is
+    the text sealed where there are no heads, and bundle names the bundle format. Chains and
+    bundles of another engine with the same rules are built and verified under its own profile.
+    """
+
+    custody: str
+    authority: str
+    claim: str
+    empty_heads: str
+    bundle: str
+
+
+#: The profile of this engine.
+OWN = Profile("fieldledger/custody/", "fieldledger/authority/", "fieldledger/claim/", "fieldledger/no-heads", "fieldledger-bundle-1")
+_using = [OWN]
+
+
+def profile() -> Profile:
+    """The profile in use."""
+    return _using[-1]
+
+
+@contextmanager
+def under(other: Profile) -> Iterator[Profile]:
+    """Everything planned inside the block belongs to the other profile."""
+    _using.append(other)
+    try:
+        yield other
+    finally:
+        _using.pop()
+
+
 @dataclass(frozen=True)
 class ChainKind:
-    """One of the three chains: its genesis prefix, its columns and its vocabulary."""
+    """One of the three chains: its columns and its vocabulary."""
 
     name: str
     table: str
-    prefix: str
     subject: str
     actor: str
     birth: str
     events: tuple[str, ...]
 
+    @property
+    def prefix(self) -> str:
+        """What begins a genesis, under the profile in use."""
+        return getattr(profile(), self.name)
+
 
-CUSTODY = ChainKind("custody", "custody_chain", "MNEME_CUSTODY_GENESIS:", "memory_id", "actor_id", "STORED", CUSTODY_EVENTS)
-AUTHORITY = ChainKind("authority", "authority_chain", "MNEME_AUTHORITY_GENESIS:", "subject_id", "issuer_id", "ACTOR_REGISTERED", AUTHORITY_EVENTS)
-CLAIM = ChainKind("claim", "claim_chain", "MNEME_CLAIM_GENESIS:", "claim_id", "actor_id", "CLAIM_ASSERTED", CLAIM_EVENTS)
+CUSTODY = ChainKind("custody", "custody_chain", "memory_id", "actor_id", "STORED", CUSTODY_EVENTS)
+AUTHORITY = ChainKind("authority", "authority_chain", "subject_id", "issuer_id", "ACTOR_REGISTERED", AUTHORITY_EVENTS)
+CLAIM = ChainKind("claim", "claim_chain", "claim_id", "actor_id", "CLAIM_ASSERTED", CLAIM_EVENTS)

@@ -24,6 +24,7 @@ class Field:
         self.committed: dict[str, DataFrame] = {}
         self.pending: dict[str, list[dict]] = {name: [] for name in TABLES}
         self.batches: dict[str, list[str]] = {name: [] for name in TABLES}
+        self.writers: dict[str, int] = {}
         self.version = 0
         if self.path:
             self._open()
@@ -100,8 +101,17 @@ class Field:
         self.rollback()
         return self.version
 
-    def commit_frames(self, **frames: DataFrame) -> int:
-        """Commits whole DataFrames of new rows, for batch writers."""
+    def commit_frames(self, once: tuple[str, int] | None = None, **frames: DataFrame) -> int:
+        """Commits whole DataFrames of new rows, for batch writers.
+
+        once names a writer and the number of its batch: a batch that the field holds already, for
+        a writer that starts again sends its last one again, is not committed twice.
+        """
+        if once is not None:
+            writer, number = once
+            if number <= self.writers.get(writer, -1):
+                return self.version
+            self.writers[writer] = number
         if self.path is None:
             for name, df in frames.items():
                 new = df.select(*TABLES[name].names)
@@ -131,7 +141,7 @@ class Field:
         at, fs = self._fs(f"{self.path}/_manifest/{self.version:08d}.json")
         draft, _ = self._fs(f"{self.path}/_manifest/.{self.version:08d}.draft")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": self.version, "batches": self.batches}), "utf-8"))
+        out.write(bytearray(json.dumps({"version": self.version, "batches": self.batches, "writers": self.writers}), "utf-8"))
         out.close()
         if fs.exists(at) or not fs.rename(draft, at):  # somebody else committed this version
             raise RuntimeError(f"version {self.version} of {self.path} exists")
@@ -146,5 +156,6 @@ class Field:
             return
         text = self.spark.read.text(f"{self.path}/_manifest/{names[-1]}", wholetext=True).head()[0]
         found = json.loads(text)
+        self.writers = found.get("writers", {})
         self.version, self.batches = found["version"], {name: found["batches"].get(name, []) for name in TABLES}
         self.committed = {name: self.spark.read.schema(TABLES[name]).parquet(*[f"{self.path}/{name}/{b}" for b in batches]) for name, batches in self.batches.items() if batches}

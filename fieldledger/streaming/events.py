@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from hashlib import sha256
 
 import pandas as pd
@@ -22,10 +23,10 @@ def read_events(spark: SparkSession, path: str, per_trigger: int = 100) -> DataF
     return spark.readStream.schema(TABLES["custody_chain"]).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _follow(begin: str, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Checks what has come for one memory against its head; reports its first fault, once."""
     subject = key[0]
-    seq, head, last, broken = state.get if state.exists else (0, genesis_of(CUSTODY, subject), "", False)
+    seq, head, last, broken = state.get if state.exists else (0, genesis_of(CUSTODY, subject, begin), "", False)
     out = []
     # a trigger's events of one memory, put in order; one memory's share of a trigger is small
     rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
@@ -58,7 +59,7 @@ def faults(events: DataFrame) -> DataFrame:
     What is kept per memory is its next number, its head hash and its last instant.
     """
     rows = events.select("memory_id", "seq", "event_type", "created_at", "prev_hash", "entry_hash", envelope(CUSTODY).alias("envelope"))
-    return rows.groupBy("memory_id").applyInPandasWithState(_follow, FAULTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("memory_id").applyInPandasWithState(partial(_follow, CUSTODY.prefix), FAULTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def activity(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
@@ -68,10 +69,13 @@ def activity(events: DataFrame, late: str = "10 minutes", window: str = "1 hour"
 
 
 def into_field(events: DataFrame, field, checkpoint: str):
-    """Starts a query that commits every batch of new events to a field, as one version."""
+    """Starts a query that commits every batch of new events to a field, as one version.
 
-    def commit(batch: DataFrame, _: int) -> None:
+    The checkpoint names the writer, so a query that starts again from it commits no batch twice.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            field.commit_frames(custody_chain=batch)
+            field.commit_frames(once=(checkpoint, number), custody_chain=batch)
 
     return events.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -14,12 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bundle import FORMAT
 from .functions.canonical import canonical_json, digest
 from .ledger import provenance_faults
 from .operators import authority, causality, chains, claims, inventory, replay, taint
 from .operators.recall import receipt_seals
-from .schema import AUTHORITY, CLAIM, CUSTODY, CUSTODY_EVENTS, CUSTODY_EVENTS_1_0, PROTOCOLS, TABLES, ChainKind
+from .schema import AUTHORITY, CLAIM, CUSTODY, CUSTODY_EVENTS, CUSTODY_EVENTS_1_0, PROTOCOLS, TABLES, ChainKind, profile
 
 #: The versions whose rules are implemented here.
 SUPPORTED = {
@@ -294,7 +293,7 @@ def verify(spark: SparkSession, text: str) -> Verdict:
         return refuse("B1", "unreadable")
     if digest(whole) != declared:
         return refuse("B1", "seal")
-    if body.get("format") != FORMAT:
+    if body.get("format") != profile().bundle:
         return refuse("B1", "format")
     if faults := protocol_faults(body.get("protocols")):
         return refuse("B0", *faults)

@@ -14,6 +14,14 @@ from fieldledger.sources.store import Field
 SCRIPT = json.loads((Path(__file__).parent / "data" / "script.json").read_text())
 
 
+@pytest.fixture(scope="module", autouse=True)
+def other_engine():
+    """The digests are those of another engine with the same rules, whose profile stands beside them."""
+    other = json.loads((Path(__file__).parent / "data" / "profile.json").read_text())
+    with schema.under(schema.Profile(**other)):
+        yield
+
+
 @pytest.fixture(scope="module")
 def world(spark):
     acts = ledger.Ledger(Field(spark))
