@@ -155,5 +155,40 @@ FROM reached GROUP BY doc
 """
 
 
+#: kind and expression of each rule, in order, with the least length of what counts.
+SECRET_RULES = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 20),
+    ("hex", r"([0-9a-f]+)", 24),
+    ("github", r"(gh[oprsu]_[A-Za-z0-9]+)", 40),
+    ("slack", r"(xox[abprs]-[A-Za-z0-9-]+)", 15),
+    ("stripe", r"(sk_live_[A-Za-z0-9]+)", 24),
+    ("private_key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 27),
+)
+
+
+def _secret_rule(place: int, kind: str, pattern: str, least: int) -> str:
+    """Matches with their places: what lies before a match and the matches before it add up to its start."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, row, {place} AS place, '{kind}' AS kind, start, start + length(hit) AS "end" FROM (
+    SELECT doc_id, row, unnest(hits) AS hit, unnest(parts) AS part,
+      unnest(list_transform(range(1, len(hits) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0)))::BIGINT AS start
+    FROM (SELECT doc_id, row, regexp_extract_all(x, '{quoted}') AS hits, regexp_extract_all(x, '{quoted}', 1) AS parts, string_split_regex(x, '{quoted}') AS gaps FROM texts)
+  ) WHERE length(part) >= {least}"""
+
+
+SECRET_SQL = f"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS x FROM documents),
+found AS ({" UNION ALL ".join(_secret_rule(i, *rule) for i, rule in enumerate(SECRET_RULES))}),
+per AS (
+  SELECT row, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access, count(*) FILTER (WHERE place = 2) AS n_hex,
+    string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, place) FILTER (WHERE place < 3) AS base, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, place) AS spans
+  FROM found GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN per USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op6_source_mixing": MIX_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op6_source_mixing": MIX_SQL, "op7_secret_scan": SECRET_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL}
