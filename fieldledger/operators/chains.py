@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from hashlib import sha256
 
 import pandas as pd
@@ -68,11 +68,43 @@ def build(events: DataFrame, kind: ChainKind) -> DataFrame:
     return rows.repartition(kind.subject).sortWithinPartitions(kind.subject, "seq").mapInPandas(_link(kind, schema), ddl)
 
 
+def streamed(rows: DataFrame, key: str, order: Sequence[str], fold: Callable[[str, Iterable[str], object], object], finish: Callable[[str, object, int], tuple], schema: str) -> DataFrame:
+    """One row a key from its texts in order, which pass as a stream: fold(key, texts, state) takes the
+    next of them (state is None at first), finish(key, state, count) makes the row.
+
+    rows has key, the columns of order, and text. A key of any size takes time, not memory.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state, count = None, None, 0
+        for frame in batches:
+            done = []
+            for k, texts in frame.groupby(key, sort=False)["text"]:
+                if k != current:
+                    if current is not None:
+                        done.append(finish(current, state, count))
+                    current, state, count = k, None, 0
+                state, count = fold(k, texts, state), count + len(texts)
+            yield pd.DataFrame(done, columns=names)
+        if current is not None:
+            yield pd.DataFrame([finish(current, state, count)], columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).select(key, "text").mapInPandas(run, schema)
+
+
 def folded_heads(events: DataFrame, kind: ChainKind) -> DataFrame:
-    """Each subject's head straight from its events, as a fold inside the JVM."""
-    items = F.array_sort(F.collect_list(F.struct("seq", envelope(kind).alias("text"))))
-    head = F.aggregate(items, genesis(kind, kind.subject), lambda a, x: F.sha2(F.concat(a, x["text"]), 256))
-    return events.groupBy(kind.subject).agg(head.alias("entry_hash"), F.count("*").cast("int").alias("length"))
+    """Each subject's head and length straight from its events, one hash being the only state."""
+    begin = kind.prefix
+
+    def fold(subject: str, texts: Iterable[str], head: object) -> str:
+        head = head or genesis_of(kind, subject, begin)
+        for text in texts:
+            head = sha256((head + text).encode()).hexdigest()
+        return head
+
+    rows = events.select(kind.subject, "seq", envelope(kind).alias("text"))
+    return streamed(rows, kind.subject, ["seq", "text"], fold, lambda subject, head, n: (subject, head, n), f"{kind.subject} string, entry_hash string, length int")
 
 
 def heads(chain: DataFrame, kind: ChainKind) -> DataFrame:

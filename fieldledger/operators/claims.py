@@ -106,15 +106,16 @@ def membership_faults(members: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def contradictions(births: DataFrame) -> DataFrame:
-    """memory_id, other_id and topic of memories whose claims on one topic differ.
+    """memory_id, topic and against: with how many memories on its topic a memory's claim disagrees.
 
-    births has memory_id, topic and claim. Few texts of a claim stand behind many memories, so
-    disagreement is looked for between claims, and only then between their memories.
+    births has memory_id, topic and claim. What disagrees with a claim is what its topic holds
+    but for the claim itself, so memories meet counts and never each other.
     """
-    held = births.where("topic IS NOT NULL AND claim IS NOT NULL AND topic <> '' AND claim <> ''")
-    a = held.select("topic", F.col("claim").alias("a"), "memory_id")
-    b = held.select("topic", F.col("claim").alias("b"), F.col("memory_id").alias("other_id"))
-    return a.join(b, "topic").where("a <> b").select("memory_id", "other_id", "topic")
+    held = births.where("topic IS NOT NULL AND claim IS NOT NULL AND topic <> '' AND claim <> ''").select("memory_id", "topic", "claim")
+    per = held.groupBy("topic", "claim").agg(F.count("*").alias("same"))
+    whole = per.groupBy("topic").agg(F.sum("same").alias("every"))
+    against = per.join(whole, "topic").where("every > same").select("topic", "claim", (F.col("every") - F.col("same")).alias("against"))
+    return held.join(against, ["topic", "claim"]).select("memory_id", "topic", "against")
 
 
 def topic_winners(served: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from hashlib import sha256
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import json_array, json_text, seal
+from ..functions.canonical import json_text, seal
 from ..schema import NON_INFLUENCE
+from .chains import streamed
 
 
 def influence(chain: DataFrame) -> DataFrame:
@@ -24,9 +28,21 @@ def influenced(chain: DataFrame) -> DataFrame:
     return influence(chain).select("actor_id", "memory_id").distinct()
 
 
-def ids_seal(ids: Column) -> Column:
-    """The seal over an array of memory ids, which it sorts."""
-    return F.sha2(F.concat(F.lit('{"memory_ids":'), json_array(F.transform(F.array_sort(ids), json_text)), F.lit("}")), 256)
+def ids_seals(marks: DataFrame, key: str) -> DataFrame:
+    """key, flagged_count and flagged_ids_sha256: the seal over each key's distinct memory ids in order, as a stream."""
+
+    def fold(_: str, texts: Iterable[str], state: object) -> object:
+        seen = state or sha256(b'{"memory_ids":[')
+        joined = ",".join(texts)
+        seen.update((("," if state else "") + joined).encode())
+        return seen
+
+    def finish(name: str, seen: object, n: int) -> tuple:
+        seen.update(b"]}")
+        return name, n, seen.hexdigest()
+
+    rows = marks.select(key, "memory_id").distinct().select(key, "memory_id", json_text("memory_id").alias("text"))
+    return streamed(rows, key, ["memory_id"], fold, finish, f"{key} string, flagged_count int, flagged_ids_sha256 string")
 
 
 def ids_seal_of(ids: list[str]) -> str:
@@ -36,7 +52,7 @@ def ids_seal_of(ids: list[str]) -> str:
 def sweep_seals(chain: DataFrame) -> DataFrame:
     """sweep_id, flagged_count and flagged_ids_sha256, from the TAINT_FLAGGED events."""
     marks = chain.where("event_type = 'TAINT_FLAGGED'").select(F.get_json_object("payload_json", "$.sweep_id").alias("sweep_id"), "memory_id").where("sweep_id IS NOT NULL")
-    return marks.groupBy("sweep_id").agg(F.collect_set("memory_id").alias("ids")).select("sweep_id", F.size("ids").alias("flagged_count"), ids_seal(F.col("ids")).alias("flagged_ids_sha256"))
+    return ids_seals(marks, "sweep_id")
 
 
 def verify_sweeps(sweeps: DataFrame, chain: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ CAPS_SQL = f"WITH {v.LEDGER_SQL} SELECT DISTINCT subject_id, unnest(capabilities
 
 
 def conferring_grant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRT-grant, Q-grantcaps, AGG-holders: the smallest live grant by which a subject may store."""
+    """SRT-grant: the smallest live grant by which a subject may store."""
     return authority.conferring_grant(v.grants(spark, sf_dir), v.windows(spark, sf_dir), "STORE", v.LEDGER_AT)
 
 
@@ -36,7 +36,7 @@ CONFER_SQL = f"WITH {v.LEDGER_SQL} SELECT subject_id, min(grant_id) AS grant_id
 
 
 def unauthorized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-grant-asof, JN-quarantine, Q-reqcap over all events: line items are acts under their orders' grants."""
+    """JN-grant-asof, JN-quarantine over all events: line items are acts under their orders' grants."""
     orders = v.acts(spark, sf_dir)
     kinds = ["STORED", "REINFORCED", "DECISION_USED_MEMORY"]
     items = v.read(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -104,7 +104,7 @@ STATES_SQL = f"WITH {v.CLAIMS_SQL} SELECT claim_id, state, statement_sha256, top
 
 
 def standing_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-standing, JN-evidence: a claim's evidence, and what its memory's custody makes of it. Claim k leans on
+    """JN-evidence: a claim's evidence, and what its memory's custody makes of it. Claim k leans on
     memory 7k and against memory 11k, modulo one and a half times the memories there are."""
     memories = v.vec(spark, sf_dir)
     most = memories.count() * 3 // 2
@@ -122,8 +122,7 @@ SELECT claim_id, ev.memory_id, stance, coalesce(custody_status, 'MISSING') AS st
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-contradict, FLT-topic: how many memories on the same topic disagree with each; topics are customers, claims order states."""
     births = v.acts(spark, sf_dir).join(v.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
-    found = claims.contradictions(births.select(F.col("o_orderkey").cast("string").alias("memory_id"), F.col("subject_id").alias("topic"), F.col("o_orderstatus").alias("claim")))
-    return found.groupBy("memory_id", "topic").agg(F.count("*").alias("against"))
+    return claims.contradictions(births.select(F.col("o_orderkey").cast("string").alias("memory_id"), F.col("subject_id").alias("topic"), F.col("o_orderstatus").alias("claim")))
 
 
 CONTRADICT_SQL = f"""WITH {v.LEDGER_SQL}, b AS (SELECT o_orderkey::VARCHAR AS memory_id, subject_id AS topic, o_orderstatus AS claim FROM acts JOIN orders USING (o_orderkey))
@@ -156,7 +155,7 @@ UNION ALL SELECT set_id || 'x', claim_id, 'UNDECLARED' FROM k WHERE n % 7 <> 0 A
 
 
 def lineage_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-lineage: successions that only one of the two memories records. Document k replaces k - 1 where 5 divides k."""
+    """Successions that only one of the two memories records. Document k replaces k - 1 where 5 divides k."""
     docs = v.read(spark, sf_dir, "documents").where("doc_id > 0 AND doc_id % 5 = 0").select("doc_id")
     up = docs.where("doc_id % 15 <> 0").select(v.ident("k-", F.col("doc_id") - 1).alias("memory_id"), v.ident("k-", F.col("doc_id")).alias("successor_id"))
     down = docs.where("doc_id % 20 <> 0").select(v.ident("k-", F.col("doc_id") - 1).alias("memory_id"), v.ident("k-", F.col("doc_id")).alias("successor_id"))

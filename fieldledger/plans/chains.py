@@ -116,8 +116,7 @@ STATES_SQL = f"WITH {v.VEC_SQL} SELECT field_state, count(*) AS n FROM vec GROUP
 
 def taint_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-sweep, FLT-influence, AGG-sweepgroup: what a sweep of each actor would flag, sealed."""
-    found = taint.influenced(v.chain(spark, sf_dir)).groupBy("actor_id").agg(F.collect_set("memory_id").alias("ids"))
-    return found.select("actor_id", F.size("ids").alias("flagged_count"), taint.ids_seal(F.col("ids")).alias("flagged_ids_sha256"))
+    return taint.ids_seals(taint.influenced(v.chain(spark, sf_dir)), "actor_id")
 
 
 _SEAL = """sha256('{"memory_ids":[' || string_agg('"' || memory_id || '"', ',' ORDER BY memory_id) || ']}')"""
@@ -126,7 +125,7 @@ SELECT actor_id, count(*)::INTEGER AS flagged_count, {_SEAL} AS flagged_ids_sha2
 
 
 def sweep_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-sweep-flag, Q-verify-sweep: the recorded sweeps, recounted and resealed from their flags."""
+    """JN-sweep-flag: the recorded sweeps, recounted and resealed from their flags."""
     return taint.sweep_seals(v.chain(spark, sf_dir))
 
 
@@ -153,7 +152,7 @@ FROM due FULL JOIN hit USING (sweep_id, memory_id) WHERE due.memory_id IS NULL O
 
 
 def embedding_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-inventory, AGG-families: memories per declared provenance, the undeclared on a row of their own."""
+    """AGG-inventory: memories per declared provenance, the undeclared on a row of their own."""
     return inventory.embedding_inventory(_provenance(spark, sf_dir))
 
 

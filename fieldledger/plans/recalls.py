@@ -157,7 +157,7 @@ SELECT DISTINCT to_id AS memory_id FROM edges WHERE link_type = 'RESONANT'
 
 
 def counterfactual_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-compare, Q-exclusion, JN-worlds: what changes if the four nearest memories were quarantined."""
+    """JN-worlds: what changes if the four nearest memories were quarantined."""
     memories, query = _query(spark, sf_dir)
     key = F.row_number().over(Window.orderBy(F.desc("key"), "memory_id")) - 1
 

@@ -39,7 +39,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def authority_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RP-authority, Q-authsummary: every subject's status and grants."""
+    """RP-authority: every subject's status and grants."""
     return replay.authority_states(ledger(spark, sf_dir)).select("subject_id", "status", "registered_at", F.col("n_grants").cast("long").alias("n_grants"))
 
 
@@ -102,7 +102,7 @@ def _causes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def decision_subset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRD-subset, JN-receipt: uses that the cited recall never served."""
+    """PRD-subset: uses that the cited recall never served."""
     parts = _causes(spark, sf_dir)
     return parts["used"].join(parts["served"], ["receipt_sha256", "memory_id"], "left_anti").select("decision_id", "memory_id")
 
