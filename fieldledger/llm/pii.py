@@ -45,11 +45,19 @@ SPAN = "struct<start:int,end:int,hit:string>"
 RUN = 128
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def in_runs(items: Column) -> Column:
     """The array cut into arrays of RUN."""
-    runs = F.ceil(F.size(items) / F.lit(RUN)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
-    return F.when(F.size(items) > 0, cut).otherwise(F.filter(F.array(items), lambda _: F.lit(False)))
+
+    def cut(items: Column) -> Column:
+        runs = F.ceil(F.size(items) / F.lit(RUN)).cast("int")
+        return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))).otherwise(F.filter(F.array(items), lambda _: F.lit(False)))
+
+    return bound(items, cut)
 
 
 def before_runs(runs: Column, after: Callable[[Column, Column], Column]) -> Column:
@@ -75,16 +83,15 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Colum
         one = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("hit")))
         return F.struct(end.alias("at"), F.when(keep(pair["hit"]), F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
+    def moved(run: Column, at: Column) -> Column:
+        return F.transform(run["found"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["hit"].alias("hit")))
+
     runs = F.transform(in_runs(pairs), lambda run: F.aggregate(run, F.struct(F.lit(0).alias("at"), none.alias("found")), step))
-    begins = before_runs(runs, lambda at, run: at + run["at"])
-    moved = F.zip_with(runs, begins, lambda run, at: F.transform(run["found"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["hit"].alias("hit"))))
-    return F.flatten(moved)
+    return bound(runs, lambda runs: F.flatten(F.zip_with(runs, before_runs(runs, lambda at, run: at + run["at"]), moved)))
 
 
 def rewritten(text: Column, marked: Column, fill: str = "") -> Column:
     """text with each of the marked (start, end, by) replaced by its by; one that overlaps an earlier one only lengthens it, by fill a character."""
-    runs = in_runs(F.array_sort(marked))
-    begins = before_runs(runs, lambda at, run: F.greatest(at, F.array_max(F.transform(run, lambda s: s["end"]))))
 
     def segment(run: Column, begin: Column) -> Column:
         end = F.greatest(begin, F.array_max(F.transform(run, lambda s: s["end"])))
@@ -98,9 +105,13 @@ def rewritten(text: Column, marked: Column, fill: str = "") -> Column:
 
         return F.aggregate(part["run"], F.struct(part["begin"].alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
 
-    last = F.coalesce(F.array_max(F.transform(marked, lambda s: s["end"])), F.lit(0))
-    # every segment is cut out once, and its spans are placed within it
-    return F.concat(F.array_join(F.transform(F.zip_with(runs, begins, segment), replaced), ""), F.substring(text, last + 1, F.length(text)))
+    def whole(runs: Column) -> Column:
+        begins = before_runs(runs, lambda at, run: F.greatest(at, F.array_max(F.transform(run, lambda s: s["end"]))))
+        last = F.coalesce(F.array_max(F.transform(F.flatten(runs), lambda s: s["end"])), F.lit(0))
+        # every segment is cut out once, and its spans are placed within it
+        return F.concat(F.array_join(F.transform(F.zip_with(runs, begins, segment), replaced), ""), F.substring(text, last + 1, F.length(text)))
+
+    return bound(in_runs(F.array_sort(marked)), whole)
 
 
 def digits(hit: Column) -> Column:
