@@ -90,9 +90,8 @@ def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFram
         by_descent = settled(born.select(F.col("dst").alias("id"), "level").where(F.col("id") != memory_id).join(memories, ["id", "level"], "left_anti").distinct())
         made = edge(after, "DERIVED", "SUPERSEDED_BY", F.col("src"), F.col("dst")).unionByName(edge(uses, "DERIVED", "USED_BY", F.col("src"), F.col("dst")))
         made = made.unionByName(born.select("level", F.lit("DERIVED_FROM_DECISION").alias("kind"), "src", "dst"))
-        # computed once a round, so that the plan does not grow with the rounds
-        edges, memories = settled(edges.unionByName(made).distinct()), settled(memories.unionByName(by_descent))
-        decisions = settled(decisions)
+        # only what is new is written; the whole is the union of the rounds
+        edges, memories = edges.unionByName(settled(made.distinct())), memories.unionByName(by_descent)
         for_uses = by_descent.select("id").distinct()
         for_lineage = by_lineage.select("id").unionByName(for_uses).distinct()
         fresh_decisions = none.select("id")
@@ -101,7 +100,7 @@ def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFram
     with_it = direct_receipts.join(served, F.col("dst") == F.col("receipt_sha256")).where(F.col("memory_id") != memory_id)
     near = links.where((F.col("link_type") == "RESONANT") & (F.col("from_id") == memory_id) & (F.col("to_id") != memory_id))
     possible = edge(with_it, "POSSIBLE", "CO_SERVED", F.lit(memory_id), F.col("memory_id")).unionByName(edge(near, "POSSIBLE", "RESONANT_NEIGHBOUR", F.lit(memory_id), F.col("to_id")))
-    return edges.unionByName(possible.distinct()), memories
+    return edges.distinct().unionByName(possible.distinct()), memories
 
 
 def impact_report(memory_id: str, edges: DataFrame, memories: DataFrame) -> dict:

@@ -13,16 +13,16 @@ def exposure(links: DataFrame, sources: DataFrame, depth: int = EXPOSURE_DEPTH)
     """memory_id and depth of what the sources reach over resonant links, sources left out.
 
     Each link passes on half, so the greatest influence is that of the shortest path and the
-    floor of 1/64 is a depth of 6: six joins, each kept for the next, and one minimum at the
-    end. A cycle is walked again, but no more often than there are rounds.
+    floor of 1/64 is a depth of 6: six joins, each kept for the next and following only what no
+    earlier one has reached.
     """
     edges = links.where("link_type = 'RESONANT'").select("from_id", "to_id")
-    frontier = reached = sources.select("memory_id", F.lit(0).alias("depth")).distinct().persist()
+    frontier = reached = settled(sources.select("memory_id", F.lit(0).alias("depth")).distinct())
     for d in range(1, depth + 1):
         step = frontier.join(edges, F.col("memory_id") == F.col("from_id")).select(F.col("to_id").alias("memory_id")).distinct()
-        frontier = step.withColumn("depth", F.lit(d)).persist()
+        frontier = settled(step.join(reached.select("memory_id"), "memory_id", "left_anti").withColumn("depth", F.lit(d)))
         reached = reached.unionByName(frontier)
-    return reached.groupBy("memory_id").agg(F.min("depth").alias("depth")).where("depth > 0")
+    return reached.where("depth > 0")
 
 
 def graded(memories: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
@@ -62,13 +62,13 @@ def settled(rows: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """id: the seeds and all that they lead to over (child, parent) edges, until nothing is new.
 
-    A round joins only what the last one added, and is computed once, so that the plan does not
-    grow with the depth.
+    A round joins only what the last one added, and only that is written; what is reached is the
+    union of the rounds.
     """
     edges = settled(edges.select("child", "parent").distinct())
     reached = frontier = settled(seeds.select("id").distinct())
     while not frontier.isEmpty():
         step = frontier.join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
         frontier = settled(step.join(reached, "id", "left_anti"))
-        reached = settled(reached.unionByName(frontier).coalesce(max(1, edges.rdd.getNumPartitions())))
+        reached = reached.unionByName(frontier)
     return reached
