@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
 from fractions import Fraction
@@ -85,15 +85,14 @@ class Ledger:
 
     # --- chains
 
-    def append(self, kind: ChainKind, subject: str, event: str, actor: str, reason: str, payload: dict, at: str) -> str:
-        """Adds one event behind the subject's head; returns its hash."""
+    def append(self, kind: ChainKind, subject: str, event: str, actor: str, reason: str, payload: dict, at: str, head: Mapping | None = None) -> str:
+        """Adds one event behind the subject's head (its seq and entry_hash, looked up if not given); returns its hash."""
         _id(subject, kind.subject)
         _id(actor, kind.actor)
         _text(reason, "reason")
         if event not in kind.events:
             raise ValueError(f"{event!r} is no {kind.name} event")
-        rows = self.field.rows(kind.table, **{kind.subject: subject})
-        last = max(rows, key=lambda r: r["seq"], default=None)
+        last = head or max(self.field.rows(kind.table, **{kind.subject: subject}), key=lambda r: r["seq"], default=None)
         if (last is None) != (event == kind.birth):
             raise ValueError(f"{subject}: a {kind.name} chain begins with {kind.birth}, once")
         if kind is CUSTODY and last is None and not re.fullmatch(HEX_PATTERN, str(payload.get("content_sha256"))):
@@ -363,9 +362,13 @@ class Ledger:
             raise ValueError(f"actor {actor_id!r} is quarantined")
         if self.has_ledger():
             self.quarantine_authority(subject_id=actor_id, issuer_id=initiated_by, reason=reason, at=at)
-        flagged = sorted(r["memory_id"] for r in taint.flagged_by(self.field.table("custody_chain"), actor_id).collect())
+        chain = self.field.table("custody_chain")
+        touched = chain.join(taint.flagged_by(chain, actor_id), "memory_id", "left_semi")
+        # one job for all heads
+        heads = {r["memory_id"]: r.asDict() for r in touched.groupBy("memory_id").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("entry_hash")).collect()}
+        flagged = sorted(heads)
         for m in flagged:
-            self.append(CUSTODY, m, "TAINT_FLAGGED", initiated_by, reason, {"sweep_id": sid, "quarantined_actor": actor_id} | ({"grant_id": gid} if gid else {}), at)
+            self.append(CUSTODY, m, "TAINT_FLAGGED", initiated_by, reason, {"sweep_id": sid, "quarantined_actor": actor_id} | ({"grant_id": gid} if gid else {}), at, heads[m])
         sealed = taint.ids_seal_of(flagged)
         self.field.append("taint_sweeps", {"sweep_id": sid, "quarantined_actor": actor_id, "initiated_by": initiated_by, "reason": reason, "created_at": at, "flagged_count": len(flagged), "flagged_ids_sha256": sealed})
         marks = self.field.spark.createDataFrame([(m,) for m in flagged], "memory_id string")

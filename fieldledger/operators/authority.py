@@ -74,11 +74,11 @@ def unauthorized(events: DataFrame, grants: DataFrame, windows: DataFrame) -> Da
     are on (actor, grant) and on the actor, with the instants as residual conditions.
     """
     columns = events.columns
-    keyed = events.withColumn("_row", F.xxhash64(*columns))
     held = grants.select(F.col("subject_id").alias("actor_id"), "grant_id", "capabilities", "granted_at", "revoked_at")
-    shut = keyed.join(windows.withColumnRenamed("subject_id", "actor_id"), "actor_id").where((F.col("from_at") <= F.col("created_at")) & (F.col("to_at").isNull() | (F.col("to_at") > F.col("created_at"))))
-    shut = shut.select("_row", F.lit(True).alias("_shut")).distinct()
-    both = keyed.join(held, ["actor_id", "grant_id"], "left").join(shut, "_row", "left")
+    # whether a window covers an act depends on its actor and instant alone
+    shut = events.select("actor_id", "created_at").distinct().join(windows.withColumnRenamed("subject_id", "actor_id"), "actor_id").where((F.col("from_at") <= F.col("created_at")) & (F.col("to_at").isNull() | (F.col("to_at") > F.col("created_at"))))
+    shut = shut.select("actor_id", "created_at", F.lit(True).alias("_shut")).distinct()
+    both = events.join(held, ["actor_id", "grant_id"], "left").join(shut, ["actor_id", "created_at"], "left")
     alive = F.col("granted_at").isNotNull() & live(F.col("created_at"))
     error = (
         F.when(F.col("grant_id").isNull(), "no_grant").when(F.col("_shut"), "quarantined").when(~alive, "not_active")

@@ -33,6 +33,19 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
         again.commit()
 
 
+def test_a_stream_that_starts_again_commits_no_batch_twice(spark, tmp_path):
+    built = chains.build(views.chain(spark, DATA), CUSTODY).where("memory_id < 'm-000005'").persist()
+    folder, path = f"{tmp_path}/events", f"file://{tmp_path}/field"
+    built.coalesce(1).write.parquet(folder)
+    field = Field(spark, path)
+    events.into_field(events.read_events(spark, folder), field, f"{tmp_path}/at").awaitTermination()
+    assert field.version == 1 and field.table("custody_chain").count() == built.count()
+    again = Field(spark, path)
+    assert again.commit_frames(once=(f"{tmp_path}/at", 0), custody_chain=built) == 1  # what a restart would send
+    assert again.table("custody_chain").count() == built.count() and chains.verify(again.table("custody_chain"), CUSTODY).isEmpty()
+    assert again.commit_frames(once=(f"{tmp_path}/at", 1), custody_chain=built.limit(0)) == 2
+
+
 def test_streamed_verification_agrees(spark, tmp_path):
     built = chains.build(views.chain(spark, DATA), CUSTODY).where("memory_id < 'm-000020'")
     from pyspark.sql import functions as F
