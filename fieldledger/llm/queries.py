@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, hamming, line_dedup, mixing, near_dup, packing, pii, secret_scan, sharding, token_count, toxicity
+from . import ann, centroids, hamming, line_dedup, mixing, near_dup, packing, pii, secret_scan, sharding, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_exponion_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("scanned")
+
+
 def op13_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -194,5 +198,35 @@ FROM texts LEFT JOIN per USING (row)
 """
 
 
+def _round_sql(n: int) -> str:
+    """Assignment n to the centroids of step n - 1, and the centroids of step n, by floored means."""
+    return f"""
+, a{n} AS MATERIALIZED (
+  SELECT row, arg_min(struct_pack(d := d, cluster := cluster), struct_pack(d := d, cluster := cluster)) AS best FROM (
+    SELECT row, cluster, list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT AS d FROM kept, c{n - 1}
+  ) GROUP BY row
+), c{n} AS MATERIALIZED (
+  SELECT old.cluster, coalesce(new.c, old.c) AS c FROM c{n - 1} AS old LEFT JOIN (
+    SELECT cluster, list(m ORDER BY place) AS c FROM (
+      SELECT cluster, place, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+      FROM (SELECT best.cluster AS cluster, unnest(x)::BIGINT AS v, generate_subscripts(x, 1) AS place FROM kept JOIN a{n} USING (row)) GROUP BY cluster, place
+    ) GROUP BY cluster
+  ) AS new ON new.cluster = old.cluster
+)"""
+
+
+CENTROID_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 64)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), c0 AS MATERIALIZED (
+  SELECT cluster, x AS c FROM (SELECT x, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS cluster FROM kept) WHERE cluster < 16
+){"".join(map(_round_sql, (1, 2, 3, 4)))}
+SELECT vec_id, best.cluster::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.cluster))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(list_reduce(list_transform(c3.c, lambda v: v::VARCHAR), lambda p, q: p || ',' || q)) AS centroid_sha256
+FROM kept JOIN a4 USING (row) JOIN c3 ON c3.cluster = best.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op6_source_mixing": MIX_SQL, "op7_secret_scan": SECRET_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op6_source_mixing": MIX_SQL, "op7_secret_scan": SECRET_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL, "op11_exponion_clustering": CENTROID_SQL}
