@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, hamming, line_dedup, mixing, near_dup, packing, pii, secret_scan, sharding, token_count, toxicity
+from . import ann, centroids, conversation_repair, hamming, line_dedup, mixing, near_dup, packing, pii, secret_scan, sharding, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op11_exponion_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("scanned")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(conversations), conversations)
+
+
 def op13_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -228,5 +233,53 @@ FROM kept JOIN a4 USING (row) JOIN c3 ON c3.cluster = best.cluster
 """
 
 
+REPAIR_SQL = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), codes AS (
+  SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(key, '.'), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS fault
+  FROM (SELECT DISTINCT key FROM raw)
+), damaged AS (
+  SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE fault WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM raw JOIN codes USING (key) WHERE fault <> 0
+), numbered AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+), seen AS (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY c, role, text ORDER BY n) > 1 AS duplicate, right(body, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS initial,
+    lag(left(role, 1)) OVER (PARTITION BY c ORDER BY n) AS before FROM numbered
+), turns AS MATERIALIZED (SELECT *, blank OR duplicate AS must, cut AND NOT blank AND NOT duplicate AS truncated FROM seen),
+grammar(q, kind, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+inserts(p, q, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (2, 2, 2), (3, 3, 0), (3, 2, 1), (3, 3, 2)),
+acts AS (
+  SELECT q, r, kind, 'K' AS letter, 0 AS price FROM grammar UNION ALL SELECT q, r, kind, 'R', 3 FROM grammar WHERE kind <> 's' UNION ALL SELECT DISTINCT p, p, '', 'D', 4 FROM inserts
+), walk(c, n, state, best) AS (
+  SELECT DISTINCT c, 0::BIGINT, 0, struct_pack(cost := 0::BIGINT, audit := '') FROM turns
+  UNION ALL
+  SELECT w.c, w.n + 1, a.r, min(struct_pack(cost := (w.best.cost + 3 * i.k + a.price + CASE WHEN t.truncated AND a.letter <> 'D' THEN 3 ELSE 0 END)::BIGINT, audit := w.best.audit || repeat('I', i.k) || a.letter))
+  FROM walk AS w JOIN turns AS t ON t.c = w.c AND t.n = w.n + 1 JOIN inserts AS i ON i.p = w.state JOIN acts AS a ON a.q = i.q AND (a.letter = 'D' OR NOT t.must AND (a.letter = 'R' OR a.kind = t.initial))
+  GROUP BY w.c, w.n, a.r
+), facts AS (
+  SELECT c, conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+    count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND (before || initial) NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY c, conv_id
+), chosen AS (
+  SELECT f.c, min(struct_pack(cost := (w.best.cost + 3 * i.k)::BIGINT, audit := w.best.audit || repeat('I', i.k))) AS best
+  FROM facts AS f JOIN walk AS w ON w.c = f.c AND w.n = f.rows JOIN inserts AS i ON i.p = w.state AND i.q IN (0, 3) GROUP BY f.c
+), letters AS (SELECT c, unnest(regexp_extract_all(best.audit, '.')) AS letter, generate_subscripts(regexp_extract_all(best.audit, '.'), 1) AS pos FROM chosen),
+placed AS (
+  SELECT *, count(*) FILTER (WHERE letter <> 'I') OVER o AS n, count(*) FILTER (WHERE letter <> 'D') OVER o AS place FROM letters WINDOW o AS (PARTITION BY c ORDER BY pos ROWS UNBOUNDED PRECEDING)
+), kept AS (
+  SELECT p.c, p.pos, p.letter, p.place, t.role, t.text, max(CASE WHEN p.place = 1 AND p.letter = 'K' AND t.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.c) AS lead
+  FROM placed AS p LEFT JOIN turns AS t ON t.c = p.c AND t.n = p.n AND p.letter <> 'I' WHERE p.letter <> 'D'
+), repaired AS (
+  SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY pos) AS text FROM kept GROUP BY c
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN chosen ON chosen.c = facts.c LEFT JOIN repaired ON repaired.c = facts.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op6_source_mixing": MIX_SQL, "op7_secret_scan": SECRET_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL, "op11_exponion_clustering": CENTROID_SQL}
+    return {"op1_rotated_bit_search": NEAREST_SQL, "op5_ngram_jaccard_join": JACCARD_SQL, "op6_source_mixing": MIX_SQL, "op7_secret_scan": SECRET_SQL, "op9_multi_index_hamming": HAMMING_SQL, "op10_line_dedup": LINE_SQL, "op11_exponion_clustering": CENTROID_SQL, "op12_conversation_repair": REPAIR_SQL}
