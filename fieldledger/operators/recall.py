@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, digest, vector_json
 from ..functions.vectors import display_score, dot, exact_key, multiplier
-from ..schema import CUSTODY_STATUSES, DEFAULT_HOPS, DEFAULT_TOP_K, MAX_HOPS, PROTOCOLS
+from ..schema import CUSTODY_STATUSES, DEFAULT_HOPS, DEFAULT_TOP_K, PROTOCOLS
+from .walks import walk
 
 
 @dataclass(frozen=True)
@@ -94,50 +95,16 @@ def live_links(links: DataFrame, servable: DataFrame) -> DataFrame:
     return links.join(ids, F.col("from_id") == F.col("memory_id"), "left_semi").join(ids, F.col("to_id") == F.col("memory_id"), "left_semi")
 
 
-@dataclass(frozen=True)
-class Walk:
-    hop: dict[str, int]
-    inhibited: frozenset[str]
-    resonant: dict[str, int]
-
-
-def walk(links: DataFrame, seed: str, hops: int) -> Walk:
-    """Level by level from the seed, in id order within a level: a node that an earlier one of its
-    own level inhibits is skipped. One query a level fetches the links of the frontier, which is
-    what a few hops reach from one seed."""
-    hop: dict[str, int] = {}
-    inhibited: set[str] = set()
-    resonant: dict[str, int] = {}
-    frontier = {seed}
-    for depth in range(min(hops, MAX_HOPS) + 1):
-        if not frontier:
-            break
-        out: dict[str, list[tuple[str, str]]] = {}
-        for r in links.where(F.col("from_id").isin(sorted(frontier))).select("from_id", "to_id", "link_type").collect():
-            out.setdefault(r["from_id"], []).append((r["to_id"], r["link_type"]))
-        ahead: set[str] = set()
-        for node in sorted(frontier):
-            if node in inhibited or node in hop:
-                continue
-            hop[node] = depth
-            for target, kind in sorted(out.get(node, [])):
-                if kind == "INHIBITORY":
-                    inhibited.add(target)
-                    continue
-                ahead.add(target)
-                if kind == "RESONANT":
-                    resonant[target] = resonant.get(target, 0) + 1
-        frontier = ahead - set(hop) - inhibited
-    return Walk(hop, frozenset(inhibited), resonant)
-
-
-def scored(found: DataFrame, seed: str, walked: Walk) -> DataFrame:
-    """found with hop, resonant, rescued and key, without the inhibited that nothing rescues."""
-    touched = sorted(set(walked.hop) | walked.inhibited | set(walked.resonant))
-    rows = [(m, walked.hop.get(m, -1), walked.resonant.get(m, 0), m in walked.inhibited and m != seed) for m in touched]
-    marks = found.sparkSession.createDataFrame(rows, "memory_id string, hop int, resonant int, inhibited boolean")
+def scored(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """found with hop, resonant, rescued and key, without the inhibited that nothing rescues; marks are those of one walk."""
+    marks = marks.select("memory_id", "hop", "resonant", "inhibited")
     out = found.join(marks, "memory_id", "left").withColumn("hop", F.coalesce("hop", F.lit(-1))).withColumn("resonant", F.coalesce("resonant", F.lit(0)))
-    out = out.withColumn("rescued", F.coalesce("inhibited", F.lit(False)) & (F.col("field_state") == "REINFORCED"))
+    return ranked_marks(out)
+
+
+def ranked_marks(rows: DataFrame) -> DataFrame:
+    """rows (hop, resonant, inhibited) with rescued and key, without the inhibited that nothing rescues."""
+    out = rows.withColumn("rescued", F.coalesce("inhibited", F.lit(False)) & (F.col("field_state") == "REINFORCED"))
     out = out.where(~F.coalesce("inhibited", F.lit(False)) | F.col("rescued")).drop("inhibited")
     return out.withColumn("key", exact_key("d", "n", "field_state", "hop", "resonant"))
 
@@ -171,10 +138,9 @@ def recall(
     if first is None:
         return [], base.sealed()
     seed = first["memory_id"]
-    walked = walk(live_links(links, gated(memories, override)), seed, hops)
-    rows = scored(found, seed, walked)
-    inhibited = sorted(walked.inhibited - {seed})
-    lost = found.where(F.col("memory_id").isin(inhibited) & (F.col("field_state") != "REINFORCED")).count() if inhibited else 0
+    marks = walk(live_links(links, gated(memories, override)), seed, hops)
+    rows = scored(found, marks)
+    lost = found.where("field_state <> 'REINFORCED'").join(marks.where("inhibited"), "memory_id", "left_semi").count()
     best = top(rows, top_k).select("memory_id", *(["content"] if "content" in rows.columns else []), "d", "n", "hop", "resonant", "field_state", "rescued", "key").collect()
     hits = [
         Hit(r["memory_id"], r["content"] if "content" in r else None, display_score(int(r["d"]), int(r["n"]), n_query, multiplier(r["field_state"], r["hop"], r["resonant"])), r["hop"], r["field_state"], r["rescued"], bytes(r["key"]))

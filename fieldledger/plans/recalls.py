@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import counterfactual, graph, recall, taint
+from ..operators import counterfactual, graph, recall, taint, walks
 from . import views as v
 
 TOP = 20
@@ -74,8 +74,8 @@ def recall_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = v.edges(spark, sf_dir)
     found = recall.candidates(memories, query)
     seed = recall.seed_of(found).head()["memory_id"]
-    walked = recall.walk(recall.live_links(links, recall.gated(memories)), seed, 2)
-    best = recall.top(recall.scored(found, seed, walked), TOP)
+    marks = recall.walk(recall.live_links(links, recall.gated(memories)), seed, 2)
+    best = recall.top(recall.scored(found, marks), TOP)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("key"), "memory_id"))).select("rank", "memory_id", "hop", "resonant", "rescued")
 
 
@@ -110,6 +110,45 @@ FROM marked WHERE NOT inhibited OR field_state = 'REINFORCED' QUALIFY rank <= {T
 """
 
 
+def ordered_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-bfs, Q-bfs: ordered walks of 0, 2 and 4 hops from every fiftieth memory, the hub of a third of the links among them."""
+    links = v.dense_edges(spark, sf_dir)
+    seeds = v.vec(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("memory_id").alias("walk"), "memory_id")
+    found = [walks.walks(links, seeds, hops).withColumn("hops", F.lit(hops)) for hops in (0, 2, 4)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def walk_sql(name: str, hops: str, links: str, seeds: str) -> str:
+    """The walk node by node: a queue in order, what lies ahead, what is visited, and what is inhibited."""
+    return f"""
+{name}_adj AS MATERIALIZED (
+  SELECT from_id, list(to_id) FILTER (WHERE link_type = 'INHIBITORY') AS inh, list(to_id) FILTER (WHERE link_type <> 'INHIBITORY') AS next, list(to_id) FILTER (WHERE link_type = 'RESONANT') AS res
+  FROM {links} GROUP BY from_id
+),
+{name}_run(walk, depth, todo, ahead, seen, at_hop, inhibited, res) USING KEY (walk) AS (
+  SELECT walk, 0, [memory_id], []::VARCHAR[], []::VARCHAR[], []::INTEGER[], []::VARCHAR[], []::VARCHAR[] FROM {seeds}
+  UNION
+  SELECT walk, CASE WHEN len(todo) = 0 THEN depth + 1 ELSE depth END,
+    CASE WHEN len(todo) = 0 THEN list_sort(list_filter(list_distinct(ahead), lambda x: NOT list_contains(seen, x) AND NOT list_contains(inhibited, x))) ELSE todo[2:] END,
+    CASE WHEN len(todo) = 0 THEN [] WHEN fresh THEN ahead || coalesce(a.next, []) ELSE ahead END, CASE WHEN fresh THEN seen || [todo[1]] ELSE seen END, CASE WHEN fresh THEN at_hop || [depth] ELSE at_hop END,
+    CASE WHEN fresh THEN inhibited || coalesce(a.inh, []) ELSE inhibited END, CASE WHEN fresh THEN s.res || coalesce(a.res, []) ELSE s.res END
+  FROM (SELECT *, len(todo) > 0 AND NOT list_contains(seen, todo[1]) AND NOT list_contains(inhibited, todo[1]) AS fresh FROM {name}_run) AS s LEFT JOIN {name}_adj AS a ON a.from_id = todo[1]
+  WHERE len(todo) > 0 OR (len(ahead) > 0 AND depth < {hops})
+),
+{name} AS (
+  SELECT walk, memory_id, max(hop)::INTEGER AS hop, sum(r)::INTEGER AS resonant, max(i) = 1 AND max(hop) <> 0 AS inhibited FROM (
+    SELECT walk, unnest(seen) AS memory_id, unnest(at_hop) AS hop, 0 AS r, 0 AS i FROM {name}_run
+    UNION ALL SELECT walk, unnest(res), -1, 1, 0 FROM {name}_run UNION ALL SELECT walk, unnest(inhibited), -1, 0, 1 FROM {name}_run
+    UNION ALL SELECT walk, unnest(a.next), -1, 0, 0 FROM (SELECT walk, unnest(seen) AS id FROM {name}_run) JOIN {name}_adj AS a ON a.from_id = id
+  ) GROUP BY walk, memory_id
+)"""
+
+
+WALK_SQL = f"""WITH RECURSIVE {v.VEC_SQL}, {v.DENSE_SQL}, seeds AS (SELECT memory_id AS walk, memory_id FROM vec WHERE vec_id % 50 = 0),
+{walk_sql("w0", "0", "dense", "seeds")}, {walk_sql("w2", "2", "dense", "seeds")}, {walk_sql("w4", "4", "dense", "seeds")}
+SELECT *, 0 AS hops FROM w0 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 4 FROM w4"""
+
+
 def embedding_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Float ingestion: every component as a whole multiple of 10**-10."""
     return v.vec(spark, sf_dir).select("memory_id", F.posexplode("vec").alias("place", "units"))
@@ -202,7 +241,7 @@ SELECT 't-' || label::VARCHAR AS topic, arg_min(memory_id, r) AS claim FROM best
 
 QUERIES = {
     "recall_topk_exact": (recall_topk_exact, RECALL_SQL), "recall_gate_counts": (recall_gate_counts, GATE_SQL), "seed_argmax": (seed_argmax, SEED_SQL),
-    "recall_hops": (recall_hops, HOPS_SQL), "embedding_quantize": (embedding_quantize, QUANTIZE_SQL), "link_gate": (link_gate, LINK_SQL),
+    "recall_hops": (recall_hops, HOPS_SQL), "ordered_walk": (ordered_walk, WALK_SQL), "embedding_quantize": (embedding_quantize, QUANTIZE_SQL), "link_gate": (link_gate, LINK_SQL),
     "influence_exposure": (influence_exposure, EXPOSURE_SQL), "resonant_neighbours": (resonant_neighbours, NEIGHBOURS_SQL),
     "counterfactual_delta": (counterfactual_delta, DELTA_SQL), "worlds_moved": (worlds_moved, MOVED_SQL), "claim_topic_winner": (claim_topic_winner, TOPIC_SQL),
 }

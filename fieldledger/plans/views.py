@@ -78,6 +78,32 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.drop("five").unionByName(inh.drop("five").select("from_id", "to_id", "link_type"))
 
 
+# a denser graph: memory 0 leads to two thirds of all memories, which inhibit one another in places
+DENSE_SQL = """
+dense AS (
+  SELECT 'm-' || lpad(f::VARCHAR, 6, '0') AS from_id, 'm-' || lpad(t::VARCHAR, 6, '0') AS to_id, min(kind) AS link_type FROM (
+    SELECT vec_id AS f, unnest([(vec_id * 7 + 3) % n, (vec_id * 13 + 1) % n, (vec_id + 1 + vec_id % 3) % n]) AS t, unnest(['RESONANT', 'RESONANT', CASE WHEN vec_id % 2 = 0 THEN 'INHIBITORY' ELSE 'RESONANT' END]) AS kind
+    FROM embeddings, (SELECT count(*) AS n FROM embeddings)
+    UNION ALL SELECT 0, vec_id, 'RESONANT' FROM embeddings WHERE vec_id % 3 > 0
+  ) WHERE f <> t GROUP BY f, t
+)"""
+
+
+def dense_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "embeddings").select("vec_id")
+    n = ids.count()
+    f = F.col("vec_id")
+
+    def link(to: Column, kind: Column) -> Column:
+        return F.struct(to.cast("long").alias("t"), kind.alias("kind"))
+
+    res = F.lit("RESONANT")
+    out = F.explode(F.array(link((f * 7 + 3) % n, res), link((f * 13 + 1) % n, res), link((f + 1 + f % 3) % n, F.when(f % 2 == 0, "INHIBITORY").otherwise("RESONANT"))))
+    rows = ids.select(f.alias("f"), out.alias("l")).select("f", "l.t", "l.kind").unionByName(ids.where("vec_id % 3 > 0").select(F.lit(0).cast("long").alias("f"), f.alias("t"), res.alias("kind")))
+    rows = rows.where("f <> t").groupBy("f", "t").agg(F.min("kind").alias("link_type"))
+    return rows.select(ident("m-", F.col("f")).alias("from_id"), ident("m-", F.col("t")).alias("to_id"), "link_type")
+
+
 # --- custody chains ------------------------------------------------------------------------
 
 CHAIN_SQL = """
