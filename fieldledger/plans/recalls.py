@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import counterfactual, graph, recall, taint, walks
+from ..operators import batch_recall, counterfactual, graph, recall, taint, walks
 from . import views as v
 
 TOP = 20
@@ -149,6 +149,35 @@ WALK_SQL = f"""WITH RECURSIVE {v.VEC_SQL}, {v.DENSE_SQL}, seeds AS (SELECT memor
 SELECT *, 0 AS hops FROM w0 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 4 FROM w4"""
 
 
+def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-recall, SRT-rank, Q-score for every twentieth memory as a query: whole recalls with two hops, at once."""
+    memories = v.vec(spark, sf_dir)
+    queries = memories.where("vec_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "vec")
+    found = batch_recall.recall_all(memories, v.dense_edges(spark, sf_dir), queries, TOP, 2)
+    return _numbers(found).select("query_id", "rank", "memory_id", "d", "n", "hop", "resonant", "rescued")
+
+
+_SCORE = f"""CASE WHEN d <= 0 THEN 0 ELSE d::DOUBLE / sqrt(n::DOUBLE)
+    * (CASE field_state WHEN 'REINFORCED' THEN 1.5 ELSE 1.0 END * CASE WHEN hop > 0 THEN power(0.86, hop) ELSE 1 END + 0.5 * resonant) END"""
+
+BATCH_SQL = f"""WITH RECURSIVE {v.VEC_SQL}, {v.DENSE_SQL},
+q AS (SELECT memory_id AS query_id, vec AS qv FROM vec WHERE vec_id % 20 = 0),
+found AS MATERIALIZED (
+  SELECT query_id, memory_id, field_state, {v.dot_sql("vec", "qv")} AS d, {v.dot_sql("vec", "vec")} AS n FROM vec, q WHERE custody_status = 'CLEAN' AND field_state <> 'FORGOTTEN'
+),
+seeds AS (SELECT query_id AS walk, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_SIM} DESC, memory_id) AS r FROM found WHERE n > 0) WHERE r = 1),
+clean AS (SELECT memory_id FROM vec WHERE custody_status = 'CLEAN'),
+live AS (SELECT * FROM dense WHERE from_id IN (SELECT memory_id FROM clean) AND to_id IN (SELECT memory_id FROM clean)),
+{walk_sql("w", "2", "live", "seeds")},
+marked AS (
+  SELECT found.*, coalesce(w.hop, -1) AS hop, coalesce(w.resonant, 0) AS resonant, coalesce(w.inhibited, false) AS inhibited
+  FROM found LEFT JOIN w ON w.walk = query_id AND w.memory_id = found.memory_id WHERE n > 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {_SCORE} DESC, memory_id)::INTEGER AS rank, memory_id, d::VARCHAR AS d, n::VARCHAR AS n, hop::INTEGER AS hop, resonant::INTEGER AS resonant, inhibited AS rescued
+FROM marked WHERE NOT inhibited OR field_state = 'REINFORCED' QUALIFY rank <= {TOP}
+"""
+
+
 def embedding_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Float ingestion: every component as a whole multiple of 10**-10."""
     return v.vec(spark, sf_dir).select("memory_id", F.posexplode("vec").alias("place", "units"))
@@ -241,7 +270,7 @@ SELECT 't-' || label::VARCHAR AS topic, arg_min(memory_id, r) AS claim FROM best
 
 QUERIES = {
     "recall_topk_exact": (recall_topk_exact, RECALL_SQL), "recall_gate_counts": (recall_gate_counts, GATE_SQL), "seed_argmax": (seed_argmax, SEED_SQL),
-    "recall_hops": (recall_hops, HOPS_SQL), "ordered_walk": (ordered_walk, WALK_SQL), "embedding_quantize": (embedding_quantize, QUANTIZE_SQL), "link_gate": (link_gate, LINK_SQL),
+    "recall_hops": (recall_hops, HOPS_SQL), "ordered_walk": (ordered_walk, WALK_SQL), "recall_batch": (recall_batch, BATCH_SQL), "embedding_quantize": (embedding_quantize, QUANTIZE_SQL), "link_gate": (link_gate, LINK_SQL),
     "influence_exposure": (influence_exposure, EXPOSURE_SQL), "resonant_neighbours": (resonant_neighbours, NEIGHBOURS_SQL),
     "counterfactual_delta": (counterfactual_delta, DELTA_SQL), "worlds_moved": (worlds_moved, MOVED_SQL), "claim_topic_winner": (claim_topic_winner, TOPIC_SQL),
 }
