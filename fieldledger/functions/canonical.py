@@ -138,14 +138,14 @@ def sha256_hex(column: str | Column) -> Column:
     return F.sha2(column, 256)
 
 
-@F.pandas_udf(BooleanType())
-def is_canonical(stored: pd.Series) -> pd.Series:
+def is_canonical_text(text: str | None) -> bool:
     """Whether the text is valid JSON in canonical form."""
+    try:
+        return text is not None and canonical_json(json.loads(text)) == text
+    except (ValueError, TypeError):
+        return False
 
-    def one(text: str | None) -> bool:
-        try:
-            return text is not None and canonical_json(json.loads(text)) == text
-        except (ValueError, TypeError):
-            return False
 
-    return stored.map(one)
+@F.pandas_udf(BooleanType())
+def is_canonical(stored: pd.Series) -> pd.Series:
+    return stored.map(is_canonical_text)

@@ -1,4 +1,4 @@
-"""Temporal authority: grants and quarantine windows as interval joins with equality keys.
+"""Temporal authority: grants and quarantine windows, at one instant or at those of many acts.
 
 grants is replay.grants and windows is replay.quarantine_windows, or tables of that shape. A
 grant is live from granted_at on until, but not at, revoked_at; a window is half open as well.
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import AUTHORITY_CAPABILITY, CLAIM_CAPABILITY, CUSTODY_CAPABILITY
+from ..schema import AUTHORITY_CAPABILITY, CAPABILITIES, CLAIM_CAPABILITY, CUSTODY_CAPABILITY
+from .sweeps import covered, edges, swept
 
 
 def live(at: Column) -> Column:
@@ -70,14 +71,15 @@ def required_for_claim() -> Column:
 def unauthorized(events: DataFrame, grants: DataFrame, windows: DataFrame) -> DataFrame:
     """The rows of events whose act its grant did not allow at the time, with ``error``.
 
-    events has actor_id, grant_id, created_at and needed, and the columns to carry through. Joins
-    are on (actor, grant) and on the actor, with the instants as residual conditions.
+    events has actor_id, grant_id, created_at and needed, and the columns to carry through. A grant is
+    one row, joined by (actor, grant); windows are swept along with the acts, so an actor with many of
+    both is split by time.
     """
     columns = events.columns
     held = grants.select(F.col("subject_id").alias("actor_id"), "grant_id", "capabilities", "granted_at", "revoked_at")
     # whether a window covers an act depends on its actor and instant alone
-    shut = events.select("actor_id", "created_at").distinct().join(windows.withColumnRenamed("subject_id", "actor_id"), "actor_id").where((F.col("from_at") <= F.col("created_at")) & (F.col("to_at").isNull() | (F.col("to_at") > F.col("created_at"))))
-    shut = shut.select("actor_id", "created_at", F.lit(True).alias("_shut")).distinct()
+    shut = covered(events.select("actor_id", "created_at").distinct(), windows.withColumnRenamed("subject_id", "actor_id"), ["actor_id"], "created_at", "from_at", "to_at")
+    shut = shut.where("open > 0").select("actor_id", "created_at", F.lit(True).alias("_shut"))
     both = events.join(held, ["actor_id", "grant_id"], "left").join(shut, ["actor_id", "created_at"], "left")
     alive = F.col("granted_at").isNotNull() & live(F.col("created_at"))
     error = (
@@ -87,7 +89,56 @@ def unauthorized(events: DataFrame, grants: DataFrame, windows: DataFrame) -> Da
     return both.withColumn("error", error).where("error IS NOT NULL").select(*columns, "error")
 
 
-def amplified(chain: DataFrame, grants: DataFrame, windows: DataFrame) -> DataFrame:
+#: What a sweep over capabilities counts beside them: quarantine, and errors of the replay.
+SHUT, ERRED = "#shut", "#erred"
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """rows with place and _asks: by instant, or by number on the chain for what is asked of a chain before an event of its own."""
+    return rows.withColumn("place", F.when(F.col("own"), F.lpad(F.col("seq").cast("string"), 20, "0")).otherwise(F.col("at")))
+
+
+def held_before(asks: DataFrame, chain: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """asks with ``held``: the capabilities that the holder had at the instant, sorted, and ``known``, whether it has a chain.
+
+    asks has ask (a text of its own), holder, at, own and seq. Where own is true, only what the
+    holder's chain says before seq counts, and nothing is held if that cannot be replayed: an act is
+    authorised by the state before it, never by what it does itself. wanted, an array column of asks, limits what
+    is looked for. All asks are answered in one sweep over (holder, capability): a capability
+    is held while more grants of it have begun than ended, and no window is open.
+    """
+    from .replay import authority_errors, grants, quarantine_windows
+
+    g, w = grants(chain), quarantine_windows(chain)
+    each = g.withColumn("cap", F.explode("capabilities")).withColumnRenamed("subject_id", "holder")
+    marks = chain.where(F.col("event_type").isin("ACTOR_QUARANTINED", "ACTOR_REINSTATED"))
+    step = F.when(F.col("event_type") == "ACTOR_QUARANTINED", 1).otherwise(-1)
+    no, yes = F.lit(False), F.lit(True)
+    by_time = edges(each, "granted_at", "revoked_at", "holder", "cap").unionByName(edges(w.select(F.col("subject_id").alias("holder"), F.lit(SHUT).alias("cap"), "from_at", "to_at"), "from_at", "to_at", "holder", "cap"))
+    by_time = by_time.select("holder", "cap", no.alias("own"), "at", F.lit(None).cast("int").alias("seq"), "delta")
+    instant = F.lit(None).cast("string").alias("at")
+    begun = each.select("holder", "cap", yes.alias("own"), instant, F.col("granted_seq").alias("seq"), F.lit(1).alias("delta"))
+    ended = each.where("revoked_seq > granted_seq").select("holder", "cap", yes.alias("own"), instant, F.col("revoked_seq").alias("seq"), F.lit(-1).alias("delta"))
+    shut = marks.select(F.col("subject_id").alias("holder"), F.lit(SHUT).alias("cap"), yes.alias("own"), instant, "seq", step.alias("delta"))
+    erred = authority_errors(chain).select(F.col("subject_id").alias("holder"), F.lit(ERRED).alias("cap"), yes.alias("own"), instant, "seq", F.lit(1).alias("delta"))
+    # by instant, what begins or ends there is in force; by number, what the event itself does is not
+    facts = _places(by_time.unionByName(begun).unionByName(ended).unionByName(shut).unionByName(erred)).withColumn("order", F.when(F.col("own"), 1).otherwise(0))
+    looked = F.array(*[F.lit(c) for c in CAPABILITIES]) if wanted is None else F.array_distinct(wanted)
+    asked = asks.withColumn("cap", F.explode(F.concat(looked, F.array(F.lit(SHUT), F.lit(ERRED)))))
+    asked = _places(asked.select("ask", "holder", "cap", "own", "at", "seq")).withColumn("order", F.when(F.col("own"), 0).otherwise(1))
+    columns = ["ask", "holder", "cap", "own", "place", "order", "delta"]
+    rows = asked.withColumn("delta", F.lit(0)).select(*columns).unionByName(facts.withColumn("ask", F.lit(None).cast("string")).select(*columns))
+    found = swept(rows, F.col("ask").isNotNull(), ["holder", "cap", "own"], ["place", "order"], open=("sum", F.col("delta"))).where("open > 0")
+    barred = F.col("cap").isin(SHUT, ERRED)
+    # as many rows an ask as there are capabilities, at most
+    per = found.groupBy("ask").agg(F.bool_or(barred).alias("_barred"), F.collect_set(F.when(~barred, F.col("cap"))).alias("_caps"))
+    known = chain.select(F.col("subject_id").alias("holder"), yes.alias("known")).distinct()
+    both = asks.join(per, "ask", "left").join(known, "holder", "left")
+    none = F.array().cast("array<string>")
+    return both.withColumn("held", F.when(F.coalesce("_barred", no), none).otherwise(F.array_sort(F.coalesce("_caps", none)))).withColumn("known", F.coalesce("known", no)).drop("_barred", "_caps")
+
+
+def amplified(chain: DataFrame) -> DataFrame:
     """subject_id, seq, error and lacking of authority events that their issuer could not make.
 
     An issuer acts with what it held before the event: on its own chain what its earlier events
@@ -96,21 +147,15 @@ def amplified(chain: DataFrame, grants: DataFrame, windows: DataFrame) -> DataFr
     from .replay import payload
 
     events = chain.where(~((F.col("issuer_id") == F.col("subject_id")) & F.coalesce(payload("root") == "true", F.lit(False))))
-    events = events.select("subject_id", "seq", "issuer_id", "created_at", required_for_authority().alias("needed"), F.when(F.col("event_type") == "GRANTED", F.from_json(payload("capabilities"), "array<string>")).alias("conferred"))
-    g = grants.select(F.col("subject_id").alias("issuer_id"), "capabilities", "granted_at", "granted_seq", "revoked_at", "revoked_seq")
-    own = F.col("issuer_id") == F.col("subject_id")
-    by_seq = (F.col("granted_seq") < F.col("seq")) & (F.col("granted_at") <= F.col("created_at")) & (F.col("revoked_seq").isNull() | (F.col("revoked_seq") >= F.col("seq")))
-    usable = events.join(g, "issuer_id").where(F.when(own, by_seq).otherwise(live(F.col("created_at"))))
-    marks = chain.where(F.col("event_type").isin("ACTOR_QUARANTINED", "ACTOR_REINSTATED")).select(F.col("subject_id").alias("issuer_id"), F.col("seq").alias("mark"), F.col("event_type").alias("mark_type"))
-    shut_self = events.where(own).join(marks, "issuer_id").where("mark < seq").groupBy("subject_id", "seq").agg(F.max_by("mark_type", "mark").alias("m")).where("m = 'ACTOR_QUARANTINED'")
-    shut_other = events.where(~own).join(windows.withColumnRenamed("subject_id", "issuer_id"), "issuer_id").where("from_at <= created_at AND (to_at IS NULL OR to_at > created_at)")
-    shut = shut_self.select("subject_id", "seq").union(shut_other.select("subject_id", "seq")).distinct()
-    held = usable.join(shut, ["subject_id", "seq"], "left_anti").groupBy("subject_id", "seq").agg(F.array_distinct(F.flatten(F.collect_list("capabilities"))).alias("held"))
-    known = chain.select(F.col("subject_id").alias("issuer_id"), F.lit(True).alias("known")).distinct()
-    both = events.join(held, ["subject_id", "seq"], "left").join(known, "issuer_id", "left")
-    have = F.coalesce("held", F.array().cast("array<string>"))
-    lacking = F.array_sort(F.array_except(F.coalesce("conferred", F.array().cast("array<string>")), have))
-    error = F.when(F.col("known").isNull(), "issuer_unknown").when(~F.array_contains(have, F.col("needed")), "not_held").when(F.size(lacking) > 0, "amplified")
+    none = F.array().cast("array<string>")
+    conferred = F.when(F.col("event_type") == "GRANTED", F.from_json(payload("capabilities"), "array<string>"))
+    asks = events.select(
+        F.concat_ws(":", "subject_id", "seq").alias("ask"), F.col("issuer_id").alias("holder"), F.col("created_at").alias("at"), (F.col("issuer_id") == F.col("subject_id")).alias("own"), "seq",
+        "subject_id", required_for_authority().alias("needed"), F.coalesce(conferred, none).alias("conferred"),
+    )
+    both = held_before(asks, chain, F.array_compact(F.concat(F.array("needed"), "conferred")))
+    lacking = F.array_sort(F.array_except("conferred", "held"))
+    error = F.when(~F.col("known"), "issuer_unknown").when(~F.array_contains("held", F.col("needed")), "not_held").when(F.size(lacking) > 0, "amplified")
     return both.select("subject_id", "seq", error.alias("error"), lacking.alias("lacking")).where("error IS NOT NULL")
 
 

@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from hashlib import sha256
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import is_canonical, json_object, json_text
+from ..functions.canonical import is_canonical_text, json_object, json_text
 from ..schema import CUSTODY, HEX_PATTERN, TS_PATTERN, ChainKind
+from .graph import settled
 
 
 def genesis(kind: ChainKind, subject: str | Column) -> Column:
@@ -115,36 +118,89 @@ def births(chain: DataFrame, kind: ChainKind) -> DataFrame:
     return chain.where("seq = 0")
 
 
+#: What an event learns of the row before it in its chain, and whether its payload is canonical.
+BESIDE = (("_prev_seq", "int"), ("_prev", "string"), ("_prev_at", "string"), ("_canonical", "boolean"))
+
+
+def _last_rows(kind: ChainKind):
+    """The last row of a range, in few columns."""
+    names = ["_range", kind.subject, "seq", "entry_hash", "created_at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                last = batch.slice(batch.num_rows - 1)
+        if last is not None:
+            yield last.select(names)
+
+    return run
+
+
+def _beside(kind: ChainKind, carried: dict[int, tuple]):
+    """Streams a range in order; each row gets what it needs of the one before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if before is None:
+                before = carried.get(batch["_range"][0].as_py(), (None, None, None, None))
+            shifted = []
+            for value, name in zip(before, (kind.subject, "seq", "entry_hash", "created_at"), strict=True):
+                own = batch[name]
+                shifted.append(pa.concat_arrays([pa.array([value], own.type), own.slice(0, len(own) - 1)]))
+            same = pc.fill_null(pc.equal(shifted[0], batch[kind.subject]), False)
+            none = [pa.scalar(None, a.type) for a in shifted[1:]]
+            # most payloads of a chain are of a few forms, so each text is parsed once a batch
+            coded = batch["payload_json"].dictionary_encode()
+            fine = pa.array([is_canonical_text(t) for t in coded.dictionary.to_pylist()], pa.bool_()).take(coded.indices)
+            new = [*[pc.if_else(same, a, n) for a, n in zip(shifted[1:], none, strict=True)], pc.fill_null(fine, False)]
+            before = tuple(batch[name][-1].as_py() for name in (kind.subject, "seq", "entry_hash", "created_at"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *[n for n, _ in BESIDE]])
+
+    return run
+
+
 def checked_rows(chain: DataFrame, kind: ChainKind, events: tuple[str, ...] | None = None) -> DataFrame:
-    """The chain with ``error``, the first structural fault of each event, or null.
+    """The chain with ``error``, the first structural fault of each event (or null), and ``_fault``, its place among the faults.
 
-    An event's predecessor is found by an equality join on (subject, seq - 1), so even one
-    subject with most of all events is checked in parallel.
+    One shuffle: rows are dealt by ranges of (subject, seq), so that a subject with most of all
+    events is checked in parallel, and stream through once. A range is told the last row of the
+    one before it, which is one row a range. Of rows that share a subject and a seq, all but one have the fault ``seq``.
     """
     vocabulary = list(events or kind.events)
-    seen = chain.groupBy(kind.subject, "seq").agg(F.count("*").alias("_same"))
-    before = chain.groupBy(F.col(kind.subject).alias("_s"), (F.col("seq") + 1).alias("_seq")).agg(F.min("entry_hash").alias("_prev"), F.min("created_at").alias("_prev_at"))
-    rows = chain.join(seen, [kind.subject, "seq"]).join(before, (F.col(kind.subject) == F.col("_s")) & (F.col("seq") == F.col("_seq")), "left")
+    ordered = chain.repartitionByRange(kind.subject, "seq").sortWithinPartitions(kind.subject, "seq", "entry_hash")
+    laid = settled(ordered.withColumn("_range", F.spark_partition_id()))
+    rows = laid.mapInArrow(_last_rows(kind), f"_range int, {kind.subject} string, seq int, entry_hash string, created_at string").collect()  # one a range
+    ends = sorted(tuple(r) for r in rows)
+    carried = {after[0]: last[1:] for last, after in zip(ends, ends[1:], strict=False)}
+    beside = ", ".join(f"{n} {t}" for n, t in BESIDE)
+    rows = laid.mapInArrow(_beside(kind, carried), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in laid.schema.fields) + ", " + beside)
     first = F.col("seq") == 0
     expected = F.when(first, genesis(kind, kind.subject)).otherwise(F.col("_prev"))
     sealed = F.coalesce(F.get_json_object("payload_json", "$.content_sha256").rlike(HEX_PATTERN), F.lit(False)) if kind is CUSTODY else F.lit(True)
+    steps = F.when(first, F.col("_prev_seq").isNull()).otherwise(F.col("_prev_seq") == F.col("seq") - 1)
     faults = [
-        ("seq", (F.col("seq") < 0) | (F.col("_same") > 1) | (~first & F.col("_prev").isNull())),
+        ("seq", (F.col("seq") < 0) | ~F.coalesce(steps, F.lit(False))),
         ("vocabulary", ~F.col("event_type").isin(vocabulary)),
         ("birth", first & (F.col("event_type") != kind.birth)),
         ("rebirth", ~first & (F.col("event_type") == kind.birth)),
         ("link", F.col("prev_hash") != expected),
-        ("payload", ~is_canonical("payload_json")),
+        ("payload", ~F.col("_canonical")),
         ("hash", recomputed(kind) != F.col("entry_hash")),
         ("timestamp", ~F.col("created_at").rlike(TS_PATTERN)),
         ("backwards", ~first & (F.col("created_at") < F.col("_prev_at"))),
         ("seal", first & ~sealed),
     ]
-    error = F.coalesce(*[F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in faults])
-    return rows.withColumn("error", error).drop("_same", "_s", "_seq", "_prev", "_prev_at")
+    place = F.coalesce(*[F.when(F.coalesce(test, F.lit(True)), F.lit(i)) for i, (_, test) in enumerate(faults)])
+    names = F.array(*[F.lit(name) for name, _ in faults])
+    return rows.withColumn("_fault", place).withColumn("error", F.get(names, F.col("_fault"))).drop("_range", *[n for n, _ in BESIDE])
 
 
 def verify(chain: DataFrame, kind: ChainKind, events: tuple[str, ...] | None = None) -> DataFrame:
     """subject, seq and error of the first fault of each faulty chain."""
     bad = checked_rows(chain, kind, events).where("error IS NOT NULL")
-    return bad.groupBy(F.col(kind.subject).alias("subject")).agg(F.min("seq").alias("seq"), F.min_by("error", "seq").alias("error"))
+    first = bad.groupBy(F.col(kind.subject).alias("subject")).agg(F.min(F.struct("seq", "_fault", "error")).alias("f"))
+    return first.select("subject", "f.seq", "f.error")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AUTHORITY, CAPABILITIES, CLAIM, CUSTODY, FIELD_STATES, ID_PATTERN, INITIAL_CONFIDENCE, PROMOTION, STANCES
+from .sweeps import swept
 
 
 def payload(path: str) -> Column:
@@ -232,8 +233,27 @@ def claim_errors(chain: DataFrame) -> DataFrame:
     return rows.select("claim_id", "seq", F.explode(errors).alias("error"))
 
 
-def claim_states_before(chain: DataFrame, instant: str) -> DataFrame:
-    return claim_states(before(chain, instant))
+def claim_states_before(chain: DataFrame, asks: DataFrame) -> DataFrame:
+    """claim_id, at and state: each claim's state strictly before an instant, for all asks (claim_id, at) at once.
+
+    A claim without events before the instant, or whose events before it cannot have happened so, counts as ASSERTED.
+    Events and asks are swept together: what counts is the last move and whether there was an error.
+    """
+    wrong = claim_errors(chain).groupBy("claim_id", "seq").agg(F.count("*").cast("int").alias("wrong"))
+    moves = F.when(F.col("event_type").isin(*CLAIM_MOVES), F.struct(F.col("created_at").alias("at"), "seq", _moved().alias("value")))
+    facts = chain.join(wrong, ["claim_id", "seq"], "left").select("claim_id", F.col("created_at").alias("at"), F.lit(1).alias("order"), F.coalesce("wrong", F.lit(0)).alias("wrong"), moves.alias("move"))
+    asked = asks.select("claim_id", "at").distinct().select("claim_id", "at", F.lit(0).alias("order"), F.lit(0).alias("wrong"), F.lit(None).cast(facts.schema["move"].dataType).alias("move"))
+    found = swept(asked.unionByName(facts), F.col("order") == 0, ["claim_id"], ["at", "order"], errors=("sum", F.col("wrong")), last=("max", F.col("move")))
+    return found.select("claim_id", "at", F.when(F.col("errors") > 0, "ASSERTED").otherwise(F.coalesce("last.value", F.lit("ASSERTED"))).alias("state"))
+
+
+def set_capabilities(chain: DataFrame, members: DataFrame, asks: DataFrame) -> DataFrame:
+    """set_id, at and needed: what binding a set at an instant costs. Where a member was VALIDATED before, it is
+    ADJUDICATE, else ASSERT. members has set_id and claim_id, asks has set_id and at."""
+    each = asks.select("set_id", "at").distinct().join(members.select("set_id", "claim_id").distinct(), "set_id", "left")
+    states = claim_states_before(chain, each.where("claim_id IS NOT NULL").select("claim_id", "at"))
+    found = each.join(states, ["claim_id", "at"], "left")
+    return found.groupBy("set_id", "at").agg(F.when(F.coalesce(F.bool_or(F.col("state") == "VALIDATED"), F.lit(False)), "ADJUDICATE").otherwise("ASSERT").alias("needed"))
 
 
 KINDS = (CUSTODY, AUTHORITY, CLAIM)

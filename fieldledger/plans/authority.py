@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import authority, claims, graph
+from ..operators import authority, claims, graph, replay
 from . import views as v
 
 
@@ -63,6 +63,144 @@ FROM ev LEFT JOIN grants AS g ON g.subject_id = ev.subject_id AND g.grant_id = e
 WHERE error IS NOT NULL"""
 
 
+def delegation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authority chains whose issuers are the subject itself, the customer of half the number, or nobody known."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    chain = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    turn = F.floor(key / 8) % 4
+    rows = v.read(spark, sf_dir, "orders").withColumn("seq", (F.row_number().over(chain) - 1).cast("int"))
+    rows = rows.withColumn("event_type", F.when(F.col("seq") == 0, "ACTOR_REGISTERED").when(turn <= 1, "GRANTED").when(turn == 2, F.when(key % 2 == 0, "REVOKED").otherwise("ACTOR_QUARANTINED")).otherwise("ACTOR_REINSTATED"))
+    rows = rows.withColumn("last", F.last(F.when(F.col("event_type") == "GRANTED", key), ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1)))
+    caps = F.element_at(F.array(F.lit('["GRANT","STORE"]'), F.lit('["GRANT","QUARANTINE_ACTOR","REVOKE"]'), F.lit('["STORE"]'), F.lit('["DECIDE"]')), (F.floor(key / 32) % 4 + 1).cast("int"))
+    payload = (
+        F.when(F.col("event_type") == "GRANTED", F.concat(F.lit('{"capabilities":'), caps, F.lit(',"grant_id":"g-'), key.cast("string"), F.lit('","root":false}')))
+        .when(F.col("event_type") == "REVOKED", F.concat(F.lit('{"grant_id":"g-'), F.coalesce(F.col("last").cast("string"), F.lit("none")), F.lit('"}'))).otherwise("{}")
+    )
+    issuer = F.when(key % 3 == 0, v.ident("c-", cust)).when(key % 3 == 1, v.ident("c-", F.floor(cust / 2))).otherwise("nobody")
+    return rows.select(v.ident("c-", cust).alias("subject_id"), "seq", "event_type", issuer.alias("issuer_id"), v.instant(F.col("o_orderdate")).alias("created_at"), payload.alias("payload_json"))
+
+
+DELEGATION_SQL = """
+ordered AS (
+  SELECT o_orderkey AS k, 'c-' || lpad(o_custkey::VARCHAR, 6, '0') AS subject_id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at_,
+    CASE o_orderkey % 3 WHEN 0 THEN 'c-' || lpad(o_custkey::VARCHAR, 6, '0') WHEN 1 THEN 'c-' || lpad((o_custkey // 2)::VARCHAR, 6, '0') ELSE 'nobody' END AS issuer,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS seq FROM orders
+),
+led AS (
+  SELECT *, CASE WHEN seq = 0 THEN 'ACTOR_REGISTERED' WHEN (k // 8) % 4 <= 1 THEN 'GRANTED' WHEN (k // 8) % 4 = 3 THEN 'ACTOR_REINSTATED' WHEN k % 2 = 0 THEN 'REVOKED' ELSE 'ACTOR_QUARANTINED' END AS event_type,
+    [['GRANT', 'STORE'], ['GRANT', 'QUARANTINE_ACTOR', 'REVOKE'], ['STORE'], ['DECIDE']][(k // 32) % 4 + 1] AS caps FROM ordered
+),
+aimed AS (SELECT *, last_value(CASE WHEN event_type = 'GRANTED' THEN k END IGNORE NULLS) OVER (PARTITION BY subject_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target FROM led),
+ends AS (SELECT subject_id, target, at_, seq, row_number() OVER (PARTITION BY subject_id, target ORDER BY seq) AS nth FROM aimed WHERE event_type = 'REVOKED'),
+made AS (
+  SELECT g.subject_id, g.caps, g.at_ AS granted_at, g.seq AS granted_seq, e.at_ AS revoked_at, e.seq AS revoked_seq
+  FROM led AS g LEFT JOIN ends AS e ON e.subject_id = g.subject_id AND e.target = g.k AND e.nth = 1 WHERE g.event_type = 'GRANTED'
+),
+marks AS (
+  SELECT *, lag(event_type) OVER w AS last_type, lead(event_type) OVER w AS next_type, lead(at_) OVER w AS next_at
+  FROM led WHERE event_type IN ('ACTOR_QUARANTINED', 'ACTOR_REINSTATED') WINDOW w AS (PARTITION BY subject_id ORDER BY seq)
+),
+wrong AS (
+  SELECT subject_id, seq FROM ends WHERE target IS NULL OR nth > 1
+  UNION SELECT subject_id, seq FROM marks WHERE event_type = coalesce(last_type, 'ACTOR_REINSTATED')
+),
+asks AS (SELECT subject_id, seq, issuer AS holder, at_, issuer = subject_id AS own, event_type, caps FROM led),
+by_seq AS (
+  SELECT a.subject_id, a.seq, CASE WHEN EXISTS (SELECT 1 FROM wrong AS x WHERE x.subject_id = a.holder AND x.seq < a.seq) THEN []
+      WHEN (SELECT arg_max(event_type, m.seq) FROM marks AS m WHERE m.subject_id = a.holder AND m.seq < a.seq) = 'ACTOR_QUARANTINED' THEN []
+      ELSE (SELECT list_sort(list_distinct(flatten(list(g.caps)))) FROM made AS g WHERE g.subject_id = a.holder AND g.granted_seq < a.seq AND (g.revoked_seq IS NULL OR g.revoked_seq >= a.seq)) END AS held
+  FROM {asks_by_seq} AS a
+),
+by_time AS (
+  SELECT a.subject_id, a.seq, CASE WHEN EXISTS (SELECT 1 FROM marks AS m WHERE m.subject_id = a.holder AND m.event_type = 'ACTOR_QUARANTINED' AND m.at_ <= a.at_ AND (m.next_type IS DISTINCT FROM 'ACTOR_REINSTATED' OR m.next_at > a.at_)) THEN []
+      ELSE (SELECT list_sort(list_distinct(flatten(list(g.caps)))) FROM made AS g WHERE g.subject_id = a.holder AND g.granted_at <= a.at_ AND (g.revoked_at IS NULL OR g.revoked_at > a.at_)) END AS held
+  FROM {asks_by_time} AS a
+)"""
+
+
+def capabilities_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-capsbefore, JN-issuer-before: what each subject held before each event of its own chain, by number and by instant."""
+    chain = delegation(spark, sf_dir)
+    asks = chain.select("subject_id", "seq", F.col("subject_id").alias("holder"), F.col("created_at").alias("at"), F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
+    found = authority.held_before(asks.withColumn("ask", F.concat_ws(":", "subject_id", "seq", "own")), chain)
+    return found.select("subject_id", "seq", "own", F.array_join("held", ",").alias("held"))
+
+
+_SELF = "(SELECT subject_id, seq, subject_id AS holder, at_ FROM led)"
+BEFORE_SQL = f"""WITH {DELEGATION_SQL.format(asks_by_seq=_SELF, asks_by_time=_SELF)}
+SELECT subject_id, seq::INTEGER AS seq, true AS own, coalesce(array_to_string(held, ','), '') AS held FROM by_seq
+UNION ALL SELECT subject_id, seq::INTEGER, false, coalesce(array_to_string(held, ','), '') FROM by_time"""
+
+
+def amplified_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-issuer-before, Q-capsbefore: authority events that their issuer could not make, or by which it gave what it lacked."""
+    return authority.amplified(delegation(spark, sf_dir)).withColumn("lacking", F.array_join("lacking", ","))
+
+
+AMPLIFIED_SQL = f"""WITH {DELEGATION_SQL.format(asks_by_seq="(SELECT * FROM asks WHERE own)", asks_by_time="(SELECT * FROM asks WHERE NOT own)")},
+joint AS (SELECT * FROM by_seq UNION ALL SELECT * FROM by_time),
+judged AS (
+  SELECT a.subject_id, a.seq, coalesce(b.held, []) AS held, a.holder IN (SELECT subject_id FROM led) AS known,
+    CASE a.event_type WHEN 'REVOKED' THEN 'REVOKE' WHEN 'ACTOR_REGISTERED' THEN 'GRANT' WHEN 'GRANTED' THEN 'GRANT' ELSE 'QUARANTINE_ACTOR' END AS needed,
+    CASE a.event_type WHEN 'GRANTED' THEN a.caps ELSE [] END AS conferred
+  FROM asks AS a JOIN joint AS b ON b.subject_id = a.subject_id AND b.seq = a.seq
+)
+SELECT subject_id, seq::INTEGER AS seq, array_to_string(list_sort(list_filter(conferred, lambda c: NOT list_contains(held, c))), ',') AS lacking,
+  CASE WHEN NOT known THEN 'issuer_unknown' WHEN NOT list_contains(held, needed) THEN 'not_held' WHEN len(list_filter(conferred, lambda c: NOT list_contains(held, c))) > 0 THEN 'amplified' END AS error
+FROM judged WHERE error IS NOT NULL"""
+
+
+def claim_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, by the day they were shipped, as the events of claims, which are orders."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    kinds = ["CLAIM_VALIDATED", "CLAIM_REFUTED", "CLAIM_WITHDRAWN", "EVIDENCE_LINKED", "EVIDENCE_LINKED", "CLAIM_VALIDATED"]
+    part = F.col("l_partkey")
+    rows = v.read(spark, sf_dir, "lineitem").withColumn("seq", (F.row_number().over(order) - 1).cast("int"))
+    kind = F.when(F.col("seq") == 0, "CLAIM_ASSERTED").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (part % 6 + 1).cast("int")))
+    stance = F.when(part % 5 == 0, "DOUBTS").otherwise("SUPPORTS")
+    payload = F.when(kind == "CLAIM_ASSERTED", F.concat(F.lit('{"statement_sha256":"'), F.sha2(F.col("l_orderkey").cast("string"), 256), F.lit('"}'))).when(kind == "EVIDENCE_LINKED", F.concat(F.lit('{"memory_id":"m","stance":"'), stance, F.lit('"}'))).otherwise("{}")
+    return rows.select(F.concat(F.lit("k-"), F.col("l_orderkey").cast("string")).alias("claim_id"), "seq", kind.alias("event_type"), F.lit("a").alias("actor_id"), v.instant(F.col("l_shipdate")).alias("created_at"), payload.alias("payload_json"))
+
+
+CLAIM_CHAIN_SQL = """
+events_ AS (
+  SELECT 'k-' || l_orderkey::VARCHAR AS claim_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) - 1 AS seq, l_partkey AS p, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at_ FROM lineitem
+),
+moved AS (SELECT *, CASE WHEN seq > 0 THEN ['VALIDATED', 'REFUTED', 'WITHDRAWN', NULL, NULL, 'VALIDATED'][p % 6 + 1] END AS state FROM events_),
+told AS (
+  SELECT *, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY claim_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'ASSERTED') AS before FROM moved
+),
+judged AS (
+  SELECT *, CASE WHEN state IN ('VALIDATED', 'WITHDRAWN') THEN before <> 'ASSERTED' WHEN state = 'REFUTED' THEN before NOT IN ('ASSERTED', 'VALIDATED') ELSE seq > 0 AND p % 6 IN (3, 4) AND p % 5 = 0 END AS wrong FROM told
+)"""
+_STATE = "CASE WHEN coalesce(bool_or(j.wrong), false) THEN 'ASSERTED' ELSE coalesce(arg_max(j.state, j.seq) FILTER (WHERE j.state IS NOT NULL), 'ASSERTED') END"
+
+
+def claim_states_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RP-before: every claim's state strictly before the instant of each of its events."""
+    chain = claim_chain(spark, sf_dir)
+    return replay.claim_states_before(chain, chain.select("claim_id", F.col("created_at").alias("at")))
+
+
+STATES_BEFORE_SQL = f"""WITH {CLAIM_CHAIN_SQL}, asked AS (SELECT DISTINCT claim_id, at_ FROM events_)
+SELECT a.claim_id, a.at_ AS "at", {_STATE} AS state FROM asked AS a LEFT JOIN judged AS j ON j.claim_id = a.claim_id AND j.at_ < a.at_ GROUP BY a.claim_id, a.at_"""
+
+
+def set_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-reqcap-set: what binding the claims of eight orders into a set costs, eighty days after the first of them."""
+    orders = v.acts(spark, sf_dir)
+    members = orders.select(F.concat(F.lit("s-"), F.floor(F.col("o_orderkey") / 32).cast("string")).alias("set_id"), F.concat(F.lit("k-"), F.col("o_orderkey").cast("string")).alias("claim_id"), "o_orderdate")
+    asks = members.groupBy("set_id").agg(F.min("o_orderdate").alias("o_orderdate")).select("set_id", v.later(80).alias("at"))
+    return replay.set_capabilities(claim_chain(spark, sf_dir), members, asks)
+
+
+SET_CAPS_SQL = f"""WITH {CLAIM_CHAIN_SQL},
+members AS (SELECT 's-' || (o_orderkey // 32)::VARCHAR AS set_id, 'k-' || o_orderkey::VARCHAR AS claim_id, o_orderdate FROM orders),
+asks AS (SELECT set_id, strftime(min(o_orderdate) + INTERVAL 80 DAY, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS at_ FROM members GROUP BY set_id),
+each AS (SELECT a.set_id, a.at_, m.claim_id, {_STATE} AS state FROM asks AS a JOIN members AS m USING (set_id) LEFT JOIN judged AS j ON j.claim_id = m.claim_id AND j.at_ < a.at_ GROUP BY a.set_id, a.at_, m.claim_id)
+SELECT set_id, at_ AS "at", CASE WHEN bool_or(state = 'VALIDATED') THEN 'ADJUDICATE' ELSE 'ASSERT' END AS needed FROM each GROUP BY set_id, at_"""
+
+
 def issuer_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-closure: the chain of issuers above every customer in debt; an issuer has half the number."""
     c = v.read(spark, sf_dir, "customer")
@@ -168,7 +306,8 @@ LINEAGE_SQL = """SELECT 'k-' || lpad((doc_id - 1)::VARCHAR, 6, '0') AS memory_id
 FROM documents WHERE doc_id > 0 AND doc_id % 5 = 0 AND (doc_id % 15 = 0) <> (doc_id % 20 = 0)"""
 
 QUERIES = {
-    "grants_live_at": (grants_live_at, LIVE_SQL), "capabilities_at": (capabilities_at, CAPS_SQL), "conferring_grant": (conferring_grant, CONFER_SQL), "unauthorized_events": (unauthorized_events, UNAUTHORIZED_SQL),
+    "grants_live_at": (grants_live_at, LIVE_SQL), "capabilities_at": (capabilities_at, CAPS_SQL), "conferring_grant": (conferring_grant, CONFER_SQL), "capabilities_before": (capabilities_before, BEFORE_SQL), "amplified_events": (amplified_events, AMPLIFIED_SQL), "claim_states_before": (claim_states_before, STATES_BEFORE_SQL),
+    "set_capabilities": (set_capabilities, SET_CAPS_SQL), "unauthorized_events": (unauthorized_events, UNAUTHORIZED_SQL),
     "issuer_closure": (issuer_closure, CLOSURE_SQL), "set_status": (set_status, SET_SQL), "claim_states": (claim_states, STATES_SQL), "standing_partition": (standing_partition, STANDING_SQL),
     "contradictions": (contradictions, CONTRADICT_SQL), "relation_mirror_violations": (relation_mirror_violations, MIRROR_SQL), "membership_violations": (membership_violations, MEMBER_SQL), "lineage_violations": (lineage_violations, LINEAGE_SQL),
 }

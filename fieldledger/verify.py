@@ -179,7 +179,7 @@ def _b7(b: _Body, sound: DataFrame, verdict: Verdict) -> list[DataFrame]:
     grants, windows = replay.grants(b.authority).persist(), replay.quarantine_windows(b.authority).persist()
     if authority.roots(grants).count() != 1:
         verdict.errors.append(("B7", None, None, "roots"))
-    out = [_faults("B7", authority.amplified(b.authority, grants, windows), "subject_id", F.col("error"), "seq")]
+    out = [_faults("B7", authority.amplified(b.authority), "subject_id", F.col("error"), "seq")]
     before = F.col("created_at") < b.genesis
     out.append(_faults("B7", granted.where(before & F.col("grant_id").isNotNull()), "memory_id", "grant_before_ledger", "seq"))
     events = granted.where(~before).withColumn("needed", authority.required_for_custody()).drop("payload_json", "event_type")
@@ -266,10 +266,9 @@ def _b9(b: _Body, sound: DataFrame, verdict: Verdict) -> list[DataFrame]:
         ledger = b.authority.join(faulty, "subject_id", "left_anti")
         acts = chain.where(F.col("created_at") >= b.genesis).select("claim_id", "seq", "event_type", "actor_id", "created_at", _payload("grant_id").alias("grant_id"), _payload("set_id").alias("set_id"))
         # joining a set that binds a settled claim costs more than joining one that does not
-        member_events = members.join(chain.select("claim_id", F.col("seq").alias("s"), F.col("created_at").alias("at"), F.col("event_type").alias("what")), "claim_id")
-        joined = acts.where("event_type = 'SET_MEMBERSHIP'").select("set_id", F.col("created_at").alias("joined_at")).distinct()
-        last = member_events.join(joined, "set_id").where("at < joined_at").where(F.col("what").isin(*replay.CLAIM_MOVES)).groupBy("set_id", "joined_at", "claim_id").agg(F.max_by("what", "s").alias("what"))
-        settled = last.where("what = 'CLAIM_VALIDATED'").select("set_id", F.col("joined_at").alias("created_at"), F.lit(True).alias("settled")).distinct()
+        joined = acts.where("event_type = 'SET_MEMBERSHIP'").select("set_id", F.col("created_at").alias("at")).distinct()
+        dearer = replay.set_capabilities(chain, members, joined).where("needed = 'ADJUDICATE'")
+        settled = dearer.select("set_id", F.col("at").alias("created_at"), F.lit(True).alias("settled"))
         acts = acts.join(settled, ["set_id", "created_at"], "left")
         dear = (F.col("event_type") == "SET_MEMBERSHIP") & F.col("settled")
         acts = acts.withColumn("needed", F.when(dear, "ADJUDICATE").otherwise(authority.required_for_claim())).drop("event_type", "set_id", "settled")
