@@ -1,19 +1,24 @@
 """Personal data: base patterns, and information-theoretic sanitisation; DataFrame functions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers: the protected
-entities. Words that share documents with an entity may reveal it just as well. How well is read off
-the corpus: with n(c) documents that hold entity c, n(t) that hold term t, n(c, t) that hold both, at
-any distance and be it one document only, and N documents, the term discloses log(N n(c, t) / (n(c) n(t))) of the entity's
-information log(N / n(c)). Terms at or above ``GENERALISE`` of it are to be generalised and
-those at or above ``REMOVE`` removed, wherever they stand in a document that holds the entity.
-All counts are over all documents.
+entities. Terms that share documents with an entity may reveal it just as well: words, and numbers
+with what joins their digits, such as dates. How well is read off the corpus: with n(c) documents
+that hold entity c, n(t) that hold term t, n(c, t) that hold both, at any distance, and N
+documents, the term discloses log(N n(c, t) / (n(c) n(t))) of the entity's information log(N / n(c)).
+That a term stands beside an entity once says nothing about either, and copies say it no better: a
+pair counts from ``SUPPORT`` different texts on. Terms at or above ``GENERALISE`` of the
+information are to be generalised and those at or above ``REMOVE`` removed, wherever they stand in
+a document that holds the entity. All counts are over all documents.
+
+Entities that stand in the same documents are equal in all of this, and so are terms; only their
+classes are paired. A document with many entities and many words of its own has one class of
+each, so its pairs do not grow with the square of its length.
 
 Defined results: a null text is the empty text and has no spans; rows that repeat doc_id and text
 are documents of their own with the same spans; an entity in every document carries no
 information, so nothing discloses it; a term that two entities judge differently is removed; a
-text of any length is read whole, its spans placed in runs of ``RUN`` so that the work stays in
-proportion; an empty table gives no rows; other columns, whatever their names, are ignored by
-``find`` and kept by ``sanitise``.
+text of any length is read whole, its spans placed in runs of ``RUN``; an empty table gives no
+rows; other columns, whatever their names, are ignored by ``find`` and kept by ``sanitise``.
 """
 
 from __future__ import annotations
@@ -23,10 +28,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, shared_table, text_of, uncarried
+from .common import HOT_SHARE, carried, join_hot, shared_table, text_of, uncarried
 
 #: The shares of an entity's information from which a term is generalised and removed.
 GENERALISE, REMOVE = 0.6, 0.9
+#: Different texts that must hold both an entity and a term before the term can disclose it.
+SUPPORT = 2
 
 #: The base kinds in order. The guards before a first repetition let a search begin
 #: only where a run begins or the last match ended: any later start meets the same failure, and
@@ -38,7 +45,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("generalise", "remove")
 IP_PARTS = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
-WORD = r"\p{L}++"
+WORD = r"\p{L}++|\p{N}++(?:[./:-]\p{N}++)*+"
 
 SPAN = "struct<start:int,end:int,hit:string>"
 #: Matches that are placed one after the other; runs of them are then placed as wholes.
@@ -160,40 +167,70 @@ def entities() -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The distinct words of three letters or more, in lower case; the same words that WORD finds."""
-    words = F.transform(F.array_distinct(F.split(text, r"[^\p{L}]+")), lambda w: F.lower(w))
-    return F.filter(F.array_distinct(words), lambda w: F.length(w) >= 3)
+    """The distinct terms in lower case; the same that WORD finds."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.transform(F.array_distinct(words), lambda w: F.lower(w)))
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """term and n_term, the number of documents that hold it, over all words of all documents."""
+    """term and n_term, the number of documents that hold it, over all terms of all documents."""
     return docs.select(F.explode(words_of(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
+def class_key(*more: Column) -> Column:
+    """One value for all that stand in the same rows: two 64-bit sums without carry of the rows, their number, and more."""
+    rows = [F.bit_xor(F.xxhash64(F.lit(seed), "row_key", "copy")) for seed in ("a", "b")]
+    return F.struct(F.count("*").alias("n"), *[r.alias(f"s{i}") for i, r in enumerate(rows)], *more)
+
+
 def disclosing(held: DataFrame, texts: DataFrame, docs: DataFrame, total: int) -> DataFrame:
     """row_key, copy, term and action of the terms at or above the thresholds in the rows that hold an entity.
 
     held has one row per document and entity in it, texts the text of each such document.
     """
-    per_entity = shared_table(held.groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-entities")
+    per_entity = shared_table(held.groupBy("entity").agg(class_key().alias("e")).withColumn("n", F.col("e.n")), "pii-entities")
     n = F.lit(float(total))
 
     def most(n_entity: Column) -> Column:
         """No term in more documents reaches GENERALISE, as n_pair is n_entity at most; a little is added for rounding."""
         return F.pow(n, F.lit(1 - GENERALISE)) * F.pow(n_entity.cast("double"), F.lit(GENERALISE)) * 1.001
 
-    largest = per_entity.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("n")).first()["n"]
-    counts = shared_table(document_counts(docs).where(F.col("n_term") <= most(F.lit(largest))), "pii-counts")
-    words = texts.select("row_key", "copy", F.explode(words_of(F.col("text"))).alias("term")).join(counts, "term")
-    pairs = held.join(per_entity, "entity").join(words, ["row_key", "copy"]).where(F.col("n_term") <= most(F.col("n_entity")))
-    pairs = shared_table(pairs, "pii-pairs")
-    scored = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_pair"))
-    shown = F.log2(F.col("n_pair") * n / (F.col("n_entity") * F.col("n_term")))
-    full = F.log2(n / F.col("n_entity"))
+    facts = per_entity.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    counts = shared_table(document_counts(docs).where(F.col("n_term") >= SUPPORT), "pii-counts")
+    spent = counts.agg(F.coalesce(F.sum("n_term"), F.lit(0)).alias("s")).first()["s"]
+    rare = F.col("n_term") <= most(F.lit(facts["most"]))
+    # the terms that make up most of all texts go before anything is shuffled: fewer than HOT_SHARE have so large a part
+    common = counts.where(~rare & (F.col("n_term") > spent // HOT_SHARE)).select("term")
+    words = texts.select("row_key", "copy", F.explode(words_of(F.col("text"))).alias("term")).join(F.broadcast(common), "term", "left_anti")
+    words = shared_table(words.join(counts.where(rare), "term"), "pii-words")
+    per_term = words.groupBy("term").agg(class_key(F.first("n_term").alias("n_term")).alias("t"))
+    in_row = words.select("row_key", "copy", "term").join(per_term.where(F.col("t.n") >= SUPPORT), "term")
+    in_row = shared_table(in_row, "pii-terms-of-rows")
+    some = per_entity.where(F.col("n") >= SUPPORT)
+    classes = join_hot(held, some, "entity", "n", facts["rows"]).select("row_key", "copy", "e").distinct()
+    both = classes.join(in_row.select("row_key", "copy", "t").distinct(), ["row_key", "copy"]).where(F.col("t.n_term") <= most(F.col("e.n")))
+    pairs = shared_table(both.join(texts.select("row_key", "copy", F.md5("text").alias("text_key")), ["row_key", "copy"]), "pii-pairs")
+    scored = pairs.groupBy("e", "t").agg(F.count("*").alias("n_pair"), F.countDistinct("text_key").alias("n_texts")).where(F.col("n_texts") >= SUPPORT)
+    shown = F.log2(F.col("n_pair") * n / (F.col("e.n") * F.col("t.n_term")))
+    full = F.log2(n / F.col("e.n"))
     scored = scored.withColumn("disclosure", F.when(full > 0, shown / full))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    found = shared_table(scored.where(F.col("disclosure") >= GENERALISE).select("entity", "term", action.alias("action")), "pii-disclosing")
-    return pairs.join(found, ["entity", "term"]).select("row_key", "copy", "term", "action")
+    found = shared_table(scored.where(F.col("disclosure") >= GENERALISE).select("e", "t", action.alias("action")), "pii-disclosing")
+    # back from classes to terms; one that some entity wants removed is removed
+    per_row = pairs.join(found, ["e", "t"]).groupBy("row_key", "copy", "t").agg(F.max("action").alias("action"))
+    return per_row.join(in_row, ["row_key", "copy", "t"]).select("row_key", "copy", "term", "action")
+
+
+def added_spans(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """row_key, copy and, for each action, the spans of the disclosing terms, in order.
+
+    texts has the base spans as well: terms are looked for outside of them, and one that reaches into one ends there.
+    """
+    blanks = F.transform(F.concat(*BASE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("by")))
+    some = texts.join(found.select("row_key", "copy").distinct(), ["row_key", "copy"], "left_semi")
+    places = some.select("row_key", "copy", F.explode(spans(rewritten(F.col("text"), blanks, " "), WORD, lambda _: F.lit(True))).alias("span"))
+    marked = places.withColumn("term", F.lower("span.hit")).join(found, ["row_key", "copy", "term"])
+    return marked.groupBy("row_key", "copy").agg(*[F.array_sort(F.collect_list(F.when(F.col("action") == a, F.col("span")))).alias(a) for a in ADDED])
 
 
 def analysed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -206,21 +243,10 @@ def analysed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     rows = shared_table(rows.withColumn("text", F.when(some, F.col("text"))), "pii-rows")
     texts = rows.where("text IS NOT NULL")
     held = texts.select("row_key", "copy", F.explode(F.transform(entities(), lambda e: e["entity"])).alias("entity"))
-    found = disclosing(shared_table(held.distinct(), "pii-held"), texts, docs, rows.count())
-    of_action = {a: F.collect_set(F.when(F.col("action") == a, F.col("term"))) for a in ADDED}
-    of_action["generalise"] = F.array_except(of_action["generalise"], of_action["remove"])  # a term that some entity wants removed is removed
-    per_row = found.groupBy("row_key", "copy").agg(*[c.alias(f"{a}_terms") for a, c in of_action.items()])
-    rows = rows.join(shared_table(per_row, "pii-terms"), ["row_key", "copy"], "left")
-    # words are looked for outside the base spans: a word that reaches into one ends there
-    blanks = F.transform(F.concat(*BASE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("by")))
-    any_wanted = (F.size("generalise_terms") > 0) | (F.size("remove_terms") > 0)
-    rows = rows.withColumn("words", F.when(any_wanted, spans(rewritten(F.col("text"), blanks, " "), WORD, lambda h: F.array_contains("generalise_terms", F.lower(h)) | F.array_contains("remove_terms", F.lower(h)))))
-
-    def of(action: str) -> Column:
-        found = F.filter("words", lambda s: F.array_contains(f"{action}_terms", F.lower(s["hit"])))
-        return F.when(F.size(f"{action}_terms") > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-    return rows.select("doc_id", *extra, *BASE, *[of(a).alias(a) for a in ADDED])
+    found = shared_table(disclosing(shared_table(held.distinct(), "pii-held"), texts, docs, rows.count()), "pii-terms")
+    rows = rows.join(shared_table(added_spans(texts, found), "pii-added"), ["row_key", "copy"], "left")
+    none = F.array().cast(f"array<{SPAN}>")
+    return rows.select("doc_id", *extra, *BASE, *[F.coalesce(a, none).alias(a) for a in ADDED])
 
 
 def joined(kinds: tuple[str, ...]) -> Column:
