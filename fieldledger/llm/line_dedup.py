@@ -6,8 +6,8 @@ together and the first document that holds a key comes first. A partition stream
 notes the positions that some other, smaller document already holds. The range boundaries run
 over (hash, document, position), so one very common line spreads over many partitions; what a
 partition must know of the one before it, the first document of its first hash, is one row a
-partition. Only bitmaps travel on: one zlib-compressed bit a line, and only for documents that
-lose a line. The text stays where it is until ``apply_bitmaps``.
+partition. What is decided travels as bitmaps: one zlib-compressed bit a line, and only for
+documents that lose a line. They meet their texts in one join (``with_bitmaps``), which is where a text travels, once.
 
 Defined results: a null or empty text is one empty line and keeps it; a row with a null doc_id
 keeps all its lines and holds no key; rows that repeat a doc_id hold their keys together and

@@ -8,8 +8,10 @@ combination with the longest length left, which is then removed; while the stock
 same combination again, the plan repeats it. Pieces of a length are then numbered without
 gaps, over all machines, and each number names its place in the plan.
 
-Defined results: a null text is the empty text and is packed as its end token; repeated rows
-are packed each; an empty table gives no rows; other columns are ignored.
+Defined results: a null text is the empty text and is packed as its end token; a null id is packed
+like any other; repeated rows are packed each; pieces of equal length, whatever their ids, are
+interchangeable to the plan and are numbered by a hash, ties by document and piece; a very long text is coded and cut by one
+task, in the memory of its ids; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -50,26 +50,32 @@ CACHE = 300_000
 WORD = re.compile(r"\w+")
 #: Quotation marks that open, with those that close them, and lines that quote.
 CLOSING = {'"': '"', "“": "”", "«": "»", "„": "“”", "‚": "‘’", "‹": "›"}
-MARKS = re.compile('["“”«»„‚‘’‹›]|^>.*$', re.MULTILINE)
+MARKS = re.compile('["“”«»„‚‘’‹›]|^>.*$|\\n[ \\t\\r]*\\n', re.MULTILINE)
 FEATURES = 11
 
 
 def quotations(text: str) -> list[tuple[int, int]]:
     """Where the text quotes, whatever the length: between a mark and the next one that closes it, and lines after >.
 
-    A mark that is opened again before it is closed begins anew, and one that is never closed quotes nothing.
+    A straight mark opens only after a blank, a bracket or the start, and closes only after something else, so one
+    that stands for inches or was left over quotes nothing. A mark that is opened again before it
+    is closed begins anew; one that is not closed within its paragraph quotes nothing.
     """
     spans, mark, begin = [], "", 0
     for m in MARKS.finditer(text):
         c = m[0]
-        if c[0] == ">":
+        if c[0] == "\n":
+            mark = ""
+        elif c[0] == ">":
             if not mark:
                 spans.append(m.span())
-        elif mark and c in CLOSING[mark]:
-            spans.append((begin, m.end()))
-            mark = ""
-        elif c in CLOSING and (not mark or c == mark):
-            mark, begin = c, m.start()
+        else:
+            free = m.start() == 0 or text[m.start() - 1].isspace() or text[m.start() - 1] in "([{<"
+            if mark and c in CLOSING[mark] and not (c == '"' and free):
+                spans.append((begin, m.end()))
+                mark = ""
+            elif c in CLOSING and (not mark or c == mark) and (c != '"' or free):
+                mark, begin = c, m.start()
     return spans
 
 

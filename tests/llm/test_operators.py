@@ -484,6 +484,10 @@ def test_quotations_of_any_length():
     assert toxicity.quotations('never "closed') == [] and toxicity.quotations("> a line\nb") == [(0, 8)]
     assert toxicity.quotations("“a “b” c") == [(3, 6)]
     assert toxicity.quotations("“" * 200_000) == []
+    said = 'a 5" screen you fool and more text "he said" end'
+    assert [said[a:b] for a, b in toxicity.quotations(said)] == ['"he said"']
+    assert toxicity.quotations('"left open\n\nyou fool" and so on') == [] and toxicity.quotations('12" by 14"') == []
+    assert toxicity.quotations('("so") and "two\nlines"') == [(1, 5), (11, 22)]
 
 
 def test_contexts_tell_quotation_from_abuse():
@@ -593,3 +597,21 @@ def test_many_entities_beside_many_words(spark):
     found = {r["doc_id"]: r for r in pii.find(docs).collect()}
     assert found[0]["n_email"] == found[1]["n_email"] == found[2]["n_email"] == n
     assert [found[i]["spans"].count("remove:") for i in (0, 1, 2, 3)] == [n, n, 0, 0] and found[0]["spans"].count("generalise:") == 0
+
+
+def test_recall_without_a_sample(spark, monkeypatch):
+    """Rare near copies, none of which the sample meets: the prefixes are as short as the threshold asks for."""
+    assert near_dup.measured_recall({}, 8, 8, 20) == pytest.approx(1 - (1 - 0.8**8) ** 20)
+    monkeypatch.setattr(near_dup, "SAMPLE", 0)
+    rng = random.Random(12)
+    texts = [" ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randrange(300)}" for _ in range(100)) for _ in range(60)]
+    for i in range(0, 40, 2):  # eight words apart, one by one: a similarity of about 0.8 and more
+        words = texts[i].split()
+        for at in rng.sample(range(0, 100, 10), 2):
+            words[at] = f"x{i}{at}"
+        texts[i + 1] = " ".join(words)
+    sets = [set(near_dup.shingles(t).tolist()) for t in texts]
+    wanted = [min(j for j in range(len(sets)) if len(s & sets[j]) * 10 >= 8 * len(s | sets[j])) for s in sets]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert [r["class_id"] for r in near_dup.near_duplicates(docs).orderBy("doc_id").collect()] == wanted
+    assert len(set(wanted)) < len(sets)
