@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 last return the columns of documents. ``run`` applies them to the documents table, writing each
 result to the shared folder and reading it back.
 
-Nulls, repeated rows and empty tables have the results that the operators define; columns beyond
-those of documents pass through all stages but the last.
+Nulls, repeated rows, equal texts and empty tables have the results that the operators define;
+very long texts are read whole by every stage; columns beyond those of documents pass through all
+stages but the last. A stage's table is deleted when its successor has been written.
 """
 
 from __future__ import annotations
@@ -55,6 +56,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = common.shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
