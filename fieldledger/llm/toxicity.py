@@ -50,7 +50,7 @@ CACHE = 300_000
 WORD = re.compile(r"\w+")
 #: Quotation marks that open, with those that close them, and lines that quote.
 CLOSING = {'"': '"', "“": "”", "«": "»", "„": "“”", "‚": "‘’", "‹": "›"}
-MARKS = re.compile('["“”«»„‚‘’‹›]|^>.*$|\\n[ \\t\\r]*\\n', re.MULTILINE)
+MARKS = re.compile('["“”«»„‚‘’‹›]|^>.*$', re.MULTILINE)
 FEATURES = 11
 
 
@@ -59,14 +59,12 @@ def quotations(text: str) -> list[tuple[int, int]]:
 
     A straight mark opens only after a blank, a bracket or the start, and closes only after something else, so one
     that stands for inches or was left over quotes nothing. A mark that is opened again before it
-    is closed begins anew; one that is not closed within its paragraph quotes nothing.
+    is closed begins anew; one that is never closed quotes nothing. A quotation may run over paragraphs.
     """
     spans, mark, begin = [], "", 0
     for m in MARKS.finditer(text):
         c = m[0]
-        if c[0] == "\n":
-            mark = ""
-        elif c[0] == ">":
+        if c[0] == ">":
             if not mark:
                 spans.append(m.span())
         else:
