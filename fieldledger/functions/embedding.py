@@ -26,3 +26,30 @@ def embed_heads(text: str | Column, width: int = WIDTH) -> Column:
     start = F.unhex(F.sha2(c, 256))
     index = F.sequence(F.lit(0), F.lit(width - 1))
     return F.transform(index, lambda i: F.conv(F.substring(F.sha2(F.concat(start, F.unhex(F.lpad(F.hex(i), 4, "0"))), 256), 1, 8), 16, 10).cast("bigint"))
+
+
+#: A double between -1 and 1 that is the difference of a double and 1 is a whole multiple of 2**-53.
+FINE = 2**53
+#: 10**10 / 2**53 as a fraction without common factor: FIVES / 2**43.
+FIVES, SHIFT, LOW = 5**10, 43, 27
+
+
+def units(component: Column) -> Column:
+    """A whole multiple of 2**-53 between -1 and 1 in units of 10**-10, halves to even; exact, in 64-bit integers.
+
+    With k = component * 2**53 it is k * FIVES / 2**43. The product has up to 77 bits, so k is split
+    at LOW bits; the two products are put together again as a quotient and a rest of 43 bits.
+    """
+    k = (component * F.lit(float(FINE))).cast("bigint")
+    low = k.bitwiseAND(F.lit((1 << LOW) - 1)) * FIVES
+    high = F.shiftright(k, LOW) * FIVES + F.shiftright(low, LOW)
+    kept = SHIFT - LOW
+    whole = F.shiftright(high, kept)
+    rest = F.shiftleft(high.bitwiseAND(F.lit((1 << kept) - 1)), LOW) + low.bitwiseAND(F.lit((1 << LOW) - 1))
+    half = 1 << (SHIFT - 1)
+    return whole + F.when((rest > half) | ((rest == half) & (whole.bitwiseAND(F.lit(1)) == 1)), 1).otherwise(0)
+
+
+def embedded(text: str | Column, width: int = WIDTH) -> Column:
+    """The vector of ``embed`` in units of 10**-10, an array of whole numbers, without leaving the JVM."""
+    return F.transform(embed_heads(text, width), lambda h: units(h.cast("double") / F.lit(2147483647.5) - F.lit(1.0)))

@@ -513,7 +513,9 @@ class Ledger:
         sets = self.field.subject("claim_sets", set_id=set_id)
         if sets.isEmpty():
             raise ValueError(f"unknown set {set_id!r}")
-        return claims.evaluated(claims.members_of(sets), replay.claim_states(self.field.table("claim_chain"))).head().asDict(recursive=True)
+        members, states = claims.members_of(sets), replay.claim_states(self.field.table("claim_chain"))
+        found = claims.evaluated(members, states).head().asDict()
+        return found | {"member_states": [{"claim_id": r["claim_id"], "state": r["state"]} for r in claims.member_states(members, states).orderBy("claim_id").collect()]}
 
     def resolve_set(self, *, set_id: str, validate: Sequence[str], refute: Sequence[str], actor_id: str, reason: str, at: str | None = None, grant_id: str | None = None) -> dict:
         at, mark = at or now_ts(), self.field.mark()

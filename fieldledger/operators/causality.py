@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import json_array, json_object, json_text, seal
 from ..schema import PROTOCOLS
-from .graph import settled
+from .graph import Successions, settled
 
 
 def used_of(decisions: DataFrame) -> DataFrame:
@@ -54,53 +54,88 @@ def descent(chain: DataFrame) -> DataFrame:
     return chain.where("seq = 0").select("memory_id", F.get_json_object("payload_json", "$.derived_from_decision").alias("decision_id"), F.col("actor_id").alias("declarant")).where("decision_id IS NOT NULL")
 
 
+def _declared(descent: DataFrame, used: DataFrame) -> DataFrame:
+    """descent with level: attested if the same actor made the decision and the memory."""
+    made_by = used.select("decision_id", "actor_id").distinct()
+    return descent.join(made_by, "decision_id", "left").withColumn("level", F.when(F.col("declarant") == F.col("actor_id"), "DERIVED").otherwise("DERIVED_UNATTESTED"))
+
+
 def impact(memory_id: str, served: DataFrame, used: DataFrame, lineage: DataFrame, descent: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Everything that the memory reached: edges (level, kind, src, dst), and memories (id, level).
 
     A fixpoint over three relations: successors, decisions that used what was derived, and
-    memories that declare descent from such decisions, attested if the same actor made both. In
-    a round each relation is followed from what is new to it, one after the other, for what an
-    earlier one adds decides how a later one lists it; a memory can be derived and unattested at
-    once. It ends when nothing is new, and since the sets only grow, forged cycles end it as well.
+    memories that declare descent from such decisions. Successions are followed to their ends in every round, by
+    doubling, so there are as many rounds as decisions rest on one another. The edges follow
+    from what is reached. So do the levels, but for memories that are reached both as successors
+    and by unattested descent: they are derived as well only if the succession came first, which is counted step by step.
     """
     spark = served.sparkSession
+    start = spark.range(1).select(F.lit(memory_id).alias("id"))
     direct_receipts = served.where(F.col("memory_id") == memory_id).select(F.col("receipt_sha256").alias("dst")).distinct()
     direct_decisions = used.where(F.col("memory_id") == memory_id).select(F.col("decision_id").alias("dst")).distinct()
 
-    def edge(rows: DataFrame, level: str, kind: str, src, dst) -> DataFrame:
-        return rows.select(F.lit(level).alias("level"), F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"))
+    def edge(rows: DataFrame, level, kind: str, src, dst) -> DataFrame:
+        return rows.select((F.lit(level) if isinstance(level, str) else level).alias("level"), F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"))
 
+    declared = settled(_declared(descent, used))
+    successors = Successions(lineage.select(F.col("memory_id").alias("child"), F.col("successor_id").alias("parent")))
+    decisions = fresh_decisions = settled(direct_decisions.select(F.col("dst").alias("id")))
+    reached, frontier = start.limit(0), start
+    while True:
+        fresh = settled(successors.closure(frontier, reached).join(reached, "id", "left_anti"))
+        reached = reached.unionByName(fresh)
+        uses = fresh.where(F.col("id") != memory_id).join(used, F.col("id") == F.col("memory_id")).select(F.col("decision_id").alias("id")).distinct()
+        grown = settled(uses.join(decisions, "id", "left_anti"))
+        decisions, fresh_decisions = decisions.unionByName(grown), fresh_decisions.unionByName(grown)
+        born = fresh_decisions.join(declared, F.col("id") == F.col("decision_id")).select(F.col("memory_id").alias("id")).distinct()
+        frontier = settled(born.join(reached, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
+        fresh_decisions = decisions.limit(0)
+    reached, decisions = settled(reached.distinct()), settled(decisions.distinct())
+    after = reached.join(lineage, F.col("id") == F.col("memory_id")).select(F.col("id").alias("src"), F.col("successor_id").alias("dst"))
+    uses = reached.where(F.col("id") != memory_id).join(used, F.col("id") == F.col("memory_id")).select(F.col("id").alias("src"), F.col("decision_id").alias("dst"))
+    born = settled(decisions.join(declared, F.col("id") == F.col("decision_id")).select(F.col("id").alias("src"), F.col("memory_id").alias("dst"), "level").distinct())
     edges = edge(direct_receipts, "DIRECT", "SERVED_BY", F.lit(memory_id), F.col("dst")).unionByName(edge(direct_decisions, "DIRECT", "USED_BY", F.lit(memory_id), F.col("dst")))
-    made_by = used.select("decision_id", "actor_id").distinct()
-    declared = descent.join(made_by, "decision_id", "left").withColumn("level", F.when(F.col("declarant") == F.col("actor_id"), "DERIVED").otherwise("DERIVED_UNATTESTED"))
+    edges = edges.unionByName(edge(after, "DERIVED", "SUPERSEDED_BY", F.col("src"), F.col("dst"))).unionByName(edge(uses, "DERIVED", "USED_BY", F.col("src"), F.col("dst")))
+    edges = edges.unionByName(edge(born, F.col("level"), "DERIVED_FROM_DECISION", F.col("src"), F.col("dst")))
+    by_descent = born.select(F.col("dst").alias("id"), "level").where(F.col("id") != memory_id).distinct()
+    by_lineage = after.select(F.col("dst").alias("id")).where(F.col("id") != memory_id).distinct()
+    unsure = by_descent.groupBy("id").agg(F.max("level").alias("most"), F.count("*").alias("n")).where("n = 1 AND most = 'DERIVED_UNATTESTED'").join(by_lineage, "id", "left_semi")
+    if unsure.isEmpty():
+        memories = by_descent.unionByName(by_lineage.withColumn("level", F.lit("DERIVED"))).distinct()
+    else:
+        memories = _levels_in_steps(memory_id, used, lineage, declared, decisions.sparkSession)
+    with_it = direct_receipts.join(served, F.col("dst") == F.col("receipt_sha256")).where(F.col("memory_id") != memory_id)
+    near = links.where((F.col("link_type") == "RESONANT") & (F.col("from_id") == memory_id) & (F.col("to_id") != memory_id))
+    possible = edge(with_it, "POSSIBLE", "CO_SERVED", F.lit(memory_id), F.col("memory_id")).unionByName(edge(near, "POSSIBLE", "RESONANT_NEIGHBOUR", F.lit(memory_id), F.col("to_id")))
+    return edges.distinct().unionByName(possible.distinct()), memories
+
+
+def _levels_in_steps(memory_id: str, used: DataFrame, lineage: DataFrame, declared: DataFrame, spark: SparkSession) -> DataFrame:
+    """id and level of what is reached, each relation followed one step a round, in their order: what an
+    earlier one adds decides how a later one lists it. A memory can be derived and unattested at once."""
     none = spark.createDataFrame([], "id string, level string")
     memories = none
-    decisions = fresh_decisions = direct_decisions.select(F.col("dst").alias("id"))
-    for_lineage = spark.createDataFrame([(memory_id,)], "id string")  # what each relation has not yet followed
+    decisions = fresh_decisions = used.where(F.col("memory_id") == memory_id).select(F.col("decision_id").alias("id")).distinct()
+    for_lineage = spark.range(1).select(F.lit(memory_id).alias("id"))  # what each relation has not yet followed
     for_uses = none.select("id")
     while True:
-        after = for_lineage.join(lineage, F.col("id") == F.col("memory_id")).select(F.col("id").alias("src"), F.col("successor_id").alias("dst"))
-        by_lineage = settled(after.select(F.col("dst").alias("id"), F.lit("DERIVED").alias("level")).where(F.col("id") != memory_id).join(memories.select("id"), "id", "left_anti").distinct())
+        after = for_lineage.join(lineage, F.col("id") == F.col("memory_id")).select(F.col("successor_id").alias("id"), F.lit("DERIVED").alias("level"))
+        by_lineage = settled(after.where(F.col("id") != memory_id).join(memories.select("id"), "id", "left_anti").distinct())
         memories = memories.unionByName(by_lineage)
         for_uses = for_uses.unionByName(by_lineage.select("id"))
-        uses = for_uses.join(used, F.col("id") == F.col("memory_id")).select(F.col("id").alias("src"), F.col("decision_id").alias("dst")).distinct()
-        grown = settled(uses.select(F.col("dst").alias("id")).distinct().join(decisions, "id", "left_anti"))
+        uses = for_uses.join(used, F.col("id") == F.col("memory_id")).select(F.col("decision_id").alias("id")).distinct()
+        grown = settled(uses.join(decisions, "id", "left_anti"))
         decisions, fresh_decisions = decisions.unionByName(grown), fresh_decisions.unionByName(grown)
-        born = fresh_decisions.join(declared, F.col("id") == F.col("decision_id")).select(F.col("id").alias("src"), F.col("memory_id").alias("dst"), "level")
-        by_descent = settled(born.select(F.col("dst").alias("id"), "level").where(F.col("id") != memory_id).join(memories, ["id", "level"], "left_anti").distinct())
-        made = edge(after, "DERIVED", "SUPERSEDED_BY", F.col("src"), F.col("dst")).unionByName(edge(uses, "DERIVED", "USED_BY", F.col("src"), F.col("dst")))
-        made = made.unionByName(born.select("level", F.lit("DERIVED_FROM_DECISION").alias("kind"), "src", "dst"))
-        # only what is new is written; the whole is the union of the rounds
-        edges, memories = edges.unionByName(settled(made.distinct())), memories.unionByName(by_descent)
+        born = fresh_decisions.join(declared, F.col("id") == F.col("decision_id")).select(F.col("memory_id").alias("id"), "level")
+        by_descent = settled(born.where(F.col("id") != memory_id).join(memories, ["id", "level"], "left_anti").distinct())
+        memories = memories.unionByName(by_descent)
         for_uses = by_descent.select("id").distinct()
         for_lineage = by_lineage.select("id").unionByName(for_uses).distinct()
         fresh_decisions = none.select("id")
         if for_lineage.isEmpty():
-            break
-    with_it = direct_receipts.join(served, F.col("dst") == F.col("receipt_sha256")).where(F.col("memory_id") != memory_id)
-    near = links.where((F.col("link_type") == "RESONANT") & (F.col("from_id") == memory_id) & (F.col("to_id") != memory_id))
-    possible = edge(with_it, "POSSIBLE", "CO_SERVED", F.lit(memory_id), F.col("memory_id")).unionByName(edge(near, "POSSIBLE", "RESONANT_NEIGHBOUR", F.lit(memory_id), F.col("to_id")))
-    return edges.distinct().unionByName(possible.distinct()), memories
+            return memories
 
 
 def impact_report(memory_id: str, edges: DataFrame, memories: DataFrame) -> dict:

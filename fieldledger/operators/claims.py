@@ -30,15 +30,18 @@ def verdict() -> Column:
     )
 
 
+def member_states(members: DataFrame, states: DataFrame) -> DataFrame:
+    """set_id, constraint_type, claim_id and state, one row per member; the state is null where there is no such claim."""
+    return members.select("set_id", "constraint_type", "claim_id").join(states.select("claim_id", "state"), "claim_id", "left")
+
+
 def evaluated(members: DataFrame, states: DataFrame) -> DataFrame:
-    """set_id, constraint_type, n, held, open, status and member_states.
+    """set_id, constraint_type, n, held, open and status, from counts alone: a set of any size is one small row.
 
     members has set_id, constraint_type and claim_id; states has claim_id and state.
     """
-    both = members.select("set_id", "constraint_type", "claim_id").join(states.select("claim_id", "state"), "claim_id", "left")
-    counted = both.groupBy("set_id", "constraint_type").agg(
+    counted = member_states(members, states).groupBy("set_id", "constraint_type").agg(
         F.count("*").alias("n"), F.count_if(F.col("state") == "VALIDATED").alias("held"), F.count_if(F.col("state") == "ASSERTED").alias("open"),
-        F.array_sort(F.collect_list(F.struct("claim_id", "state"))).alias("member_states"),
     )
     return counted.withColumn("status", verdict())
 
@@ -67,7 +70,8 @@ def standings(states: DataFrame, memories: DataFrame, sets: DataFrame) -> DataFr
         ids(clean & (F.col("stance") == "SUPPORTS")).alias("supporting"), ids(clean & (F.col("stance") == "CONTRADICTS")).alias("contradicting"),
         F.array_sort(F.collect_list(F.when(~clean, F.struct("memory_id", "status")))).alias("withheld"),
     )
-    status = evaluated(members_of(sets), states).select(F.explode("member_states.claim_id").alias("claim_id"), F.struct("set_id", "status").alias("s"))
+    members = members_of(sets)
+    status = members.select("set_id", "claim_id").join(evaluated(members, states).select("set_id", "status"), "set_id").select("claim_id", F.struct("set_id", "status").alias("s"))
     status = status.groupBy("claim_id").agg(F.array_sort(F.collect_list("s")).alias("set_statuses"))
     return states.join(tally, "claim_id", "left").join(status, "claim_id", "left")
 

@@ -59,16 +59,56 @@ def settled(rows: DataFrame) -> DataFrame:
     return kept
 
 
-def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """id: the seeds and all that they lead to over (child, parent) edges, until nothing is new.
+class Successions:
+    """A relation (child, parent) that is followed from any number of ids at once.
 
-    A round joins only what the last one added, and only that is written; what is reached is the
-    union of the rounds.
+    Where a child has one parent, as in a succession, pointers are doubled: after j joins they
+    lead 2**j steps on, so a succession of length L takes log L joins, not L. Where a child
+    has several parents, a round follows each of them a step. The doubled pointers are kept for later rounds.
     """
-    edges = settled(edges.select("child", "parent").distinct())
-    reached = frontier = settled(seeds.select("id").distinct())
-    while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
-        frontier = settled(step.join(reached, "id", "left_anti"))
-        reached = reached.unionByName(frontier)
-    return reached
+
+    def __init__(self, edges: DataFrame) -> None:
+        per = settled(edges.select("child", "parent").distinct())
+        counted = per.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
+        self.jumps = [settled(counted.where("n = 1").select("child", "parent"))]
+        self.many = settled(per.join(counted.where("n > 1").select("child"), "child", "left_semi"))
+        self.branches = not self.many.isEmpty()
+
+    def jump(self, j: int) -> DataFrame:
+        """From each child, where 2**j single steps lead."""
+        while len(self.jumps) <= j:
+            last = self.jumps[-1]
+            further = last.select(F.col("child").alias("parent"), F.col("parent").alias("next"))
+            self.jumps.append(settled(last.join(further, "parent").select("child", F.col("next").alias("parent"))))
+        return self.jumps[j]
+
+    def along(self, ids: DataFrame, known: DataFrame) -> DataFrame:
+        """ids, and what single steps lead to from them that is not among the known."""
+        reached, j = ids, 0
+        while True:
+            step = reached.join(self.jump(j), F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
+            # nothing new so many steps on: what lies further has been reached by another way
+            new = settled(step.join(reached, "id", "left_anti").join(known, "id", "left_anti"))
+            if new.isEmpty():
+                return reached
+            reached, j = settled(reached.unionByName(new)), j + 1
+
+    def closure(self, seeds: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """id: the seeds and all that they lead to, but for what is known together with all that it leads to."""
+        reached = seeds.select("id").limit(0)
+        known = reached if known is None else known
+        frontier = settled(seeds.select("id").distinct())
+        while True:
+            chain = self.along(frontier, known.unionByName(reached))
+            reached = reached.unionByName(chain)
+            if not self.branches:
+                return reached
+            step = chain.join(self.many, F.col("id") == F.col("child")).select(F.col("parent").alias("id")).distinct()
+            frontier = settled(step.join(reached, "id", "left_anti").join(known, "id", "left_anti"))
+            if frontier.isEmpty():
+                return reached
+
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """id: the seeds and all that they lead to over (child, parent) edges, until nothing is new."""
+    return Successions(edges).closure(seeds)

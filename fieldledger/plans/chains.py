@@ -201,10 +201,14 @@ _PROV_SQL = """prov AS (
 INVENTORY_SQL = f"WITH {_PROV_SQL} SELECT provider, model, revision, preprocessing, count(*) AS memories FROM prov GROUP BY ALL"
 
 
+def _one_provider(rows: DataFrame) -> DataFrame:
+    """Inputs are compared across providers and revisions."""
+    return rows.withColumn("provider", F.when(F.col("provider").isNotNull(), "p")).withColumn("revision", F.when(F.col("provider").isNotNull(), "r"))
+
+
 def embedding_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-drift: one input, one model, several vectors; inputs are compared across providers here."""
-    rows = _provenance(spark, sf_dir).withColumn("provider", F.when(F.col("provider").isNotNull(), "p")).withColumn("revision", F.when(F.col("provider").isNotNull(), "r"))
-    return inventory.embedding_drift(rows).select("model", "input_content_hash", "distinct_vectors", F.array_sort(F.flatten("vectors.members")).alias("members"))
+    return inventory.embedding_drift(_one_provider(_provenance(spark, sf_dir))).select("model", "input_content_hash", "distinct_vectors", F.array_sort(F.flatten("vectors.members")).alias("members"))
 
 
 DRIFT_SQL = f"""WITH {_PROV_SQL}
@@ -228,6 +232,44 @@ tree AS (
 SELECT h[1] AS root FROM tree WHERE len(h) = 1"""
 
 
+def merkle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-merkle with inclusion proofs: for every head, its place and the hashes beside its way to the root."""
+    paths = inventory.merkle_paths(chains.folded_heads(v.chain(spark, sf_dir), CUSTODY), "memory_id")
+    return paths.select(F.col("id").alias("memory_id"), "place", F.array_join("path", ",").alias("path"))
+
+
+PATHS_SQL = f"""WITH RECURSIVE {v.CHAIN_SQL}, {v.HEADS_SQL},
+tree AS (
+  SELECT 0 AS level, list(sha256(memory_id || ':' || entry_hash) ORDER BY memory_id) AS h FROM heads
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(h) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(h) THEN sha256(h[2 * i + 1] || h[2 * i + 2]) ELSE h[2 * i + 1] END) FROM tree WHERE len(h) > 1
+),
+leaf AS (SELECT memory_id, row_number() OVER (ORDER BY memory_id) - 1 AS place FROM heads),
+step AS (SELECT memory_id, place, level, h, place >> level AS p, xor(place >> level, 1) AS s FROM leaf, tree WHERE len(h) > 1)
+SELECT memory_id, place, coalesce(string_agg(CASE WHEN s < p THEN 'L' ELSE 'R' END || h[s + 1], ',' ORDER BY level) FILTER (WHERE s < len(h)), '') AS path FROM step GROUP BY memory_id, place"""
+
+
+def drift_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-drift: the vectors that one input became, with how many memories hold each."""
+    return inventory.drift_vectors(_one_provider(_provenance(spark, sf_dir))).select("model", "input_content_hash", "distinct_vectors", "output_vector_hash", "memories", "first_memory")
+
+
+_VECTORS_SQL = """
+per AS (SELECT model, input_content_hash, output_vector_hash, count(*) AS memories, min(memory_id) AS first_memory FROM prov WHERE provider IS NOT NULL GROUP BY ALL),
+vectors AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY model, input_content_hash) AS distinct_vectors FROM per) WHERE distinct_vectors > 1)"""
+DRIFT_VECTORS_SQL = f"WITH {_PROV_SQL}, {_VECTORS_SQL} SELECT model, input_content_hash, distinct_vectors, output_vector_hash, memories, first_memory FROM vectors"
+
+
+def drift_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-drift: every memory whose input drifts, with the first that holds the same vector."""
+    return inventory.drift_members(_one_provider(_provenance(spark, sf_dir)))
+
+
+DRIFT_MEMBERS_SQL = f"""WITH {_PROV_SQL}, {_VECTORS_SQL}
+SELECT memory_id, first_memory, p.output_vector_hash FROM prov AS p JOIN vectors AS v ON v.model IS NOT DISTINCT FROM p.model AND v.input_content_hash = p.input_content_hash AND v.output_vector_hash = p.output_vector_hash
+WHERE provider IS NOT NULL"""
+
+
 def decision_use_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-used-events, PRD-subset: uses that only one side records. Decision k claims the memories of users divisible by k + 2."""
     from ..operators.causality import one_sided
@@ -279,5 +321,5 @@ QUERIES = {
     "replay_custody_status": (replay_custody_status, REPLAY_SQL), "asof_status": (asof_status, ASOF_SQL), "replay_errors": (replay_errors, ERRORS_SQL),
     "status_distribution": (status_distribution, DIST_SQL), "state_distribution": (state_distribution, STATES_SQL), "taint_sweep": (taint_sweep, SWEEP_SQL), "sweep_seals": (sweep_seals, SEALS_SQL),
     "sweep_rederive_mismatch": (sweep_rederive_mismatch, REDERIVE_SQL), "embedding_inventory": (embedding_inventory, INVENTORY_SQL), "embedding_drift": (embedding_drift, DRIFT_SQL),
-    "merkle_root": (merkle_root, MERKLE_SQL), "decision_use_violations": (decision_use_violations, USE_SQL),
+    "merkle_root": (merkle_root, MERKLE_SQL), "merkle_paths": (merkle_paths, PATHS_SQL), "drift_vectors": (drift_vectors, DRIFT_VECTORS_SQL), "drift_members": (drift_members, DRIFT_MEMBERS_SQL), "decision_use_violations": (decision_use_violations, USE_SQL),
 }

@@ -196,13 +196,13 @@ SELECT * FROM edges WHERE from_id IN (SELECT memory_id FROM ok) AND to_id IN (SE
 
 
 def influence_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q-exposure, Q-level, AGG-maxpath: graded exposure to what is flagged or quarantined under label 0."""
+    """Q-exposure, Q-level, AGG-maxpath: graded exposure to all that is flagged or quarantined."""
     memories = v.vec(spark, sf_dir)
-    return graph.graded(memories, v.edges(spark, sf_dir), graph.tainted(memories.where("label = 0")))
+    return graph.graded(memories, v.edges(spark, sf_dir), graph.tainted(memories))
 
 
 EXPOSURE_SQL = f"""WITH RECURSIVE {v.VEC_SQL}, {v.EDGES_SQL},
-src AS (SELECT memory_id FROM vec WHERE label = 0 AND custody_status IN ('TAINT_FLAGGED', 'QUARANTINED')),
+src AS (SELECT memory_id FROM vec WHERE custody_status IN ('TAINT_FLAGGED', 'QUARANTINED')),
 reach AS (
   SELECT memory_id AS id, 0 AS depth FROM src
   UNION SELECT to_id, depth + 1 FROM reach JOIN edges ON from_id = id WHERE link_type = 'RESONANT' AND depth < 6

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.embedding import embed_heads
+from ..functions.embedding import FINE, WIDTH, embedded
 from ..operators import causality, replay
 from . import views as v
 
@@ -101,10 +101,19 @@ def _causes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def _stored(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The decisions and receipts as a field stores them, their lists as JSON."""
+    def listed(rows: DataFrame, key: str, name: str, *more: str) -> DataFrame:
+        per = rows.groupBy(key, *more).agg(F.array_sort(F.collect_set("memory_id")).alias("m"))  # what one recall serves or one decision uses
+        return per.select(key, *more, F.concat(F.lit(f'{{"{name}":["'), F.array_join("m", '","'), F.lit('"]}')).alias(f"{name}_json"))
+
+    return listed(parts["used"], "decision_id", "used", "actor_id", "receipt_sha256"), listed(parts["served"], "receipt_sha256", "served")
+
+
 def decision_subset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PRD-subset: uses that the cited recall never served."""
-    parts = _causes(spark, sf_dir)
-    return parts["used"].join(parts["served"], ["receipt_sha256", "memory_id"], "left_anti").select("decision_id", "memory_id")
+    """PRD-subset, JN-receipt: uses that the cited recall never served, out of the stored lists."""
+    decisions, receipts = _stored(_causes(spark, sf_dir))
+    return causality.unserved(decisions, receipts)
 
 
 SUBSET_SQL = f"WITH {CAUSES_SQL} SELECT 'd-' || j::VARCHAR AS decision_id, 'm-' || lpad(m::VARCHAR, 6, '0') AS memory_id FROM used WHERE NOT EXISTS (SELECT 1 FROM served WHERE served.j = used.j AND served.m = used.m)"
@@ -141,13 +150,17 @@ SELECT level, kind, CASE WHEN src[1] = 'm' THEN 'm-' || lpad(src[2:], 6, '0') EL
 
 
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-embedding: the digests' heads behind a text's deterministic vector, for every benchmark passage."""
-    return v.read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(embed_heads("text", 32)).alias("place", "head"))
+    """SRC-embedding: the deterministic vector of every document, all 384 components in units of 10**-10."""
+    docs = v.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(F.transform(embedded(F.coalesce("text", F.lit(""))), lambda x: x.cast("string")), ",").alias("vector"))
 
 
-EMBED_SQL = """SELECT item_id, i::INTEGER AS place,
-  ('0x' || substr(sha256(unhex(sha256(text)) || unhex(lpad(printf('%x', i), 4, '0'))), 1, 8))::BIGINT AS head
-FROM benchmark, range(32) AS r(i)"""
+EMBED_SQL = f"""WITH heads AS (
+  SELECT doc_id, i, ('0x' || substr(sha256(unhex(sha256(coalesce(text, ''))) || unhex(lpad(printf('%x', i), 4, '0'))), 1, 8))::BIGINT AS head FROM documents, range({WIDTH}) AS r(i)
+),
+scaled AS (SELECT doc_id, i, ((head::DOUBLE / 2147483647.5::DOUBLE - 1.0::DOUBLE) * {FINE}::DOUBLE)::HUGEINT * 10000000000 AS x FROM heads),
+split AS (SELECT doc_id, i, (x - ((x % {FINE}) + {FINE}) % {FINE}) // {FINE} AS q, ((x % {FINE}) + {FINE}) % {FINE} AS r FROM scaled)
+SELECT doc_id, string_agg((q + CASE WHEN 2 * r > {FINE} OR (2 * r = {FINE} AND q % 2 <> 0) THEN 1 ELSE 0 END)::VARCHAR, ',' ORDER BY i) AS vector FROM split GROUP BY doc_id"""
 
 QUERIES = {
     "authority_status": (authority_status, STATUS_SQL), "quarantine_windows": (quarantine_windows, WINDOWS_SQL), "authority_errors": (authority_errors, AUTH_ERRORS_SQL),
