@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import json_array, json_text, seal
+from ..functions.canonical import json_array, json_object, json_text, seal
 
 
 def members_of(sets: DataFrame) -> DataFrame:
@@ -86,6 +86,21 @@ def standing_seal(row) -> str:
     })
 
 
+def standing_seals(standings: DataFrame) -> DataFrame:
+    """standings with standing_sha256, the same seals as ``standing_seal`` makes, for all claims at once."""
+    def listed(column: str, *fields: str) -> Column:
+        items = F.coalesce(F.col(column), F.array())
+        one = (lambda x: json_array(F.array(*[json_text(x[f]) for f in fields]))) if fields else json_text
+        return json_array(F.transform(items, one))
+
+    relations = standings.withColumn("relations", F.array_sort(F.transform("relations", lambda r: F.struct(r["relation"].alias("relation"), r["direction"].alias("direction"), r["other"].alias("other")))))
+    body = json_object(
+        claim_id=json_text("claim_id"), statement_sha256=json_text("statement_sha256"), state=json_text("state"), supporting=listed("supporting"), contradicting=listed("contradicting"),
+        withheld_evidence=listed("withheld", "memory_id", "status"), relations=listed("relations", "relation", "direction", "other"), sets=listed("set_statuses", "set_id", "status"),
+    )
+    return relations.withColumn("standing_sha256", F.sha2(body, 256))
+
+
 def relations_of(states: DataFrame) -> DataFrame:
     """claim_id, relation, direction and other."""
     return states.select("claim_id", F.explode("relations").alias("r")).select("claim_id", "r.relation", "r.direction", "r.other")

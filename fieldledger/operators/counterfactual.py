@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import seal
+from ..functions.vectors import display_score, dot, exact_key, multiplier
 from ..schema import DEFAULT_HOPS, DEFAULT_TOP_K
-from .recall import effective_status, missing, recall
+from .graph import settled
+from .recall import effective_status, literal_vector, missing, ranked_marks, recall
+from .walks import walks
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -34,6 +38,59 @@ def moved(memories: DataFrame, a: dict[str, str], b: dict[str, str]) -> DataFram
     return memories.where((effective_status(a) == "CLEAN") != (effective_status(b) == "CLEAN")).select("memory_id")
 
 
+def served_in(memories: DataFrame, links: DataFrame, query: Sequence[int], worlds: dict[str, dict[str, str]], top_k: int = DEFAULT_TOP_K, hops: int = DEFAULT_HOPS) -> DataFrame:
+    """world, rank (from 0), memory_id, d, n, hop, resonant, rescued, field_state and key: what each world serves.
+
+    worlds names overrides. All worlds are gated, walked and ranked in one plan: products are computed once
+    a memory, a walk keeps to the links of its world, and each task keeps no more than the first k a world.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("world"), effective_status(override).alias("status")) for name, override in sorted(worlds.items())]))
+    rows = memories.withColumn("d", dot(F.col("vec"), literal_vector(query))).withColumn("n", dot(F.col("vec"), F.col("vec"))).select("memory_id", "field_state", "d", "n", each.alias("_w"))
+    clean = settled(rows.where("_w.status = 'CLEAN'").select("_w.world", "memory_id", "field_state", "d", "n"))
+    found = clean.where("field_state <> 'FORGOTTEN' AND n > 0")
+    first = Window.partitionBy("world").orderBy(F.desc("key"), "memory_id")
+    plain = exact_key("d", "n", F.lit("NEUTRAL"), F.lit(-1), F.lit(0))
+    seeds = settled(found.withColumn("key", plain).withColumn("_r", F.row_number().over(first)).where("_r = 1").select(F.col("world").alias("walk"), "world", "memory_id"))
+    ids = clean.select("world", F.col("memory_id").alias("_id"))
+    live = links.withColumn("world", F.explode(F.array(*[F.lit(w) for w in sorted(worlds)])))
+    for end in ("from_id", "to_id"):
+        live = live.join(ids.withColumnRenamed("_id", end), ["world", end], "left_semi")
+    marks = walks(live, seeds, hops, ["world"]).withColumnRenamed("walk", "world")
+    both = found.join(marks, ["world", "memory_id"], "left").withColumn("hop", F.coalesce("hop", F.lit(-1))).withColumn("resonant", F.coalesce("resonant", F.lit(0)))
+    best = ranked_marks(both).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top_k)
+    return best.withColumn("rank", (F.col("_r") - 1).cast("int")).select("world", "rank", "memory_id", "d", "n", "hop", "resonant", "rescued", "field_state", "key")
+
+
+def compared(
+    memories: DataFrame, links: DataFrame, births: DataFrame, used: DataFrame, query: Sequence[int], world_a: dict[str, str], world_b: dict[str, str],
+    top_k: int = DEFAULT_TOP_K, hops: int = DEFAULT_HOPS,
+) -> DataFrame:
+    """change, subject, a and b: all that differs between two worlds, as rows.
+
+    Memories are REMOVED, ENTERED, RANK_CHANGED or (at the same rank) SCORE_CHANGED, a topic's
+    CLAIM_CHANGED where its best-ranked served memory carries another claim, and a DECISION is named if it used what
+    exactly one world serves. births has memory_id, topic and claim, used has decision_id and memory_id.
+    """
+    served = settled(served_in(memories, links, query, {"a": world_a, "b": world_b}, top_k, hops))
+    n_query = sum(x * x for x in query)
+
+    @F.pandas_udf("string")
+    def shown(d: pd.Series, n: pd.Series, state: pd.Series, hop: pd.Series, resonant: pd.Series) -> pd.Series:
+        return pd.Series([format(display_score(int(x), int(y), n_query, multiplier(s, int(h), int(k))), "f") for x, y, s, h, k in zip(d, n, state, hop, resonant, strict=True)], dtype=object)
+
+    # the first k of each world
+    listed = settled(served.withColumn("score", shown("d", "n", "field_state", "hop", "resonant")).select("world", "memory_id", "rank", "score"))
+    lists = [listed.where(F.col("world") == w).drop("world") for w in "ab"]
+    moves = difference(*lists).withColumnRenamed("memory_id", "subject")
+    carried = listed.join(births.where("topic IS NOT NULL AND claim IS NOT NULL").select("memory_id", "topic", "claim"), "memory_id")
+    won = carried.groupBy("topic", "world").agg(F.min_by("claim", "rank").alias("claim")).groupBy("topic").agg(*[F.coalesce(F.max(F.when(F.col("world") == w, F.col("claim"))), F.lit("")).alias(w) for w in "ab"])
+    claims = won.where("a <> b").select(F.lit("CLAIM_CHANGED").alias("change"), F.col("topic").alias("subject"), "a", "b")
+    none = F.lit(None).cast("string")
+    touched = used.join(moved(memories, world_a, world_b), "memory_id", "left_semi").select("decision_id").distinct()
+    decisions = touched.select(F.lit("DECISION").alias("change"), F.col("decision_id").alias("subject"), none.alias("a"), none.alias("b"))
+    return moves.unionByName(claims).unionByName(decisions)
+
+
 def _winners(births: DataFrame, served: Sequence[str]) -> dict[str, str]:
     """topic to claim, by the best-ranked served memory; births has memory_id, topic and claim."""
     rows = {r["memory_id"]: r for r in births.where(F.col("memory_id").isin(list(served))).select("memory_id", "topic", "claim").collect()} if served else {}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import authority, chains, recalls, reports
+from . import authority, chains, recalls, reports, seals
 
-_ALL = recalls.QUERIES | chains.QUERIES | authority.QUERIES | reports.QUERIES
+_ALL = recalls.QUERIES | chains.QUERIES | authority.QUERIES | reports.QUERIES | seals.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -245,6 +245,45 @@ SELECT CASE WHEN b.r IS NULL THEN 'REMOVED' WHEN a.r IS NULL THEN 'ENTERED' ELSE
 FROM a FULL JOIN b ON a.memory_id = b.memory_id WHERE a.r IS DISTINCT FROM b.r"""
 
 
+WORLD_A, WORLD_B = {"m-000010": "CLEAN", "m-000017": "QUARANTINED"}, {"m-000003": "QUARANTINED", "m-000011": "CLEAN", "m-000024": "SUPERSEDED"}
+
+
+def worlds_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-compare: two worlds gated, walked and ranked in one plan; what is served, claimed and rested upon differs. Labels are topics."""
+    memories, query = _query(spark, sf_dir)
+    births = memories.select("memory_id", F.concat(F.lit("t-"), F.col("label").cast("string")).alias("topic"), F.col("memory_id").alias("claim"))
+    used = memories.select(F.concat(F.lit("d-"), F.floor(F.col("vec_id") / 3).cast("string")).alias("decision_id"), "memory_id")
+    found = counterfactual.compared(memories, v.dense_edges(spark, sf_dir), births, used, query, WORLD_A, WORLD_B, TOP, 2)
+    shown = F.col("change") != "SCORE_CHANGED"  # scores are shown at ten places, which SQL has not
+    return found.select("change", "subject", F.when(shown, F.col("a")).alias("a"), F.when(shown, F.col("b")).alias("b"))
+
+
+def _world_sql(name: str, override: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN '{m}' THEN '{s}'" for m, s in override.items())
+    return f"""
+{name}_status AS (SELECT *, CASE memory_id {cases} ELSE custody_status END AS status FROM vec),
+{name}_found AS MATERIALIZED (SELECT w.*, {v.dot_sql("vec", "qv")} AS d, {v.dot_sql("vec", "vec")} AS n FROM {name}_status AS w, q WHERE status = 'CLEAN' AND field_state <> 'FORGOTTEN'),
+{name}_seed AS (SELECT '{name}' AS walk, memory_id FROM {name}_found WHERE n > 0 ORDER BY {_SIM} DESC, memory_id LIMIT 1),
+{name}_clean AS (SELECT memory_id FROM {name}_status WHERE status = 'CLEAN'),
+{name}_live AS (SELECT * FROM dense WHERE from_id IN (SELECT memory_id FROM {name}_clean) AND to_id IN (SELECT memory_id FROM {name}_clean)),
+{walk_sql(f"{name}_walk", "2", f"{name}_live", f"{name}_seed")},
+{name}_marked AS (SELECT f.*, coalesce(w.hop, -1) AS hop, coalesce(w.resonant, 0) AS resonant, coalesce(w.inhibited, false) AS inhibited FROM {name}_found AS f LEFT JOIN {name}_walk AS w ON w.memory_id = f.memory_id WHERE n > 0),
+{name} AS (
+  SELECT memory_id, label, d, hop, resonant, row_number() OVER (ORDER BY {_SCORE} DESC, memory_id) - 1 AS r FROM {name}_marked WHERE NOT inhibited OR field_state = 'REINFORCED' QUALIFY r < {TOP}
+),
+{name}_won AS (SELECT 't-' || label::VARCHAR AS topic, arg_min(memory_id, r) AS claim FROM {name} GROUP BY label)"""
+
+
+WORLDS_SQL = f"""WITH RECURSIVE {v.VEC_SQL}, {v.DENSE_SQL}, q AS (SELECT vec AS qv FROM vec WHERE vec_id = {v.QUERY_ID}), {_world_sql("wa", WORLD_A)}, {_world_sql("wb", WORLD_B)},
+pairs AS (
+  SELECT coalesce(a.memory_id, b.memory_id) AS subject, a.r AS ra, b.r AS rb, CASE WHEN b.r IS NULL THEN 'REMOVED' WHEN a.r IS NULL THEN 'ENTERED' WHEN a.r <> b.r THEN 'RANK_CHANGED'
+    WHEN a.d > 0 AND (greatest(a.hop, 0), a.resonant) <> (greatest(b.hop, 0), b.resonant) THEN 'SCORE_CHANGED' END AS change FROM wa AS a FULL JOIN wb AS b ON a.memory_id = b.memory_id
+)
+SELECT change, subject, CASE WHEN change = 'RANK_CHANGED' THEN ra::VARCHAR END AS a, CASE WHEN change = 'RANK_CHANGED' THEN rb::VARCHAR END AS b FROM pairs WHERE change IS NOT NULL
+UNION ALL SELECT 'CLAIM_CHANGED', coalesce(a.topic, b.topic), coalesce(a.claim, ''), coalesce(b.claim, '') FROM wa_won AS a FULL JOIN wb_won AS b ON a.topic = b.topic WHERE a.claim IS DISTINCT FROM b.claim
+UNION ALL SELECT DISTINCT 'DECISION', 'd-' || (a.vec_id // 3)::VARCHAR, NULL, NULL FROM wa_status AS a JOIN wb_status AS b ON a.memory_id = b.memory_id WHERE (a.status = 'CLEAN') <> (b.status = 'CLEAN')"""
+
+
 def worlds_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-servable: the memories that exactly one of two worlds serves."""
     return counterfactual.moved(v.vec(spark, sf_dir), {"m-000010": "CLEAN"}, {"m-000013": "QUARANTINED", "m-000014": "CLEAN"})
@@ -272,5 +311,5 @@ QUERIES = {
     "recall_topk_exact": (recall_topk_exact, RECALL_SQL), "recall_gate_counts": (recall_gate_counts, GATE_SQL), "seed_argmax": (seed_argmax, SEED_SQL),
     "recall_hops": (recall_hops, HOPS_SQL), "ordered_walk": (ordered_walk, WALK_SQL), "recall_batch": (recall_batch, BATCH_SQL), "embedding_quantize": (embedding_quantize, QUANTIZE_SQL), "link_gate": (link_gate, LINK_SQL),
     "influence_exposure": (influence_exposure, EXPOSURE_SQL), "resonant_neighbours": (resonant_neighbours, NEIGHBOURS_SQL),
-    "counterfactual_delta": (counterfactual_delta, DELTA_SQL), "worlds_moved": (worlds_moved, MOVED_SQL), "claim_topic_winner": (claim_topic_winner, TOPIC_SQL),
+    "counterfactual_delta": (counterfactual_delta, DELTA_SQL), "worlds_moved": (worlds_moved, MOVED_SQL), "worlds_compared": (worlds_compared, WORLDS_SQL), "claim_topic_winner": (claim_topic_winner, TOPIC_SQL),
 }

@@ -83,7 +83,7 @@ succ AS (SELECT vec_id AS m, vec_id + 17 AS s FROM embeddings, n WHERE vec_id %
 born AS (SELECT vec_id AS m, vec_id * 7 % half AS j, vec_id % 3 = (vec_id * 7 % half) % 3 AS attested FROM embeddings, n WHERE vec_id % 4 = 1)"""
 
 
-def _causes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def causes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     ids = v.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("j"))
     n = ids.count()
     half = n // 2
@@ -101,7 +101,7 @@ def _causes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def _stored(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+def stored(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """The decisions and receipts as a field stores them, their lists as JSON."""
     def listed(rows: DataFrame, key: str, name: str, *more: str) -> DataFrame:
         per = rows.groupBy(key, *more).agg(F.array_sort(F.collect_set("memory_id")).alias("m"))  # what one recall serves or one decision uses
@@ -112,7 +112,7 @@ def _stored(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 
 def decision_subset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRD-subset, JN-receipt: uses that the cited recall never served, out of the stored lists."""
-    decisions, receipts = _stored(_causes(spark, sf_dir))
+    decisions, receipts = stored(causes(spark, sf_dir))
     return causality.unserved(decisions, receipts)
 
 
@@ -121,7 +121,7 @@ SUBSET_SQL = f"WITH {CAUSES_SQL} SELECT 'd-' || j::VARCHAR AS decision_id, 'm-'
 
 def impact_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-impact, JN-descent, FLT-superseded: everything that memory 5 reached, by level and kind."""
-    parts = _causes(spark, sf_dir)
+    parts = causes(spark, sf_dir)
     edges, _ = causality.impact("m-000005", parts["served"], parts["used"], parts["lineage"], parts["descent"], v.edges(spark, sf_dir))
     return edges
 
