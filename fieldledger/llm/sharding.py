@@ -65,8 +65,12 @@ def plan(histogram: Iterable[tuple[int, int, int]], shards: int) -> list[tuple[i
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot, one row per row of docs."""
+def shard_documents(docs: DataFrame, shards: int = 8, classes: int | None = CLASSES) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot, one row per row of docs.
+
+    classes is how finely sizes from EXACT bytes on are told apart. None tells each size apart, as
+    a plain heap would: then the histogram has as many rows more as there are sizes from EXACT bytes on.
+    """
     text = text_of()
     rows = shared_table(
         docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_key")),
@@ -74,7 +78,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     n = rows.count()
     groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count("*").alias("copies"))
-    further = F.lit(EXACT) + F.floor(F.log(F.col("bytes") / EXACT) * CLASSES)
+    further = F.col("bytes") if classes is None else F.lit(EXACT) + F.floor(F.log(F.col("bytes") / EXACT) * classes)
     groups = shared_table(groups.withColumn("class", F.when(F.col("bytes") < EXACT, F.col("bytes")).otherwise(further).cast("long")), "shard-groups")
     # at most EXACT rows and CLASSES for each time that sizes grow by e
     histogram = [tuple(r) for r in groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()]

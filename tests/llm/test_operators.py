@@ -116,6 +116,15 @@ def plain_lpt(sizes, bins):
     return loads
 
 
+def test_large_groups_are_dealt_exactly_on_demand(spark):
+    rng = random.Random(9)
+    sizes = [rng.randrange(60_000, 70_000) for _ in range(40)] + [rng.randrange(1, 3000) for _ in range(60)]
+    docs = spark.createDataFrame([(i, chr(97 + i % 26) * (n - 7) + f"{i:06}") for i, n in enumerate(sizes)], "doc_id long, text string")
+    found = sharding.shard_documents(docs, 4, None).toPandas()
+    assert sorted(found["size"]) == sorted(sizes)
+    assert sorted(found.groupby("shard")["size"].sum()) == sorted(plain_lpt(sizes, 4))
+
+
 def test_longest_processing_time_equals_the_plain_heap():
     rng = random.Random(4)
     for _ in range(200):
