@@ -116,9 +116,20 @@ class Ledger:
         of = {kind: {r["name"]: r["n"] for r in counts if r["kind"] == kind} for kind in ("total", "custody_status", "field_state")}
         return {
             "protocols": PROTOCOLS, "quantization": QUANTIZATION, "capabilities": sorted(CAPABILITIES), "ledger": self.has_ledger(),
+            "root_actor": self.root_actor(), "grant_holders": self.grant_holders(now_ts()),
             "total_memories": of["total"]["memories"], "registered_actors": of["total"]["actors"], "custody_status_distribution": of["custody_status"], "field_state_distribution": of["field_state"],
         }
 
+    def root_actor(self) -> str | None:
+        """Who holds the root grant, if there is a ledger."""
+        found = authority.roots(replay.grants(self.field.table("authority_chain"))).orderBy("subject_id").head()
+        return None if found is None else found["subject_id"]
+
+    def grant_holders(self, instant: str) -> int:
+        """How many can grant at an instant."""
+        chain = self.field.table("authority_chain")
+        return authority.holders(replay.grants(chain), replay.quarantine_windows(chain), instant).count()
+
     def memories_at(self, instant: str) -> DataFrame:
         rows = self.field.table("memories").select("memory_id", "content", scaled_text("embedding").alias("vec"), "topic")
         return rows.join(replay.states_at(self.field.table("custody_chain"), instant), "memory_id")

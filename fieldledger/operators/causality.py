@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.canonical import json_array, json_object, json_text, seal
@@ -138,6 +138,47 @@ def _levels_in_steps(memory_id: str, used: DataFrame, lineage: DataFrame, declar
             return memories
 
 
+#: Log of the entries that a reach sketch keeps: counts up to so many are exact, larger ones off by about one part in the root of it.
+SKETCH_ENTRIES_LOG = 12
+
+
+def reach_counts(used: DataFrame, lineage: DataFrame, descent: DataFrame, entries_log: int = SKETCH_ENTRIES_LOG) -> DataFrame:
+    """memory_id, derived_memories and derived_decisions: how much each memory has reached, for all of them at once.
+
+    A memory's reach is the union of its direct successors, uses and descendants and of what they
+    reach, so the sets are carried as theta sketches, of bounded size and merged in any order, and a round merges only
+    what has changed. There are as many rounds as the longest way. Counts up to 2**entries_log are
+    exact; the edges of the memories worth asking for are those of ``impact``. A memory that reaches itself, over forged cycles, counts itself.
+    """
+    def named(kind: str, c: Column) -> Column:
+        return F.concat(F.lit(kind), c)
+
+    edges = lineage.select(named("m:", F.col("memory_id")).alias("src"), named("m:", F.col("successor_id")).alias("dst"))
+    edges = edges.unionByName(used.select(named("m:", F.col("memory_id")).alias("src"), named("d:", F.col("decision_id")).alias("dst")))
+    edges = settled(edges.unionByName(descent.select(named("d:", F.col("decision_id")).alias("src"), named("m:", F.col("memory_id")).alias("dst"))).distinct())
+    log = F.lit(entries_log)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """With how much each sketch holds; whether it has grown shows in the count, and in the sketch where that is estimated."""
+        return rows.withColumns({f"n_{k}": F.coalesce(F.theta_sketch_estimate(f"s_{k}"), F.lit(0)) for k in "md"})
+
+    own = edges.groupBy("src").agg(*[F.theta_sketch_agg(F.when(F.col("dst").startswith(f"{k}:"), F.col("dst")), log).alias(f"s_{k}") for k in "md"])
+    state = changed = settled(counted(own))
+    while True:
+        # what a node has gained goes to those that lead to it; the merge is added up before it is shuffled
+        news = edges.join(changed.select(F.col("src").alias("dst"), "s_m", "s_d"), "dst").groupBy("src").agg(*[F.theta_union_agg(f"s_{k}", log).alias(f"a_{k}") for k in "md"])
+        both = state.join(news, "src")
+        merged = counted(both.select("src", F.theta_union("s_m", "a_m", log).alias("s_m"), F.theta_union("s_d", "a_d", log).alias("s_d"), F.struct("n_m", "n_d", "s_m", "s_d").alias("_was")))
+        large = 1 << entries_log
+        grown = (F.col("n_m") != F.col("_was.n_m")) | (F.col("n_d") != F.col("_was.n_d")) | ((F.col("n_m") > large) & (F.col("s_m") != F.col("_was.s_m"))) | ((F.col("n_d") > large) & (F.col("s_d") != F.col("_was.s_d")))
+        changed = settled(merged.where(grown).drop("_was"))
+        if changed.isEmpty():
+            break
+        state = settled(state.join(changed.select("src"), "src", "left_anti").unionByName(changed))
+    mine = state.where(F.col("src").startswith("m:"))
+    return mine.select(F.expr("substring(src, 3)").alias("memory_id"), F.col("n_m").cast("long").alias("derived_memories"), F.col("n_d").cast("long").alias("derived_decisions"))
+
+
 def impact_report(memory_id: str, edges: DataFrame, memories: DataFrame) -> dict:
     """The sealed report of one memory; its edges are what one incident touches."""
     rows = sorted(tuple(r) for r in edges.distinct().collect())

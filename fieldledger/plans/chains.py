@@ -276,7 +276,8 @@ def decision_use_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     chain = v.chain(spark, sf_dir)
     ids = chain.select("memory_id").distinct().select("memory_id", F.substring("memory_id", 3, 6).cast("int").alias("u"))
-    used = ids.join(spark.range(53).select(F.col("id").alias("k")), F.col("u") % (F.col("k") + 2) == 0).select(F.concat(F.lit("d-"), F.col("k").cast("string")).alias("decision_id"), "memory_id")
+    divisors = F.filter(F.sequence(F.lit(0), F.lit(52)), lambda k: F.col("u") % (k + 2) == 0)
+    used = ids.withColumn("k", F.explode(divisors)).select(F.concat(F.lit("d-"), F.col("k").cast("string")).alias("decision_id"), "memory_id")
     return one_sided(used, chain)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.embedding import FINE, WIDTH, embedded
+from ..functions.limits import cut_text
 from ..operators import causality, replay
 from . import views as v
 
@@ -149,6 +150,18 @@ e AS (
 SELECT level, kind, CASE WHEN src[1] = 'm' THEN 'm-' || lpad(src[2:], 6, '0') ELSE src[1] || '-' || src[2:] END AS src, CASE WHEN dst[1] = 'm' THEN 'm-' || lpad(dst[2:], 6, '0') ELSE dst[1] || '-' || dst[2:] END AS dst FROM e"""
 
 
+def impact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q-impact for all memories: how many memories and decisions each has reached."""
+    parts = causes(spark, sf_dir)
+    return causality.reach_counts(parts["used"], parts["lineage"], parts["descent"])
+
+
+COUNTS_SQL = f"""WITH RECURSIVE {CAUSES_SQL},
+e AS (SELECT 'm' || m::VARCHAR AS src, 'm' || s::VARCHAR AS dst FROM succ UNION SELECT 'm' || m::VARCHAR, 'd' || j::VARCHAR FROM used UNION SELECT 'd' || j::VARCHAR, 'm' || m::VARCHAR FROM born),
+reach AS (SELECT src AS root, dst AS at_ FROM e WHERE src[1] = 'm' UNION SELECT r.root, e.dst FROM reach AS r JOIN e ON e.src = r.at_)
+SELECT 'm-' || lpad(root[2:], 6, '0') AS memory_id, count(*) FILTER (WHERE at_[1] = 'm') AS derived_memories, count(*) FILTER (WHERE at_[1] = 'd') AS derived_decisions FROM reach GROUP BY root"""
+
+
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-embedding: the deterministic vector of every document, all 384 components in units of 10**-10."""
     docs = v.read(spark, sf_dir, "documents")
@@ -162,7 +175,17 @@ scaled AS (SELECT doc_id, i, ((head::DOUBLE / 2147483647.5::DOUBLE - 1.0::DOUBLE
 split AS (SELECT doc_id, i, (x - ((x % {FINE}) + {FINE}) % {FINE}) // {FINE} AS q, ((x % {FINE}) + {FINE}) % {FINE} AS r FROM scaled)
 SELECT doc_id, string_agg((q + CASE WHEN 2 * r > {FINE} OR (2 * r = {FINE} AND q % 2 <> 0) THEN 1 ELSE 0 END)::VARCHAR, ',' ORDER BY i) AS vector FROM split GROUP BY doc_id"""
 
+
+def cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a service takes it in, here in at most 2,000 characters."""
+    text = cut_text(F.coalesce("text", F.lit("")), 2000)
+    return v.read(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("length"), F.sha2(text, 256).alias("sha256"))
+
+
+CUT_SQL = """SELECT doc_id, length(t) AS length, sha256(t) AS sha256
+FROM (SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 2000 THEN substr(text, 1, 1999) || '...' ELSE coalesce(text, '') END AS t FROM documents)"""
+
 QUERIES = {
     "authority_status": (authority_status, STATUS_SQL), "quarantine_windows": (quarantine_windows, WINDOWS_SQL), "authority_errors": (authority_errors, AUTH_ERRORS_SQL),
-    "decision_subset_violations": (decision_subset_violations, SUBSET_SQL), "impact_edges": (impact_edges, IMPACT_SQL), "text_embedding": (text_embedding, EMBED_SQL),
+    "decision_subset_violations": (decision_subset_violations, SUBSET_SQL), "impact_edges": (impact_edges, IMPACT_SQL), "impact_counts": (impact_counts, COUNTS_SQL), "text_embedding": (text_embedding, EMBED_SQL), "cut_texts": (cut_texts, CUT_SQL),
 }

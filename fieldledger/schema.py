@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -69,6 +70,9 @@ INITIAL_CONFIDENCE = "0.5000000000"
 PROMOTION = "0.7500000000"
 MAX_HOPS, DEFAULT_HOPS, DEFAULT_TOP_K = 10, 2, 5
 EXPOSURE_DEPTH = 6
+#: What a service lets in: characters of a text and of an identifier, and the least and most of top_k and hops.
+MAX_TEXT, MAX_ID = 50_000, 64
+TOP_K_RANGE, HOPS_RANGE = (1, 20), (0, 4)
 #: Patterns of identifiers, digests and instants.
 ID_PATTERN = r"^[a-zA-Z0-9_\-.:]{1,64}$"
 HEX_PATTERN = r"^[0-9a-f]{64}$"
@@ -94,22 +98,22 @@ class Profile:
 
 #: The profile of this engine.
 OWN = Profile("fieldledger/custody/", "fieldledger/authority/", "fieldledger/claim/", "fieldledger/no-heads", "fieldledger-bundle-1")
-_using = [OWN]
+_using: ContextVar[Profile] = ContextVar("profile", default=OWN)
 
 
 def profile() -> Profile:
-    """The profile in use."""
-    return _using[-1]
+    """The profile in use, by this thread or task."""
+    return _using.get()
 
 
 @contextmanager
 def under(other: Profile) -> Iterator[Profile]:
     """Everything planned inside the block belongs to the other profile."""
-    _using.append(other)
+    before = _using.set(other)
     try:
         yield other
     finally:
-        _using.pop()
+        _using.reset(before)
 
 
 @dataclass(frozen=True)
