@@ -29,10 +29,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from .common import carried, shared_table, text_of
 
@@ -365,21 +366,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
 
 def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                s = model.score(np.array([model.features(t) for t in part["text"].to_pylist()]).reshape(-1, FEATURES))
-                yield pa.RecordBatch.from_arrays([part["row"], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            parts = [texts.iloc[at : at + 1000] for at in range(0, len(texts), 1000)]
+            scores = [model.score(np.array([model.features(t) for t in part]).reshape(-1, FEATURES)) for part in parts]
+            yield pd.Series(np.concatenate(scores) if scores else np.zeros(0))
 
     return run
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:
-    """row (all columns of docs in one struct, as they are), score and predicted."""
-    rows = carried(docs)
-    schema = StructType([rows.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return rows.select("row", text_of("row.text").alias("text")).mapInArrow(_score(model), schema)
+    """row (all columns of docs in one struct, as they are), score and predicted. Only the texts go to Python."""
+    scored = carried(docs).withColumn("score", _score(model)(text_of("row.text")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
