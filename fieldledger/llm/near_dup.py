@@ -6,11 +6,10 @@ and ``DEEPEST`` values) are range-sorted, so that the classes under any trie nod
 side and every prefix length is a streaming pass over the same sorted table.
 
 The join begins with the full paths. Classes under one trie node are candidates, which their whole
-signatures confirm or refuse. From a documented sample of classes, each pair so found counts for
-as many pairs as its chance of being found stands for; this gives the similarities of all pairs
-there must be, and so the recall of every prefix length on these very data. The prefixes are
-shortened until that measured recall reaches the target, each time only for trie nodes whose
-classes are not all joined yet. What is joined then is compared exactly, set by set.
+signatures confirm or refuse. The prefixes are then shortened to the longest whose chance to find
+a pair at the threshold itself reaches the target, for those trie nodes whose classes are not all
+joined yet. A closer pair has a better chance, so this holds for every table: no length comes from
+a sample or from the data. What is joined then is compared exactly, set by set.
 
 Groups are dealt to blocks. A block is compared inside itself first; pairs of blocks follow only
 where a group has several, and return, for each of its classes, how many documents it is linked to
@@ -42,14 +41,13 @@ from pyspark.sql import functions as F
 from .common import carried, discard, join_hot, shared_table, text_of
 
 WORDS, THRESHOLD = 5, 0.8
-#: The forest: trees, values of a full path, and the measured recall at which shortening stops.
+#: The forest: trees, values of a full path, and the chance for a pair at the threshold at which shortening stops.
 TREES, DEEPEST, RECALL = 20, 8, 0.9999
 #: Signatures further below the threshold than so many standard errors are not compared exactly;
 #: a pair at the threshold falls there with a chance below 3e-7.
 SLACK = 5.0
-#: Classes on which the recall is measured, drawn by a hash from those that share a trie node: about so
-#: many if each shares one in every tree, more if in fewer trees, but at most so many times the trees.
-SAMPLE = 4000
+#: Classes that are sampled to choose a prefix: none.
+SAMPLE = 0
 #: Classes and bytes of a block.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Paths of a range of the sorted tries.
@@ -59,8 +57,8 @@ SEED = 11
 
 #: Odd multipliers that mix 64-bit hashes.
 MIX_A, MIX_B, FOLD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-#: What tasks return: an edge (node, root), a node's links, or a weight of sampled pairs in a bin of similarity.
-FOUND = "grp long, node binary, links long, root binary, bin int, weight double"
+#: What tasks return: an edge (node, root), and a node's links.
+FOUND = "grp long, node binary, links long, root binary"
 
 
 class _Hashes(dict):
@@ -170,16 +168,16 @@ def _by_task(settle: Callable[[pa.Table, Callable], None]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(4)]
 
-        def tell(grp: int, node=(), links=None, root=None, bins=None, weight=None) -> None:
-            n = len(node) if bins is None else len(bins)
-            for o, new in zip(out, ([grp] * n, node if bins is None else [None] * n, links, root, bins, weight), strict=True):
+        def tell(grp: int, node, links=None, root=None) -> None:
+            n = len(node)
+            for o, new in zip(out, ([grp] * n, node, links, root), strict=True):
                 o.extend([None] * n if new is None else new)
 
         def emit() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.float64()]
-            made = pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["grp", "node", "links", "root", "bin", "weight"])
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+            made = pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["grp", "node", "links", "root"])
             for o in out:
                 o.clear()
             return made
@@ -241,34 +239,17 @@ def connect(signs: np.ndarray, of: np.ndarray, least: float, side: np.ndarray |
     return of
 
 
-def sampled(nodes: list[bytes], rate: float) -> list[int]:
-    return [i for i, n in enumerate(nodes) if int.from_bytes(n[:4], "big") < rate * 2**32]
-
-
 def found_chance(similarity: np.ndarray | float, depth: int, trees: int) -> np.ndarray | float:
     """The chance that two classes share a prefix of that depth in some tree."""
     return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
 
 
-def _alike(least: float, depth: int, trees: int, threshold: float, rate: float):
+def _alike(least: float):
     def settle(rows: pa.Table, tell: Callable) -> None:
         signs, nodes, grp = _matrix(rows["payload"], ">u2"), rows["node"].to_pylist(), rows["grp"][0].as_py()
         if "side" not in rows.column_names:
             of = connect(signs, np.arange(len(signs)), least)
             tell(grp, nodes, None, _smallest(of, nodes))
-            bins = np.zeros(101)
-            for i in sampled(nodes, rate):
-                # pairs under trie nodes with the same members, looked at once, count too little: the recall is rather under- than overstated
-                same = signs == signs[i]
-                # the shared prefix itself tells nothing of how alike the rest is
-                # the rest of the group lies in other blocks
-                share = rows["members"][0].as_py() / len(nodes)
-                close = (same.sum(axis=1) - depth) / (signs.shape[1] - depth)
-                close[i] = 0
-                pairs = np.flatnonzero(close >= threshold)
-                met = np.maximum(same[pairs].reshape(len(pairs), trees, signs.shape[1] // trees)[:, :, :depth].all(axis=2).sum(axis=1), 1)
-                np.add.at(bins, np.minimum(close[pairs] * 100, 100).astype(int), share / met)
-            tell(grp, bins=np.flatnonzero(bins).tolist(), weight=bins[bins > 0].tolist())
             return
         side, roots = rows["side"].to_numpy(), rows["root"].to_pylist()
         _, before = np.unique(np.array(roots, object), return_inverse=True)
@@ -359,7 +340,7 @@ def _in_blocks(members: DataFrame, settle: Callable, spread: int) -> DataFrame:
     large = placed.where("blocks > 1")
     if not large.select("blocks").head(1):
         return inside
-    known = inside.where("node IS NOT NULL").select("grp", "node", "root")
+    known = inside.select("grp", "node", "root")
     # a pair of blocks is a task of its own; the roots say what each block has connected inside
     large = large.join(known, ["grp", "node"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
     task = F.xxhash64("grp", F.least("block", "other"), F.greatest("block", "other"))
@@ -399,6 +380,7 @@ def measured_recall(bins: dict[int, float], found_at: int, depth: int, trees: in
 
     bins gives, for similarities in hundredths, how many pairs were found. Where none were, all
     pairs that may be there count as being at the threshold.
+    This judges a forest by pairs that are known; the join does not choose by it.
     """
     if not bins:
         return float(found_chance(np.array([threshold]), depth, trees)[0])
@@ -408,7 +390,7 @@ def measured_recall(bins: dict[int, float], found_at: int, depth: int, trees: in
 
 
 def likely_components(classes: DataFrame, n: int, spread: int, threshold: float, trees: int, deepest: int, recall: float) -> tuple[DataFrame, list[tuple[int, float]]]:
-    """node and comp of the classes that the forest joins, and the depths it took with their measured recall."""
+    """node and comp of the classes that the forest joins, and the depths it took, each with the least recall it has."""
     values = deepest * trees
     least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / values))
     paths = [F.concat(F.lit(bytes([t])), F.substring("signature", 2 * deepest * t + 1, 2 * deepest)) for t in range(trees)]
@@ -424,22 +406,18 @@ def likely_components(classes: DataFrame, n: int, spread: int, threshold: float,
         # trie nodes of one class, or of classes that are joined already, have nothing to add; those with the same members are looked at once
         buckets = buckets.where("members > 1 AND a <> b").groupBy("members", "print", "sum").agg(F.min("bucket").alias("bucket"))
         buckets = shared_table(buckets.select("bucket", "members", F.lit(0).alias("bytes")), "near-buckets")
-        if comps is None:
-            rate = min(1.0, SAMPLE * trees / max(buckets.agg(F.sum("members").alias("m")).first()["m"] or 1, 1))
         members = join_hot(runs, buckets, "bucket", "members", n * trees).join(classes.select("node", "signature"), "node")
         members = members.select(F.xxhash64("bucket").alias("grp"), "members", "bytes", "node", F.lit(1).cast("long").alias("copies"), F.col("signature").alias("payload"))
-        found = _in_blocks(members, _alike(least, depth, trees, threshold, rate if comps is None else 0.0), spread)
-        if comps is None:
-            measured = {r["bin"]: r["w"] for r in found.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("weight").alias("w")).collect()}  # at most 101 rows
+        found = _in_blocks(members, _alike(least), spread)
         new = found.where("node <> root").select("node", "root")
         edges = new if edges is None else edges.unionByName(new)
         comps = components(edges)
-        took.append((depth, measured_recall(measured, deepest, depth, trees, threshold)))
+        took.append((depth, float(found_chance(threshold, depth, trees))))
         discard(runs, buckets)
         if took[-1][1] >= recall or depth == 1:
             return comps, took
-        # as short as the measured similarities ask for
-        depth = next((d for d in range(depth - 1, 1, -1) if measured_recall(measured, deepest, d, trees, threshold) >= recall), 1)
+        # as short as pairs at the threshold ask for
+        depth = next((d for d in range(depth - 1, 1, -1) if found_chance(threshold, d, trees) >= recall), 1)
 
 
 def _row_key() -> Column:
