@@ -6,11 +6,11 @@ grant is live from granted_at on until, but not at, revoked_at; a window is half
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AUTHORITY_CAPABILITY, CAPABILITIES, CLAIM_CAPABILITY, CUSTODY_CAPABILITY
-from .sweeps import covered, edges, swept
+from .sweeps import covered, swept
 
 
 def live(at: Column) -> Column:
@@ -89,53 +89,102 @@ def unauthorized(events: DataFrame, grants: DataFrame, windows: DataFrame) -> Da
     return both.withColumn("error", error).where("error IS NOT NULL").select(*columns, "error")
 
 
-#: What a sweep over capabilities counts beside them: quarantine, and errors of the replay.
-SHUT, ERRED = "#shut", "#erred"
+#: What a sweep over capabilities counts: each of them, quarantine, errors of the replay, and whether there is a chain.
+SHUT, ERRED, KNOWN = "#shut", "#erred", "#known"
+COUNTED = (*sorted(CAPABILITIES), SHUT, ERRED, KNOWN)
+#: A fact adds delta to all that its mask names, at a place on the holder's chain (own) or in time.
+_FACT = "array<struct<own:boolean,place:string,mask:int,delta:int>>"
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """rows with place and _asks: by instant, or by number on the chain for what is asked of a chain before an event of its own."""
-    return rows.withColumn("place", F.when(F.col("own"), F.lpad(F.col("seq").cast("string"), 20, "0")).otherwise(F.col("at")))
+def _bit(name: str) -> Column:
+    return F.lit(1 << COUNTED.index(name))
+
+
+def _step(seq: Column) -> Column:
+    """The place of an event on its chain, as a text that sorts like its number."""
+    return F.lpad(seq.cast("string"), 20, "0")
+
+
+def _fact(test: Column, own: bool, place: Column, mask: Column, delta: Column | int) -> Column:
+    return F.when(test, F.struct(F.lit(own).alias("own"), place.alias("place"), mask.alias("mask"), (F.lit(delta) if isinstance(delta, int) else delta).alias("delta")))
+
+
+def _told(rows: DataFrame, *facts: Column) -> DataFrame:
+    return rows.select(F.col("subject_id").alias("holder"), F.explode(F.array_compact(F.array(*facts)).cast(_FACT)).alias("f")).select("holder", "f.*")
+
+
+def _span(test: Column, begin: Column, end: Column, mask: Column) -> list[Column]:
+    """The borders of a half-open interval in time (end null: never); one that ends before it begins holds nothing."""
+    real = test & begin.isNotNull() & (end.isNull() | (end > begin))
+    return [_fact(real, False, begin, mask, 1), _fact(real & end.isNotNull(), False, end, mask, -1)]
+
+
+def authority_facts(chain: DataFrame) -> DataFrame:
+    """holder, own, place, mask and delta: all that begins, ends or fails on the chains, as ``grants``, ``quarantine_windows``
+    and ``authority_errors`` have it, in one pass over grants with their revocations and one over quarantines."""
+    from .replay import grant_fault, payload
+
+    kind, seq = F.col("event_type"), F.col("seq")
+    made = chain.where(kind.isin("GRANTED", "REVOKED")).select(
+        "subject_id", "seq", "event_type", "created_at", payload("grant_id").alias("grant_id"),
+        F.from_json(payload("capabilities"), "array<string>").alias("capabilities"), F.col("issuer_id").alias("granted_by"), F.coalesce(payload("root") == "true", F.lit(False)).alias("root"),
+    )
+    given, ended = kind == "GRANTED", kind == "REVOKED"
+    mask = sum((F.when(F.array_contains("capabilities", c), _bit(c)).otherwise(0) for c in CAPABILITIES), F.lit(0))
+    made = made.withColumn("valid", given & grant_fault().isNull()).select("subject_id", "grant_id", "seq", "event_type", "created_at", "valid", mask.alias("mask"))
+    each = Window.partitionBy("subject_id", "grant_id")
+    so_far = each.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    valid = F.col("valid")
+    made = made.select(
+        "*", F.count(F.when(valid, 1)).over(so_far).alias("nth_given"), F.count(F.when(ended, 1)).over(so_far).alias("nth_ended"),
+        F.min(F.when(valid, seq)).over(each).alias("given_seq"), F.min(F.when(ended, F.struct("seq", "created_at"))).over(each).alias("end"),
+    )
+    first, until = valid & (F.col("nth_given") == 1), F.col("end.seq")
+    unknown = F.col("given_seq").isNull() | (F.col("given_seq") > seq)
+    wrong = (given & (~valid | (F.col("nth_given") > 1))) | (ended & (unknown | (F.col("nth_ended") > 1)))
+    grants = _told(
+        made, _fact(first, True, _step(seq), F.col("mask"), 1), _fact(first & (until > seq), True, _step(until), F.col("mask"), -1),
+        *_span(first, F.col("created_at"), F.col("end.created_at"), F.col("mask")), _fact(wrong, True, _step(seq), _bit(ERRED), 1),
+    )
+    order = Window.partitionBy("subject_id").orderBy("seq")
+    marks = chain.where(kind.isin("ACTOR_QUARANTINED", "ACTOR_REINSTATED")).select(
+        "subject_id", "seq", "event_type", "created_at", F.lag("event_type", 1, "ACTOR_REINSTATED").over(order).alias("last"), F.lead("event_type").over(order).alias("next_type"), F.lead("created_at").over(order).alias("next_at"),
+    )
+    shut = kind == "ACTOR_QUARANTINED"
+    to_at = F.when(F.col("next_type") == "ACTOR_REINSTATED", F.col("next_at"))
+    windows = _told(
+        marks, _fact(F.lit(True), True, _step(seq), _bit(SHUT), F.when(shut, 1).otherwise(-1)), _fact(kind == F.col("last"), True, _step(seq), _bit(ERRED), 1),
+        *_span(shut, F.col("created_at"), to_at, _bit(SHUT)),
+    )
+    return grants.unionByName(windows)
 
 
 def held_before(asks: DataFrame, chain: DataFrame, wanted: Column | None = None) -> DataFrame:
     """asks with ``held``: the capabilities that the holder had at the instant, sorted, and ``known``, whether it has a chain.
 
-    asks has ask (a text of its own), holder, at, own and seq. Where own is true, only what the
+    asks has holder, at, own and seq. Where own is true, only what the
     holder's chain says before seq counts, and nothing is held if that cannot be replayed: an act is
     authorised by the state before it, never by what it does itself. wanted, an array column of asks, limits what
-    is looked for. All asks are answered in one sweep over (holder, capability): a capability
+    is told. All asks are answered in one sweep over the holders, a row an ask: a capability
     is held while more grants of it have begun than ended, and no window is open.
     """
-    from .replay import authority_errors, grants, quarantine_windows
-
-    g, w = grants(chain), quarantine_windows(chain)
-    each = g.withColumn("cap", F.explode("capabilities")).withColumnRenamed("subject_id", "holder")
-    marks = chain.where(F.col("event_type").isin("ACTOR_QUARANTINED", "ACTOR_REINSTATED"))
-    step = F.when(F.col("event_type") == "ACTOR_QUARANTINED", 1).otherwise(-1)
-    no, yes = F.lit(False), F.lit(True)
-    by_time = edges(each, "granted_at", "revoked_at", "holder", "cap").unionByName(edges(w.select(F.col("subject_id").alias("holder"), F.lit(SHUT).alias("cap"), "from_at", "to_at"), "from_at", "to_at", "holder", "cap"))
-    by_time = by_time.select("holder", "cap", no.alias("own"), "at", F.lit(None).cast("int").alias("seq"), "delta")
-    instant = F.lit(None).cast("string").alias("at")
-    begun = each.select("holder", "cap", yes.alias("own"), instant, F.col("granted_seq").alias("seq"), F.lit(1).alias("delta"))
-    ended = each.where("revoked_seq > granted_seq").select("holder", "cap", yes.alias("own"), instant, F.col("revoked_seq").alias("seq"), F.lit(-1).alias("delta"))
-    shut = marks.select(F.col("subject_id").alias("holder"), F.lit(SHUT).alias("cap"), yes.alias("own"), instant, "seq", step.alias("delta"))
-    erred = authority_errors(chain).select(F.col("subject_id").alias("holder"), F.lit(ERRED).alias("cap"), yes.alias("own"), instant, "seq", F.lit(1).alias("delta"))
+    own = F.col("own")
     # by instant, what begins or ends there is in force; by number, what the event itself does is not
-    facts = _places(by_time.unionByName(begun).unionByName(ended).unionByName(shut).unionByName(erred)).withColumn("order", F.when(F.col("own"), 1).otherwise(0))
-    looked = F.array(*[F.lit(c) for c in CAPABILITIES]) if wanted is None else F.array_distinct(wanted)
-    asked = asks.withColumn("cap", F.explode(F.concat(looked, F.array(F.lit(SHUT), F.lit(ERRED)))))
-    asked = _places(asked.select("ask", "holder", "cap", "own", "at", "seq")).withColumn("order", F.when(F.col("own"), 0).otherwise(1))
-    columns = ["ask", "holder", "cap", "own", "place", "order", "delta"]
-    rows = asked.withColumn("delta", F.lit(0)).select(*columns).unionByName(facts.withColumn("ask", F.lit(None).cast("string")).select(*columns))
-    found = swept(rows, F.col("ask").isNotNull(), ["holder", "cap", "own"], ["place", "order"], open=("sum", F.col("delta"))).where("open > 0")
-    barred = F.col("cap").isin(SHUT, ERRED)
-    # as many rows an ask as there are capabilities, at most
-    per = found.groupBy("ask").agg(F.bool_or(barred).alias("_barred"), F.collect_set(F.when(~barred, F.col("cap"))).alias("_caps"))
-    known = chain.select(F.col("subject_id").alias("holder"), yes.alias("known")).distinct()
-    both = asks.join(per, "ask", "left").join(known, "holder", "left")
+    facts = authority_facts(chain).select("holder", "own", F.col("place").alias("_place"), F.when(own, 1).otherwise(0).alias("_order"), F.col("mask").alias("_mask"), F.col("delta").alias("_delta"))
+    sides = F.explode(F.array(F.lit(True), F.lit(False))).alias("own")
+    # that there is a chain comes before all places, nulls included
+    there = chain.select(F.col("subject_id").alias("holder")).distinct().select("holder", sides, F.lit(None).cast("string").alias("_place"), F.lit(-1).alias("_order"), _bit(KNOWN).alias("_mask"), F.lit(1).alias("_delta"))
+    asked = asks.select("*", F.when(own, _step(F.col("seq"))).otherwise(F.col("at")).alias("_place"), F.when(own, 0).otherwise(1).alias("_order"), F.lit(0).alias("_mask"), F.lit(0).alias("_delta"), F.lit(True).alias("_asks"))
+    rows = asked.unionByName(facts.unionByName(there), allowMissingColumns=True)
+    # an event makes at most three facts of either kind, and a chain one more
+    counted = asks.select("holder", "own", F.lit(1).alias("_n"), F.lit(0).alias("_tells")).unionByName(chain.select(F.col("subject_id").alias("holder"), sides, F.lit(4).alias("_n"), F.lit(4).alias("_tells")))
+    running = {f"_open_{i}": ("sum", F.when(F.col("_mask").bitwiseAND(_bit(c)) != 0, F.col("_delta")).otherwise(0)) for i, c in enumerate(COUNTED)}
+    found = swept(rows, F.col("_asks"), ["holder", "own"], ["_place", "_order"], counted=counted, **running)
+    opened = {c: F.col(f"_open_{i}") > 0 for i, c in enumerate(COUNTED)}
     none = F.array().cast("array<string>")
-    return both.withColumn("held", F.when(F.coalesce("_barred", no), none).otherwise(F.array_sort(F.coalesce("_caps", none)))).withColumn("known", F.coalesce("known", no)).drop("_barred", "_caps")
+    caps = F.array_compact(F.array(*[F.when(opened[c], c) for c in sorted(CAPABILITIES)]))
+    held = F.when(opened[SHUT] | opened[ERRED], none).otherwise(caps if wanted is None else F.array_intersect(caps, wanted))
+    return found.select(*asks.columns, held.alias("held"), opened[KNOWN].alias("known"))
 
 
 def amplified(chain: DataFrame) -> DataFrame:
@@ -150,7 +199,7 @@ def amplified(chain: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     conferred = F.when(F.col("event_type") == "GRANTED", F.from_json(payload("capabilities"), "array<string>"))
     asks = events.select(
-        F.concat_ws(":", "subject_id", "seq").alias("ask"), F.col("issuer_id").alias("holder"), F.col("created_at").alias("at"), (F.col("issuer_id") == F.col("subject_id")).alias("own"), "seq",
+        F.col("issuer_id").alias("holder"), F.col("created_at").alias("at"), (F.col("issuer_id") == F.col("subject_id")).alias("own"), "seq",
         "subject_id", required_for_authority().alias("needed"), F.coalesce(conferred, none).alias("conferred"),
     )
     both = held_before(asks, chain, F.array_compact(F.concat(F.array("needed"), "conferred")))
