@@ -122,7 +122,7 @@ def capabilities_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q-capsbefore, JN-issuer-before: what each subject held before each event of its own chain, by number and by instant."""
     chain = delegation(spark, sf_dir)
     asks = chain.select("subject_id", "seq", F.col("subject_id").alias("holder"), F.col("created_at").alias("at"), F.explode(F.array(F.lit(True), F.lit(False))).alias("own"))
-    found = authority.held_before(asks.withColumn("ask", F.concat_ws(":", "subject_id", "seq", "own")), chain)
+    found = authority.held_before(asks, chain)
     return found.select("subject_id", "seq", "own", F.array_join("held", ",").alias("held"))
 
 
