@@ -213,8 +213,8 @@ def claim_states(chain: DataFrame) -> DataFrame:
     return out.select("claim_id", F.coalesce("moved", F.lit("ASSERTED")).alias("state"), F.col("a.sha").alias("statement_sha256"), F.col("a.topic").alias("topic"), F.col("a.actor_id").alias("asserted_by"), F.col("a.created_at").alias("asserted_at"), "supports", "contradicts", "relations", "sets")
 
 
-def claim_errors(chain: DataFrame) -> DataFrame:
-    """claim_id, seq and error of claim events that their state before does not allow."""
+def _claims_judged(chain: DataFrame) -> DataFrame:
+    """chain with ``errors``, what is wrong with each event by itself or by the state before it."""
     et = F.col("event_type")
     w = Window.partitionBy("claim_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     state = F.coalesce(F.max(F.when(et.isin(*CLAIM_MOVES), F.struct("seq", _moved().alias("value")))).over(w)["value"], F.lit("ASSERTED"))
@@ -230,7 +230,25 @@ def claim_errors(chain: DataFrame) -> DataFrame:
         (wrong, "state_from"),
     ]
     errors = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in faults]))
-    return rows.select("claim_id", "seq", F.explode(errors).alias("error"))
+    return rows.withColumn("errors", errors).drop("_state")
+
+
+def claim_errors(chain: DataFrame) -> DataFrame:
+    """claim_id, seq and error of claim events that their state before does not allow."""
+    return _claims_judged(chain).select("claim_id", "seq", F.explode("errors").alias("error"))
+
+
+def _states_before(chain: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (claim_id, at and more) with ``state``, a row an ask."""
+    facts = _claims_judged(chain).select("claim_id", F.col("created_at").alias("at"), F.lit(1).alias("_order"), F.size("errors").alias("_wrong"), F.col("seq").alias("_seq"), _moved().alias("_moved"))
+    # what neither moves a claim nor fails tells nothing
+    facts = facts.where("_wrong > 0 OR _moved IS NOT NULL")
+    asked = asks.select("*", F.lit(0).alias("_order"), F.lit(0).alias("_wrong"))
+    one = F.lit(1).alias("_n")
+    counted = asks.select("claim_id", one, F.lit(0).alias("_tells")).unionByName(chain.select("claim_id", one, F.lit(1).alias("_tells")))
+    last = F.when(F.col("_moved").isNotNull(), F.struct("at", "_seq", "_moved"))
+    found = swept(asked.unionByName(facts, allowMissingColumns=True), F.col("_order") == 0, ["claim_id"], ["at", "_order"], counted=counted, _errors=("sum", F.col("_wrong")), _last=("max", last))
+    return found.select(*asks.columns, F.when(F.col("_errors") > 0, "ASSERTED").otherwise(F.coalesce("_last._moved", F.lit("ASSERTED"))).alias("state"))
 
 
 def claim_states_before(chain: DataFrame, asks: DataFrame) -> DataFrame:
@@ -239,20 +257,16 @@ def claim_states_before(chain: DataFrame, asks: DataFrame) -> DataFrame:
     A claim without events before the instant, or whose events before it cannot have happened so, counts as ASSERTED.
     Events and asks are swept together: what counts is the last move and whether there was an error.
     """
-    wrong = claim_errors(chain).groupBy("claim_id", "seq").agg(F.count("*").cast("int").alias("wrong"))
-    moves = F.when(F.col("event_type").isin(*CLAIM_MOVES), F.struct(F.col("created_at").alias("at"), "seq", _moved().alias("value")))
-    facts = chain.join(wrong, ["claim_id", "seq"], "left").select("claim_id", F.col("created_at").alias("at"), F.lit(1).alias("order"), F.coalesce("wrong", F.lit(0)).alias("wrong"), moves.alias("move"))
-    asked = asks.select("claim_id", "at").distinct().select("claim_id", "at", F.lit(0).alias("order"), F.lit(0).alias("wrong"), F.lit(None).cast(facts.schema["move"].dataType).alias("move"))
-    found = swept(asked.unionByName(facts), F.col("order") == 0, ["claim_id"], ["at", "order"], errors=("sum", F.col("wrong")), last=("max", F.col("move")))
-    return found.select("claim_id", "at", F.when(F.col("errors") > 0, "ASSERTED").otherwise(F.coalesce("last.value", F.lit("ASSERTED"))).alias("state"))
+    # equal asks have equal states, and lie together already
+    return _states_before(chain, asks.select("claim_id", "at")).distinct()
 
 
 def set_capabilities(chain: DataFrame, members: DataFrame, asks: DataFrame) -> DataFrame:
     """set_id, at and needed: what binding a set at an instant costs. Where a member was VALIDATED before, it is
     ADJUDICATE, else ASSERT. members has set_id and claim_id, asks has set_id and at."""
     each = asks.select("set_id", "at").distinct().join(members.select("set_id", "claim_id").distinct(), "set_id", "left")
-    states = claim_states_before(chain, each.where("claim_id IS NOT NULL").select("claim_id", "at"))
-    found = each.join(states, ["claim_id", "at"], "left")
+    states = _states_before(chain, each.where("claim_id IS NOT NULL")).select("set_id", "at", "state")
+    found = states.unionByName(each.where("claim_id IS NULL").select("set_id", "at", F.lit(None).cast("string").alias("state")))
     return found.groupBy("set_id", "at").agg(F.when(F.coalesce(F.bool_or(F.col("state") == "VALIDATED"), F.lit(False)), "ADJUDICATE").otherwise("ASSERT").alias("needed"))
 
 
