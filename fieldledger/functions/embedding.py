@@ -5,6 +5,8 @@ from __future__ import annotations
 from decimal import Decimal
 from hashlib import sha256
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,35 @@ def units(component: Column) -> Column:
 def embedded(text: str | Column, width: int = WIDTH) -> Column:
     """The vector of ``embed`` in units of 10**-10, an array of whole numbers, without leaving the JVM."""
     return F.transform(embed_heads(text, width), lambda h: units(h.cast("double") / F.lit(2147483647.5) - F.lit(1.0)))
+
+
+#: What tells the components of a text apart: their numbers as two bytes.
+_NUMBERS = [i.to_bytes(2, "big") for i in range(1 << 16)]
+
+
+def _units_of(heads: np.ndarray) -> np.ndarray:
+    """``units`` of the components behind unsigned heads, in the same whole numbers."""
+    k = ((heads.astype(np.float64) / 2147483647.5 - 1.0) * float(FINE)).astype(np.int64)
+    low = (k & ((1 << LOW) - 1)) * FIVES
+    high = (k >> LOW) * FIVES + (low >> LOW)
+    kept = SHIFT - LOW
+    whole = high >> kept
+    rest = ((high & ((1 << kept) - 1)) << LOW) + (low & ((1 << LOW) - 1))
+    half = 1 << (SHIFT - 1)
+    return whole + ((rest > half) | ((rest == half) & (whole & 1 == 1)))
+
+
+def embedded_texts(text: Column, width: int = WIDTH) -> Column:
+    """The vector of ``embedded`` as text, its numbers joined by commas. Texts stay in the JVM; only their digests go to
+    Python, in batches, where a component costs one call of the platform's SHA-256."""
+    numbers = _NUMBERS[:width]
+
+    @F.pandas_udf("string")
+    def vectors(digests: pd.Series) -> pd.Series:
+        def one(start: bytes) -> str:
+            heads = np.frombuffer(b"".join([sha256(start + n).digest()[:4] for n in numbers]), ">u4")
+            return ",".join(map(str, _units_of(heads).tolist()))
+
+        return digests.map(lambda hexed: None if hexed is None else one(bytes.fromhex(hexed)))
+
+    return vectors(F.sha2(text, 256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.embedding import FINE, WIDTH, embedded
+from ..functions.embedding import FINE, WIDTH, embedded_texts
 from ..functions.limits import cut_text
 from ..operators import causality, replay
 from . import views as v
@@ -165,7 +165,7 @@ SELECT 'm-' || lpad(root[2:], 6, '0') AS memory_id, count(*) FILTER (WHERE at_[1
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-embedding: the deterministic vector of every document, all 384 components in units of 10**-10."""
     docs = v.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(F.transform(embedded(F.coalesce("text", F.lit(""))), lambda x: x.cast("string")), ",").alias("vector"))
+    return docs.select("doc_id", embedded_texts(F.coalesce("text", F.lit(""))).alias("vector"))
 
 
 EMBED_SQL = f"""WITH heads AS (
