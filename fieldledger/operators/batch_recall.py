@@ -2,20 +2,24 @@
 
 Queries in blocks meet memories in blocks. A block computes inner products in double precision,
 which for components of up to 53 bits are off by at most a small multiple of the query's length:
-fl(q . x) differs from q . x by less than n u |q| |x| / (1 - n u), so the quotient by |x|, which
-orders memories, differs by that times |q|, whatever the memory. The k-th greatest lower
+fl(q . x) differs from q . x by less than n u |q| |x| / (1 - n u), so the product with x / |x|, which
+orders memories and whose components are off by less than n u / 2 + 4 u of themselves, differs by
+less than 2 n u + 8 u times |q|, whatever the memory. The k-th greatest lower
 bound of a block is a lower bound of the k-th score; what lies below it by its upper bound cannot be among
 the first k. A first block answers all queries, and its bound goes with each query to all
 others. Only what is left gets the exact integer key. Scores at or below zero are equal, so
 of those only the k smallest ids of each block can matter.
 
-Blocks are bounded in bytes; a block of memories and a block of queries are one task's work. Nothing is
-collected. Memories that a query's walk has touched have a factor of their own: they are left
+Blocks are bounded in bytes; a block of memories and a block of queries are one task's work, which holds
+their vectors once and gives what is left in batches. Of equal vectors with equal factors, only as many as can
+count are looked at. Nothing is collected. Memories that a query's walk has touched have a factor of their own: they are left
 out of the blocks and keyed exactly, as many as the walk touched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +34,7 @@ from .walks import walks
 #: Bytes of vectors in a block of memories and of queries; memories of the first block on average.
 BLOCK_BYTES, QUERY_BYTES, FIRST_ROWS = 16 << 20, 2 << 20, 4096
 #: Products that a task holds at a time.
-CELLS = 1 << 21
+CELLS = 1 << 20
 #: Components beyond it are no longer exact as doubles.
 EXACT = 2**53
 
@@ -42,47 +46,76 @@ def candidates_of_all(memories: DataFrame, override: dict[str, str] | None = Non
     return gated(memories, override).where("field_state <> 'FORGOTTEN'").where(F.exists("vec", lambda x: x != 0))
 
 
+def _copies(x: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row its class, rows of equal vector and factor, and its place in it."""
+    seen: dict[tuple[bytes, float], int] = {}
+    of = np.fromiter((seen.setdefault((row.tobytes(), f), len(seen)) for row, f in zip(x, factor.tolist(), strict=True)), np.int64, len(x))
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+    place = np.empty(len(x), np.int64)
+    place[order] = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
+    return of, place
+
+
 def _search(k: int):
-    """One block of memories (kind 0) against one of queries (kind 1); pairs of kind 2 are left out."""
-
-    def run(group: pa.Table) -> pa.Table:
-        kind = group["kind"].to_numpy()
-        ids = group["memory_id"].to_numpy(zero_copy_only=False)
-        asked, stock, out = (np.flatnonzero(kind == i) for i in (1, 0, 2))
-        if not len(asked) or not len(stock):
-            return pa.table({"query_id": pa.array([], pa.string()), "memory_id": pa.array([], pa.string()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
+    """One block of memories (kind 0) against one of queries (kind 1); pairs of kind 2 are left out.
+
+    Takes and gives batches: a task holds the vectors of its blocks once, and CELLS products.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[int, list[tuple]] = {0: [], 1: [], 2: []}
+        for batch in batches:
+            kind = batch["kind"].to_numpy()
+            for i, rows in read.items():
+                at = np.flatnonzero(kind == i)
+                if len(at):
+                    part = batch.take(pa.array(at))
+                    vec = None if i == 2 else part["vec"].flatten().to_numpy().astype(np.float64).reshape(len(at), -1)
+                    rows.append((vec, part["memory_id"], part["query_id"], part["factor" if i == 0 else "bound"]))
+        if not read[0] or not read[1]:
+            return
+
+        def column(i: int, at: int) -> np.ndarray:
+            return np.concatenate([r[at].to_numpy(zero_copy_only=False) for r in read[i]]) if read[i] else np.zeros(0, object)
+
+        (x, q), ids, factor = (np.concatenate([r[0] for r in read[i]]) for i in (0, 1)), column(0, 1), column(0, 3).astype(float)
+        names, bound = column(1, 2), np.nan_to_num(column(1, 3).astype(float), nan=0.0)
+        out = list(zip(column(2, 2), column(2, 1), strict=True))
+        read.clear()
         # in id order, so that of equals the first are the smallest ids
-        stock = stock[np.argsort(ids[stock].astype(str), kind="stable")]
-        names = group["query_id"].to_numpy(zero_copy_only=False)
-
-        def matrix(rows: np.ndarray) -> np.ndarray:
-            part = group["vec"].combine_chunks().take(pa.array(rows))
-            return part.flatten().to_numpy().astype(np.float64).reshape(len(rows), -1)
-
-        x = matrix(stock)
-        norms, factor = np.sqrt(np.einsum("ij,ij->i", x, x)), group["factor"].to_numpy()[stock]
-        bound = np.nan_to_num(group["bound"].to_numpy(zero_copy_only=False).astype(float), nan=0.0)
-        column_of, left_out = {n: i for i, n in enumerate(ids[stock])}, {}
-        for n, m in zip(names[out], ids[out], strict=True):
-            if m in column_of:
-                left_out.setdefault(n, []).append(column_of[m])
-        found = []
-        for at in range(0, len(asked), step := max(1, CELLS // len(stock))):
-            part = asked[at : at + step]
-            q = matrix(part)
-            score = q @ x.T / norms * factor
-            margin = (4 * q.shape[1] + 64) * 2.0**-53 * np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * factor[None, :]
-            low, high = np.maximum(score - margin, 0), np.maximum(score + margin, 0)
-            for i, n in enumerate(names[part]):
-                low[i, left_out.get(n, [])] = high[i, left_out.get(n, [])] = -1
-            floor = np.zeros(len(part)) if len(stock) < k else np.partition(low, len(stock) - k, axis=1)[:, len(stock) - k]
-            floor = np.maximum(np.maximum(floor, 0), bound[part])
-            keep = (high > 0) & (high >= floor[:, None])
-            for i in np.flatnonzero(floor == 0):
-                keep[i, np.flatnonzero(high[i] == 0)[:k]] = True
-            row, column = np.nonzero(keep)
-            found.append(pa.table({"query_id": pa.array(names[part][row], pa.string()), "memory_id": pa.array(ids[stock][column], pa.string()), "low": low[row, column], "high": high[row, column]}))
-        return pa.concat_tables(found)
+        order = np.argsort(ids.astype(str), kind="stable")
+        x, ids, factor = x[order], ids[order], factor[order]
+        # of copies only the first k can be among a query's first k, after those that it leaves out
+        of, place = _copies(x, factor)
+        row_of, gone = {n: i for i, n in enumerate(ids)} if out else {}, {}
+        for n, m in out:
+            if m in row_of:
+                gone.setdefault(n, []).append(row_of[m])
+        most = np.full(len(ids), k)
+        for rows in gone.values():
+            classes, times = np.unique(of[rows], return_counts=True)
+            most[classes] = np.maximum(most[classes], k + times)
+        stay = place < most[of]
+        number = np.cumsum(stay) - 1
+        gone = {n: [number[r] for r in rows if stay[r]] for n, rows in gone.items()}
+        x, ids, factor = x[stay], ids[stay], factor[stay]
+        x *= (factor / np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None]
+        margins = (4 * q.shape[1] + 64) * 2.0**-53 * np.sqrt(np.einsum("ij,ij->i", q, q)) * factor.max()
+        for at in range(0, len(q), step := max(1, CELLS // len(x))):
+            found: list[tuple[np.ndarray, ...]] = []
+            for i, score in enumerate(q[at : at + step] @ x.T, at):
+                score[gone.get(names[i], [])] = -np.inf
+                high, floor = score + margins[i], bound[i]
+                keep = np.flatnonzero((high > 0) & (high >= floor))
+                if len(keep) >= k:
+                    floor = max(floor, np.partition(score[keep], len(keep) - k)[len(keep) - k] - margins[i])
+                    keep = keep[high[keep] >= floor]
+                if floor <= 0:
+                    keep = np.r_[keep, np.flatnonzero((high <= 0) & (score > -np.inf))[:k]]
+                found.append((np.full(len(keep), i), keep, np.maximum(score[keep] - margins[i], 0), np.maximum(high[keep], 0)))
+            row, near, low, high = (np.concatenate(f) for f in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(names[row], pa.string()), pa.array(ids[near], pa.string()), pa.array(low), pa.array(high)], ["query_id", "memory_id", "low", "high"])
 
     return run
 
