@@ -44,7 +44,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: The forest: trees, values of a full path, and the chance for a pair at the threshold at which shortening stops.
 TREES, DEEPEST, RECALL = 20, 8, 0.9999
 #: Signatures further below the threshold than so many standard errors are not compared exactly;
-#: a pair at the threshold falls there with a chance below 3e-7.
+#: a pair at the threshold falls there with a chance of 1.4e-6 (binomial, 160 values).
 SLACK = 5.0
 #: Classes that are sampled to choose a prefix: none.
 SAMPLE = 0

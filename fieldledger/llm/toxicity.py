@@ -1,20 +1,22 @@
 """Toxicity scores from a learned lexicon, misspellings included.
 
-A bounded sample of labelled documents yields the lexicon: whole words, and word beginnings for
-languages that compound, that stand in toxic documents far more often than in others. Its trie
+All labelled documents that are not held out yield the lexicon: whole words, and word beginnings
+for languages that compound, that stand in toxic documents far more often than in others. Its trie
 is intersected with Levenshtein automata: a state is the set of (trie node, edits so far) that
 a word's letters can have reached, made deterministic step by step as words call for it, so
 every word is read once against all terms and all their misspellings together; a beginning that
 has been reached within its edits stays found, whatever follows it.
 
 Each hit is then read in its context, a window of words on either side. What the words of the
-window say for or against abuse is learned from the windows of the sample, and whether the hit
+window say for or against abuse is learned from the windows of half of these documents, and whether the hit
 stands between quotation marks is told by following the marks through the whole text. Counts
-of hits by kind, crowding and context go into a logistic regression, which gives the score.
+of hits by kind, crowding and context go into a logistic regression, which is fitted on the other
+half and gives the score. Counts, moments and the sums of each step of the fit are added up in
+tasks; what the driver sees are the terms and words that are common enough, and these sums.
 
 Defined results: a null text is the empty text and is scored as one without hits; a document
 whose label is null, missing or out of 0 and 1 is only scored; labels given twice count as toxic
-if any says so; without labels of both kinds every score is 0; terms that are equally near tie to
+if any says so, and the smallest text counts of those that share a labelled doc_id; without labels of both kinds every score is 0; terms that are equally near tie to
 the longer and then the first one; repeated rows are scored each; a text of any length is read
 whole, in memory that grows with its words; an empty table gives no rows; other columns, whatever
 their names, stay as they are.
@@ -25,7 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,18 +37,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import carried, shared_table, text_of
+from .common import carried, discard, shared_table, text_of
 
-#: The most labelled documents that the model is fitted on, drawn by a hash of doc_id.
-SAMPLE = 8000
-#: The least ratio of shares and the least root of the likelihood ratio statistic of a term.
-LIFT, LEAST_Z = 4.0, 4.5
+#: The least ratio of shares, the least root of the likelihood ratio statistic, and the least share of toxic documents, of a term.
+LIFT, LEAST_Z, LEAST_SHARE = 4.0, 4.5, 0.004
 #: Lengths of word beginnings that may become terms; a longer beginning begins with one of these.
 STEMS = range(4, 11)
-#: Words on either side that a window takes in; documents in which a word must stand near hits to say anything of them.
-WINDOW, LEAST_NEAR = 12, 20
-#: What a worker remembers of words and automaton states; only speed depends on it.
-CACHE = 300_000
+#: Words on either side that a window takes in; documents in which a word must stand near hits to say anything of them, and
+#: the least share of those with hits, so that the words that do are as many for any number of documents.
+WINDOW, LEAST_NEAR, NEAR_SHARE = 12, 20, 0.002
+#: Terms that a task counts before it passes them on.
+COUNTED = 100_000
+#: What a worker remembers of words and of automaton steps; only speed depends on it.
+CACHE, STEPS = 300_000, 100_000
 
 WORD = re.compile(r"\w+")
 #: Quotation marks that open, with those that close them, and lines that quote.
@@ -114,12 +117,17 @@ class Matcher:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, tuple[int, int] | None] = {}
+        self.known: set[str] = set()  # words that have been read
+        self.near: dict[str, tuple[int, int]] = {}  # those that are terms or misspell them
+        self.forget()
+
+    def forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[tuple[frozenset, frozenset]] = []
-        self.step: dict[tuple[int, str], int] = {}
+        self.step: list[dict[str, int]] = []
+        self.steps = 0
         self.result: list[tuple[int, int] | None] = []
-        self.start = self.state({(0, 0)}, frozenset())
+        self.start, self.lost = self.state({(0, 0)}, frozenset()), self.state(set(), frozenset())
 
     def state(self, reached: set[tuple[int, int]], begun: frozenset) -> int:
         """The number of the state; begun holds (beginning, edits) of those that have been read in full."""
@@ -140,6 +148,7 @@ class Matcher:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            self.step.append({})
             found = [(e, -len(self.terms[t].text), t) for t, e in [*ends, *read.items()]]
             best = min(found, default=None)
             self.result.append(best and (best[2], best[0]))
@@ -147,28 +156,37 @@ class Matcher:
 
     def __call__(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term, or None."""
-        try:
-            return self.known[word]
-        except KeyError:
-            pass
-        if len(self.known) > CACHE or len(self.step) > CACHE:
-            self.clear()
-        at = self.start
+        return self.among({word}).get(word)
+
+    def among(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """(term, edits) of the nearest term for each of the words that has one."""
+        if len(self.known) > CACHE:
+            self.known, self.near = set(), {}
+        for word in words - self.known:
+            if (hit := self.read(word)) is not None:
+                self.near[word] = hit
+        self.known |= words
+        return {w: self.near[w] for w in words & self.near.keys()}
+
+    def read(self, word: str) -> tuple[int, int] | None:
+        if self.steps > STEPS:
+            self.forget()
+        at, step, sets = self.start, self.step, self.sets
         for c in word:
-            to = self.step.get((at, c))
+            to = step[at].get(c)
             if to is None:
-                reached, begun = self.sets[at]
+                reached, begun = sets[at]
                 after: set[tuple[int, int]] = set()
                 for node, e in reached:
                     if c in self.children[node]:
                         after.add((self.children[node][c], e))
                     after.add((node, e + 1))  # a letter too many
                     after |= {(n, e + 1) for k, n in self.children[node].items() if k != c}  # another letter
-                to = self.step[at, c] = self.state(after, begun)
+                to = step[at][c] = self.state(after, begun)
+                self.steps += 1
             at = to
-            if not self.sets[at][0] and not self.sets[at][1]:
+            if at == self.lost:
                 break
-        self.known[word] = self.result[at]
         return self.result[at]
 
 
@@ -188,7 +206,8 @@ class Model:
     def hits(self, words: list[str]) -> list[tuple[int, int, int]]:
         """(word number, term, edits) of the words that are terms or misspell them."""
         matcher = self.made.get("matcher") or self.made.setdefault("matcher", Matcher(self.terms))
-        return [(i, *hit) for i, hit in enumerate(map(matcher, words)) if hit is not None]
+        found = matcher.among(set(words))
+        return [(i, *found[w]) for i, w in enumerate(words) if w in found] if found else []
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
@@ -215,7 +234,7 @@ class Model:
                 lo += 1
             crowd = max(crowd, k - lo + 1)
         # what the windows say, for and against abuse; a word between two hits speaks to both
-        said = np.r_[0.0, np.cumsum([self.context.get(w, 0.0) for w in words])] if self.context else np.zeros(len(words) + 1)
+        said = np.r_[0.0, np.cumsum([self.context.get(w, 0.0) for w in words])] if self.context and exact else np.zeros(len(words) + 1)
         windows = [said[min(i + WINDOW + 1, len(words))] - said[max(i - WINDOW, 0)] for i, _ in exact]
         return [
             math.log1p(len(exact)), math.log1p(misspelt), math.log1p(len(abuse) - len(exact) - misspelt), math.log1p(len(quoted)), math.log1p(len({t for _, t in exact})),
@@ -235,26 +254,55 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """text, toxic and half (0 or 1) of up to ``most`` labelled documents that are not held out."""
-    known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of two numbers
-    texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, toxic and half (0 or 1) of every labelled document that is not held out."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
+    texts = docs.select("doc_id", text_of().alias("text")).where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("text").alias("text"))
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
-    return shared_table(texts.select("text", F.col("toxic").cast("int").alias("toxic"), half), "toxicity-sample")
+    # always a shuffled join: a broadcast would turn into one as the labels grow
+    return shared_table(texts.join(known.hint("merge"), "doc_id").select("text", "toxic", half), "toxicity-texts")
+
+
+def _counts(found: Callable[[str], set[str]]):
+    """In how many documents of either label a term is found; a task may tell of a term more than once."""
+
+    def told(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        terms = list(counts[0].keys() | counts[1].keys())
+        batch = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([counts[k][t] for t in terms], pa.int64()) for k in (0, 1)]], ["term", "clean", "toxic"])
+        for c in counts:
+            c.clear()
+        return batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                for text, toxic in zip(part["text"].to_pylist(), part["toxic"].to_pylist(), strict=True):
+                    counts[toxic].update(found(text))
+                    if len(counts[0]) + len(counts[1]) > COUNTED:
+                        yield told(counts)
+        yield told(counts)
+
+    return run
+
+
+def counted(texts: DataFrame, found: Callable[[str], set[str]]) -> DataFrame:
+    """term, clean and toxic: in how many documents of either label each term is found."""
+    told = texts.select("text", "toxic").mapInArrow(_counts(found), "term string, clean long, toxic long")
+    return told.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def _terms(wanted: frozenset[str] | None = None) -> Callable[[str], set[str]]:
+    """The words of a text and, ending in *, their beginnings; if some are wanted, these alone."""
+    heads = {t[: STEMS[0]] for t in wanted or () if t[-1] == "*"}
 
+    def found(text: str) -> set[str]:
+        words = {w for w in WORD.findall(text.lower()) if len(w) > 2}
+        begun = {w[:n] + "*" for w in words if wanted is None or w[: STEMS[0]] in heads for n in STEMS if len(w) > n}
+        return words | begun if wanted is None else (words & wanted) | (begun & wanted)
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(part["text"].to_pylist(), part["toxic"].to_pylist(), strict=True):
-                words = {w for w in WORD.findall(text.lower()) if len(w) > 2}
-                counts[toxic].update(words)
-                counts[toxic].update({w[:n] + "*" for w in words for n in STEMS if len(w) > n})
-            terms = list(counts[0] | counts[1])
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([counts[k][t] for t in terms], pa.int64()) for k in (0, 1)]], ["term", "clean", "toxic"])
+    return found
 
 
 def choose_terms(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -> tuple[Term, ...]:
@@ -284,37 +332,49 @@ def choose_terms(rows: list[tuple[str, int, int]], n_clean: int, n_toxic: int) -
     return tuple(chosen)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton's method."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    penalty = np.diag([ridge] * x.shape[1] + [1e-6])
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+
+
+def _step_sums(mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
+    """A task's part of the Hessian and of the gradient of the likelihood at w."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((FEATURES + 2, FEATURES + 1))
+        for batch in batches:
+            a = np.hstack([(_matrix(batch["f"]) - mean) / scale, np.ones((batch.num_rows, 1))])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
+            sums += np.vstack([(a * (p * (1 - p))[:, None]).T @ a, a.T @ (batch["toxic"].to_numpy() - p)])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.ravel()], pa.list_(pa.float64()))], ["sums"])
+
+    return run
+
+
+def fit_weights(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression of toxic on f by Newton's method: a step is one pass over rows, of which the driver sees one sum a task."""
+    w = np.zeros(FEATURES + 1)
+    penalty = np.diag([ridge] * FEATURES + [1e-6])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        told = rows.mapInArrow(_step_sums(mean, scale, w), "sums array<double>").collect()
+        sums = np.sum([r["sums"] for r in told], axis=0).reshape(FEATURES + 2, FEATURES + 1)
+        step = np.linalg.solve(sums[:-1] + penalty, sums[-1] - penalty @ w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
+    w = np.round(w, 9)  # the order in which tasks' sums are added has no say
     return w[:-1], float(w[-1])
 
 
-def _near_words(model: Model):
-    """How many documents of either label hold a word near a hit."""
+def _near_words(model: Model) -> Callable[[str], set[str]]:
+    """The words near hits, and "" if there are hits at all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                words = WORD.findall(text.lower())
-                hits = model.hits(words)
-                taken = {i for i, _, _ in hits}
-                near = {j for i in taken for j in range(max(i - WINDOW, 0), min(i + WINDOW + 1, len(words)))}
-                counts[toxic].update({words[j] for j in near - taken})
-                counts[toxic].update([""] if hits else [])  # documents with hits at all
-        terms = list(counts[0] | counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([counts[k][t] for t in terms], pa.int64()) for k in (0, 1)]], ["term", "clean", "toxic"])
+    def found(text: str) -> set[str]:
+        words = WORD.findall(text.lower())
+        taken = {i for i, _, _ in model.hits(words)}
+        near = {j for i in taken for j in range(max(i - WINDOW, 0), min(i + WINDOW + 1, len(words)))}
+        return {words[j] for j in near - taken} | ({""} if taken else set())
 
-    return run
+    return found
 
 
 def choose_context(rows: list[tuple[str, int, int]]) -> dict[str, float]:
@@ -333,36 +393,41 @@ def choose_context(rows: list[tuple[str, int, int]]) -> dict[str, float]:
 def _features(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = [model.features(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), batch["toxic"]], ["f", "toxic"])
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                f = [model.features(t) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64())), part["toxic"]], ["f", "toxic"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    sample = training_sample(docs, labels, most)
-    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    texts = training_texts(docs, labels)
+    n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
     if not clean or not toxic:
         return Model()
-    parts = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    both = [F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")]
-    counts = sample.select("text", "toxic").repartition(parts).mapInArrow(_count_terms, "term string, clean long, toxic long").groupBy("term").agg(*both)
-    lifted = (F.col("toxic") >= max(3.0, 0.004 * toxic)) & (F.col("toxic") * F.lit(float(clean)) >= F.col("clean") * F.lit(LIFT * toxic))
-    # the terms of at most ``most`` documents that pass
-    model = Model(choose_terms([tuple(r) for r in counts.where(lifted).collect()], clean, toxic))
+    # a document has so many terms, and each that passes takes its share of the toxic ones: as many for any number of documents
+    often = F.col("toxic") >= max(3.0, LEAST_SHARE * toxic)
+    seen = {r["term"]: r["toxic"] for r in counted(texts.where("toxic = 1"), _terms()).where(often).collect()}
+    also = {r["term"]: r["clean"] for r in counted(texts.where("toxic = 0"), _terms(frozenset(seen))).collect()}
+    lifted = [(term, also.get(term, 0), t) for term, t in seen.items() if t * clean >= also.get(term, 0) * LIFT * toxic]
+    model = Model(choose_terms(lifted, clean, toxic))
     # contexts are learned from one half and weighed on the other, so that no document vouches for itself
-    near = sample.where("half = 0").select("text", "toxic").repartition(parts).mapInArrow(_near_words(model), "term string, clean long, toxic long").groupBy("term").agg(*both)
-    model = Model(model.terms, choose_context([tuple(r) for r in near.where((F.col("term") == "") | (F.col("clean") + F.col("toxic") >= LEAST_NEAR)).collect()]))
-    other = sample.where("half = 1")
+    near = shared_table(counted(texts.where("half = 0"), _near_words(model)), "toxicity-near")
+    hit = near.where("term = ''").select(F.col("clean") + F.col("toxic")).head()
+    common = (F.col("term") == "") | (F.col("clean") + F.col("toxic") >= max(LEAST_NEAR, NEAR_SHARE * (hit[0] if hit else 0)))
+    model = Model(model.terms, choose_context([tuple(r) for r in near.where(common).collect()]))
+    other = texts.where("half = 1")
     if other.select("toxic").distinct().count() < 2:  # too few labels to set half of them aside
-        other = sample
-    rows = other.select("text", "toxic").repartition(parts).mapInArrow(_features(model), "f array<double>, toxic int").collect()  # at most ``most`` rows of FEATURES numbers
-    rows = sorted((r["f"], r["toxic"]) for r in rows)
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    weights, bias = fit_weights((x - mean) / scale, y)
-    return Model(model.terms, model.context, tuple(mean), tuple(scale), tuple(weights), bias)
+        other = texts
+    rows = shared_table(other.select("text", "toxic").mapInArrow(_features(model), "f array<double>, toxic int"), "toxicity-features")
+    f = [F.col("f")[i] for i in range(FEATURES)]
+    found = np.array(rows.agg(*map(F.avg, f), *map(F.stddev_pop, f)).head(), float)
+    mean, scale = np.round(found[:FEATURES], 9), np.maximum(np.round(found[FEATURES:], 9), 1e-6)
+    weights, bias = fit_weights(rows, mean, scale)
+    discard(texts, near, rows)
+    return Model(model.terms, model.context, tuple(mean.tolist()), tuple(scale.tolist()), tuple(weights.tolist()), bias)
 
 
 def _score(model: Model):
@@ -387,7 +452,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     return apply(docs, model).where("predicted = 0").select("row.*")
 
 
-def score(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, from a model fitted on labels."""
     lean = docs.select("doc_id", "text")
-    return apply(lean.withColumn("held_out", held_out()), fit(lean, labels, most)).select("row.doc_id", "row.held_out", "score", "predicted")
+    return apply(lean.withColumn("held_out", held_out()), fit(lean, labels)).select("row.doc_id", "row.held_out", "score", "predicted")
