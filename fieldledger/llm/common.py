@@ -51,6 +51,18 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of an Arrow batch of texts. A row that goes to Python waits in the JVM with all its columns for its batch to come back, and
+#: the batch is there once in the making, once as it is sent, and in Python as Arrow and as strings.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's rows go to Python in batches of about BATCH_BYTES, not of Spark's 64 MB; a value
+    that the session was given stays. It stays set, since plans that are built here run later; no result depends on it."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """docs as one struct column ``row``, so that no name of theirs meets an operator's own."""
     return docs.select(F.struct("*").alias("row"))

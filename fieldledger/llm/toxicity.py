@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import carried, discard, shared_table, text_of
+from .common import carried, discard, shared_table, small_batches, text_of
 
 #: The least ratio of shares, the least root of the likelihood ratio statistic, and the least share of toxic documents, of a term.
 LIFT, LEAST_Z, LEAST_SHARE = 4.0, 4.5, 0.004
@@ -402,6 +402,7 @@ def _features(model: Model):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    small_batches(docs.sparkSession)
     texts = training_texts(docs, labels)
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = n.get(0, 0), n.get(1, 0)
@@ -442,7 +443,8 @@ def _score(model: Model):
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:
-    """row (all columns of docs in one struct, as they are), score and predicted. Only the texts go to Python."""
+    """row (all columns of docs in one struct, as they are), score and predicted. Only the texts go to Python, in small batches."""
+    small_batches(docs.sparkSession)
     scored = carried(docs).withColumn("score", _score(model)(text_of("row.text")))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
